@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, mixing, quality, simhash
+from . import bpe, exact, licences, linejoin, linkrank, mixing, quality, simhash, spans, toxicity
 
 QUERIES = {
+    "op1_linkrank": linkrank.query,
+    "op2_toxicity": toxicity.query,
+    "op3_linejoin": linejoin.query,
     "op4_bpe": bpe.query,
+    "op5_spans": spans.query,
+    "op6_licences": licences.query,
     "op7_simhash": simhash.query,
     "op8_quality": quality.query,
     "op9_exact": exact.query,
