@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ask(rows: DataFrame, n: int, prompt: str = "prompt") -> DataFrame:
@@ -25,7 +26,7 @@ def replay(rows: DataFrame, completions: DataFrame, prompt: str = "prompt") -> D
 
 def generate(rows: DataFrame, provider: Callable[[list[str]], list[tuple[str | None, str | None]]], prompt: str = "prompt") -> DataFrame:
     """``completion`` and ``error`` from ``provider``, called with one Arrow batch of prompts at a time."""
-    schema = rows.schema.add("completion", "string").add("error", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("completion", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator):
         for pdf in batches:
