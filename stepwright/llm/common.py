@@ -54,6 +54,25 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a compressed table in the shared folder, read back."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def likely_members(rows: DataFrame, wanted: DataFrame, hashed: str, words: int = 1 << 19) -> DataFrame:
+    """Rows whose 64-bit hash may be among ``wanted``'s; all that are, and few others.
+
+    A bitmap of ``64 * words`` bits by hash goes to the executors: at most ``words`` rows whatever the
+    input.  When it fills up it lets more rows through and the exact join behind it works as before.
+    """
+    place = f"pmod(shiftright({hashed}, 6), {words})"
+    bit = f"shiftleft(1L, cast({hashed} & 63 as int))"
+    table = wanted.select(F.expr(place).alias("_i"), F.expr(bit).alias("_b")).groupBy("_i").agg(F.bit_or("_b").alias("_bits"))
+    return rows.join(F.broadcast(table), F.expr(place) == F.col("_i")).where(F.expr(f"_bits & {bit} <> 0")).drop("_i", "_bits")
+
+
 def process_cache(key: tuple, build: Callable):
     """One value for each key and Python process; survives that functions are pickled by value."""
     held = sys.__dict__.setdefault("_corpus_cache", {})

@@ -16,39 +16,44 @@ from . import common as C
 RUN_SENTENCES, RUN_WORDS = 3, 25
 #: Longer sentences are cut after words that a hash picks, alike wherever the words stand.
 LONG_SENTENCE, CUT_ONE_IN = 24, 8
-_WORD = rb"[^\x20\x09-\x0D]+"
+_END = rb"[.!?](?=[\x20\x09-\x0D]|\Z)"
 
 
 def sentences(data: bytes) -> list[tuple[int, int, int]]:
     """``(start, end, words)`` in bytes: up to ``.``, ``!``, ``?`` before white space, or a line's end."""
-    word = C.process_cache(("span word",), lambda: re.compile(_WORD))
-    out, own, last = [], [], 0
-
-    def close() -> None:
-        if len(own) <= LONG_SENTENCE:
-            if own:
-                out.append((own[0][0], own[-1][1], len(own)))
-            own.clear()
-            return
-        at = 0
-        for i, (a, b) in enumerate(own):
-            if i - at >= 3 and xxhash.xxh32_intdigest(data[a:b]) % CUT_ONE_IN == 0 or i == len(own) - 1:
-                out.append((own[at][0], b, i + 1 - at))
-                at = i + 1
-        own.clear()
-
-    for m in word.finditer(data):
-        a, b = m.span()
-        if own and b"\n" in data[last:a]:
-            close()
-        own.append((a, b))
-        last = b
-        if data[b - 1] in b".!?":
-            close()
-    close()
+    end = C.process_cache(("span end",), lambda: re.compile(_END))
+    out, at = [], 0
+    for line in data.split(b"\n"):
+        start = 0
+        for m in end.finditer(line):
+            _add(out, at, line, start, m.end())
+            start = m.end()
+        if start < len(line):
+            _add(out, at, line, start, len(line))
+        at += len(line) + 1
     return out
 
 
+def _add(out: list, at: int, line: bytes, start: int, stop: int) -> None:
+    piece = line[start:stop]
+    words = piece.split()
+    n = len(words)
+    if not n:
+        return
+    a = start + len(piece) - len(piece.lstrip())
+    if n <= LONG_SENTENCE:
+        out.append((at + a, at + start + len(piece.rstrip()), n))
+        return
+    first, since = a, 0
+    for i, w in enumerate(words):
+        a = line.index(w, a) + len(w)
+        if i - since >= 3 and xxhash.xxh32_intdigest(w) % CUT_ONE_IN == 0 or i == n - 1:
+            out.append((at + first, at + a, i + 1 - since))
+            since = i + 1
+            if since < n:
+                first = line.index(words[since], a)
+
+
 def runs(spans: list[tuple[int, int, int]], least: int = RUN_SENTENCES, words: int = RUN_WORDS) -> list[tuple[int, int]]:
     """Sentence ranges ``(first, last)``: from each sentence the shortest run on and the shortest run back."""
     n, found = len(spans), []
@@ -81,14 +86,14 @@ def _signed(x: int) -> int:
 
 
 def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, row, first, last, again, a, b``: every run of every text and 128 bits of hash of its words.
+    """``id, row, first, last, again, a, b``: every run of every text and 96 bits of hash of its words.
 
     ``again`` marks runs that stand earlier in the same text.  ``row`` is a hash of key and text, so that rows that repeat a key stay apart unless they are equal.
     """
     C.small_batches(docs.sparkSession, 128)
     src = C.pick(docs, key, text).select(F.col(key).alias("id"), F.col(text).cast("binary").alias("body"))
     src = src.withColumn("row", F.xxhash64("id", "body"))
-    schema = T.StructType([src.schema["id"], src.schema["row"]] + T._parse_datatype_string("first int, last int, again boolean, a bigint, b bigint").fields)
+    schema = T.StructType([src.schema["id"], src.schema["row"]] + T._parse_datatype_string("first int, last int, again boolean, a bigint, b int").fields)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -106,7 +111,7 @@ def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                     h = xxhash.xxh3_128_intdigest(b" ".join(norm[i : j + 1]))
                     at.append(k)
                     old, _ = h in seen, seen.add(h)
-                    for c, v in zip(cols, (i, j, old, _signed(h >> 64), _signed(h & (1 << 64) - 1))):
+                    for c, v in zip(cols, (i, j, old, _signed(h >> 64), (h & 0xFFFFFFFF) - (1 << 31))):
                         c.append(v)
             idx = pa.array(at, pa.int32())
             own = [batch.column(0).take(idx), batch.column(2).take(idx)]
@@ -122,9 +127,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     share a key count as one document there.  Counting combines before the shuffle and keeps runs that
     stand more than once; only those are joined, so unique text moves once, as hashes.
     """
-    table = C.checkpointed(run_table(docs, key, text))
+    table = C.written(run_table(docs, key, text), "runs")
     known = table.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1").drop("n")
-    hit = table.join(known, ["a", "b"]).where(F.col("again") | ~F.col("id").eqNullSafe(F.col("low")))
+    known = C.checkpointed(known)
+    hit = C.likely_members(table, known, "a").join(known, ["a", "b"]).where(F.col("again") | ~F.col("id").eqNullSafe(F.col("low")))
     return hit.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
 
