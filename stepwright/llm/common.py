@@ -73,6 +73,31 @@ def likely_members(rows: DataFrame, wanted: DataFrame, hashed: str, words: int =
     return rows.join(F.broadcast(table), F.expr(place) == F.col("_i")).where(F.expr(f"_bits & {bit} <> 0")).drop("_i", "_bits")
 
 
+def raw_hash(text: str = "text"):
+    """A hash of a text's bytes; with the key it names a row wherever keys repeat."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), F.col(text).isNull())
+
+
+def without(docs: DataFrame, judged: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs``, all columns, less the rows that ``judged(key, raw, stays)`` drops.
+
+    Rows are named by key and hash of the text, so a key that repeats with other texts is safe.  Of
+    rows that repeat both, one stays.  Whole rows move once, against the names to drop.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    k, t = (F.col(f"_c{names.index(c)}") for c in (key, text))
+    own = plain.withColumn("_k", k).withColumn("_raw", F.xxhash64(F.coalesce(t.cast("binary"), F.lit(b"")), t.isNull()))
+    judged = checkpointed(judged.select(F.col(key).alias("_jk"), F.col("raw").alias("_jraw"), "stays"))
+    same = (F.col("_raw") == F.col("_jraw")) & F.col("_k").eqNullSafe(F.col("_jk"))
+    out = own.join(judged.where(~F.col("stays")), same, "left_anti")
+    again = judged.where("stays").groupBy("_jk", "_jraw").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if not again.isEmpty():
+        once = out.join(again, same, "left_semi").dropDuplicates(["_k", "_raw"])
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return out.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def process_cache(key: tuple, build: Callable):
     """One value for each key and Python process; survives that functions are pickled by value."""
     held = sys.__dict__.setdefault("_corpus_cache", {})

@@ -79,35 +79,42 @@ def build_index(entries: DataFrame, path: str, max_depth: int = MAX_DEPTH, bucke
     return spark.read.parquet(f"{path}/buckets")
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hash_bits: int = 64, max_depth: int = MAX_DEPTH, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """``key, keep_id, group_size, kept, text_sha256`` for every row, dropped ones too.
-
-    Null texts are empty texts.  The smallest key of equal texts stays; null keys come last, and a
-    group of null keys has a null ``keep_id`` and keeps its rows.  Repeated rows with the smallest key
-    are all kept: they are one document to any caller that goes by key.  ``hash_bits`` below 64 only
-    serves tests of chained collisions.  An empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, key: str, text: str, hash_bits: int, max_depth: int, bucket_keys: int) -> DataFrame:
+    """``id, raw, keep_id, group_size, sha``: every row with the group it fell into."""
     spark = docs.sparkSession
     body = F.col("body")
     h = F.xxhash64(body) if hash_bits == 64 else F.shiftright(F.xxhash64(body), 64 - hash_bits)
-    entries = C.pick(docs, key, text).select(F.col(key).alias("id"), normalised(text).alias("body")).withColumn("h", h)
+    src = C.pick(docs, key, text)
+    entries = src.select(F.col(key).alias("id"), C.raw_hash(text).alias("raw"), normalised(text).alias("body")).withColumn("h", h)
     index = build_index(entries, C.shared_path(spark, "extendible"), max_depth, bucket_keys)
     alone = index.where("n_chain = 1").select("h", "keep_id", "group_size", "sha")
     if index.where("n_chain > 1").isEmpty():  # as good as always with 64 bits
-        out = entries.select("id", "h").join(alone, "h")
-    else:
-        chained = index.where("n_chain > 1").select("h", "keep_id", "group_size", "sha")
-        shared = chained.select("h").distinct()
-        text_of = entries.join(shared, "h", "left_semi")
-        texts = text_of.groupBy("h", "body").agg(F.min("id").alias("k"), F.count("*").alias("n")).select(F.col("h"), "body", F.col("k").alias("keep_id"), F.col("n").alias("group_size"), F.sha2("body", 256).alias("sha"))
-        out = entries.select("id", "h").join(alone, "h").unionByName(text_of.join(texts, ["h", "body"]).select("h", "id", "keep_id", "group_size", "sha"))
+        return entries.select("id", "raw", "h").join(alone, "h").drop("h")
+    chained = index.where("n_chain > 1").select("h").distinct()
+    own = entries.join(chained, "h", "left_semi")
+    texts = own.groupBy("h", "body").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("sha", F.sha2("body", 256))
+    return entries.select("id", "raw", "h").join(alone, "h").unionByName(own.join(texts, ["h", "body"]).drop("body")).drop("h")
+
+
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", hash_bits: int = 64, max_depth: int = MAX_DEPTH, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """``key, keep_id, group_size, kept, text_sha256`` for every row, dropped ones too.
+
+    Null texts are empty texts.  The smallest key of equal texts stays; null keys come last, and a
+    group of null keys has a null ``keep_id`` and keeps its rows.  Repeated rows with the smallest key
+    are all kept here, as they are one document to any caller that goes by key.  ``hash_bits`` below 64
+    only serves tests of chained collisions.  An empty table gives an empty result.
+    """
+    out = _judged(docs, key, text, hash_bits, max_depth, bucket_keys)
     return out.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, that stay; whole rows move once, against the keys to drop."""
-    drop = exact_groups(docs, key, text).where(~F.col("kept") & F.col(key).isNotNull()).select(key)
-    return docs.join(drop, key, "left_anti").select(*docs.columns)
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", max_depth: int = MAX_DEPTH, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """The documents, all columns, that stay: one row of each group.
+
+    A group of null keys only keeps one row for each spelling of its white space.
+    """
+    found = _judged(docs, key, text, 64, max_depth, bucket_keys)
+    return C.without(docs, found.select(F.col("id").alias(key), "raw", F.col("id").eqNullSafe(F.col("keep_id")).alias("stays")), key, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

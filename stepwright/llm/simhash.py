@@ -86,6 +86,16 @@ def links(fps: DataFrame, list_max: int = LIST_MAX) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
+def _grouped(docs: DataFrame, width: int, text: str, key: str, list_max: int) -> DataFrame:
+    own = C.pick(docs, key, text).withColumn("raw", C.raw_hash(text))
+    fps = C.checkpointed(fingerprints(own.select(F.col(key).alias("id"), "raw", F.col(text).alias("body")), ("id", "raw"), width, "body"))
+    node = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    comp = C.components(links(fps, list_max))
+    roots = node.join(comp, node.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    best = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    return fps.join(roots.join(best, "root").select("fp", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, text: str = "text", key: str = "doc_id", list_max: int = LIST_MAX) -> DataFrame:
     """``key, fp, component_id``: the smallest key reachable over links, the row's own included.
 
@@ -93,22 +103,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, text: str = "text", key: st
     key take part; a component of null keys only has a null id.  Documents are reduced to distinct
     fingerprints before any pairing, so copies cost nothing.
     """
-    fps = C.checkpointed(fingerprints(docs, (key,), width, text))
-    node = fps.groupBy("fp").agg(F.min(key).alias("low"))
-    comp = components_of(fps, list_max)
-    roots = node.join(comp, node.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    best = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(roots.join(best, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
-
-
-def components_of(fps: DataFrame, list_max: int = LIST_MAX) -> DataFrame:
-    return C.components(links(fps, list_max))
+    return _grouped(docs, width, text, key, list_max).select(F.col("id").alias(key), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents, all columns, with the smallest key of their group; rows without a key stay."""
-    drop = near_duplicates(docs, width, text, key).where(F.col(key) != F.col("component_id")).select(key)
-    return docs.join(drop, key, "left_anti").select(*docs.columns)
+    """The documents, all columns, that have the smallest key of their group, one row for a row repeated.
+
+    A group of null keys only keeps its different texts.
+    """
+    found = _grouped(docs, width, text, key, LIST_MAX)
+    return C.without(docs, found.select(F.col("id").alias(key), "raw", F.col("id").eqNullSafe(F.col("component_id")).alias("stays")), key, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,26 @@ def test_exact_empty_and_filter(spark, sf):
     assert got.columns == df.columns and {r.doc_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("op", [exact, simhash])
+def test_keep_first_names_rows_by_key_and_text(spark, op):
+    t = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
+    rows = [(1, t[0]), (2, t[1]), (2, t[0]), (2, t[1]), (3, t[1]), (None, t[1]), (None, t[2]), (None, t[2]), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as raw", "2 as stays", "3 as _jk")
+    out = op.keep_first(df)
+    assert out.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, t[0]), (2, t[1]), (None, t[2]), (4, None)])
+
+
+def test_stages_take_awkward_rows_and_empty_tables(spark, sf):
+    import corpus_pipeline as P
+
+    for df in (frame(spark), frame(spark, [])):
+        for name, stage in P.STAGES:
+            out = stage(spark, df, sf)
+            assert name == "bpe" or out.columns == df.columns
+            out.collect()
+
+
 def test_directory_doubles_and_splits_overfull_buckets():
     counts = {s: 1 for s in range(16)} | {3: 50}
     slots = exact.directory(counts, 4, 10)
