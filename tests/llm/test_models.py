@@ -174,10 +174,13 @@ def test_banded_distance_keys_and_sketches():
         b, k = _mutate(rng, a, rng.randrange(6)), rng.choice([1, 2, 3])
         d = edit_distance(a, b)
         assert linejoin.within(a, b, k) == (d <= k)
-        if 3 < len(a) and 3 < len(b) and 0 < d <= k:
+        if 6 < len(a) and 6 < len(b) and 0 < d <= k:
             short, long = sorted((a, b), key=len)
-            assert set(linejoin.keys(short, k, False)) & set(linejoin.keys(long, k, True))
-            assert (linejoin.sketch(a) ^ linejoin.sketch(b)).bit_count() <= 4 * k
+            one, two = linejoin.Batch(["zzzzzzzz", short, long]), linejoin.Batch([long, "yyyyyyy"])
+            ours = [set(keys[line == i].tolist()) for x, i, probe in ((one, 1, False), (two, 0, True)) for line, keys in [x.keys(k, probe)]]
+            assert ours[0] & ours[1]
+            assert (int(one.sketches[1]) ^ int(two.sketches[0])).bit_count() <= 4 * k
+            assert one.sketches[2] == two.sketches[0]
 
 
 def brute_lines(rows, edits=2, least=24):
