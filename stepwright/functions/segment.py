@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LINE_ENDS, WS, clean, strip
+from .text import LINE_ENDS, WS, clean, let, strip
 
 # Step markers.
 NUMBERED = r"(?iU)(?=(?:^|\n|\s)(?:step\s*\d+[:.)-]|\d+[:.)-]|\(\d+\)))"
@@ -57,11 +57,13 @@ def _merge(steps: Column, least: int) -> Column:
 
 def candidates(text: Column) -> Column:
     """Pieces by the first rule that gives two: lines, numbered steps, connector words; else sentences."""
-    t = strip(text)
-    lines = _pieces(F.split(t, LINE_ENDS))
-    numbered = _pieces(F.split(t, NUMBERED))
-    joined = _pieces(F.split(F.regexp_replace(t, CONNECTOR, MARK + "$1"), MARK))
-    return F.when(F.size(lines) >= 2, lines).when(F.size(numbered) >= 2, numbered).when(F.size(joined) >= 2, joined).otherwise(_pieces(F.split(t, SENTENCE)))
+    two = lambda pieces, rest: let(pieces, lambda p: F.when(F.size(p) >= 2, p).otherwise(rest))
+
+    def of(t):
+        marked = _pieces(F.split(F.regexp_replace(t, CONNECTOR, MARK + "$1"), MARK))
+        return two(_pieces(F.split(t, LINE_ENDS)), two(_pieces(F.split(t, NUMBERED)), two(marked, _pieces(F.split(t, SENTENCE)))))
+
+    return let(strip(text), of)
 
 
 def segment_steps(text: Column, least: int = 8, most: int = 500) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import answer_side, let, same_answer
+
 VARIANTS = ("vanilla", "uniform_downweight", "prefix_masked", "first_error_only", "decayed")
 PROBES = ("prefix", "error", "suffix", "mask")
 
@@ -62,8 +64,6 @@ def localize(rates: Column, tau: float = 0.3, high: float = 0.8, low: float = 0.
     The first drop by more than ``tau`` counts; without one, all low means the first step, all high the
     last with no confidence, else the first smallest rate.  No rates: (0, 0.0, []).
     """
-    from .text import let
-
     clamped = F.transform(rates, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
     return let(clamped, lambda q: _localize(q, tau, high, low))
 
@@ -71,23 +71,20 @@ def localize(rates: Column, tau: float = 0.3, high: float = 0.8, low: float = 0.
 def _localize(q: Column, tau: float, high: float, low: float) -> Column:
     n = F.size(q)
     at = lambda k: F.try_element_at(q, (k + 1).cast("int"))
-    drop = F.try_element_at(F.filter(_indices(n), lambda k: (k > 0) & (at(k - 1) - at(k) > tau)), F.lit(1))
-    smallest = F.array_min(q)
-    first = F.when(n == 0, 0).when(drop.isNotNull(), drop).when(F.forall(q, lambda x: x <= low), 0).when(F.forall(q, lambda x: x >= high), n - 1).otherwise(F.array_position(q, smallest) - 1)
-    sure = (
-        F.when(n == 0, 0.0)
-        .when(drop.isNotNull(), F.least(F.lit(1.0), at(drop - 1) - at(drop)))
-        .when(F.forall(q, lambda x: x <= low), 1.0 - F.array_max(q))
-        .when(F.forall(q, lambda x: x >= high), 0.0)
-        .otherwise(F.greatest(F.lit(0.0), 1.0 - smallest))
-    )
-    return F.struct(first.cast("int").alias("first_error"), sure.alias("confidence"), q.alias("rates"))
+    falls = F.filter(_indices(n), lambda k: (k > 0) & (at(k - 1) - at(k) > tau))
+
+    def place(z):
+        drop, lo, hi = z["drop"], z["lo"], z["hi"]
+        first = F.when(n == 0, 0).when(drop.isNotNull(), drop).when(hi <= low, 0).when(lo >= high, n - 1).otherwise(F.array_position(q, lo) - 1)
+        sure = F.when(n == 0, 0.0).when(drop.isNotNull(), F.least(F.lit(1.0), at(drop - 1) - at(drop))).when(hi <= low, 1.0 - hi).when(lo >= high, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - lo))
+        return F.struct(first.cast("int").alias("first_error"), sure.alias("confidence"), q.alias("rates"))
+
+    facts = F.struct(F.try_element_at(falls, F.lit(1)).alias("drop"), F.array_min(q).alias("lo"), F.array_max(q).alias("hi"))
+    return let(facts, place)
 
 
 def arithmetic_error(prompt: Column, steps: Column) -> Column:
     """0-based first step with a wrong equation, or with numbers other than the pencils problem's; else null."""
-    from .text import let
-
     ask = lambda i: F.regexp_extract(prompt, PROBLEM, i).try_cast(_BIG)
     problem = let(F.struct(ask(1).alias("n"), ask(2).alias("each"), ask(3).alias("more")), lambda z: F.struct((z["n"] * z["each"]).alias("product"), z["more"].alias("more")))
 
@@ -123,8 +120,10 @@ def noisy(key: Column, error: Column, n: Column, rate: float, seed: int = 42) ->
     return F.struct(coin.alias("noisy"), F.when(coin & (n > 1), other).otherwise(error).cast("int").alias("error"))
 
 
-def heuristic_rates(steps: Column, answer: Column, verify) -> Column:
+def heuristic_rates(steps: Column, answer: Column) -> Column:
     """Rates without rollouts: 1 where the prefix verifies, 0 at a wrong end, else 0.8; zeros without an answer."""
     n = F.size(steps)
     prefix = lambda k: F.array_join(F.slice(steps, F.lit(1), k + 1), "\n")
-    return F.transform(_indices(n), lambda k: F.when(answer.isNull(), 0.0).when(verify(prefix(k), answer), 1.0).when(k == n - 1, 0.0).otherwise(0.8))
+    right = lambda k, g: let(answer_side(prefix(k)), lambda p: same_answer(p, g))
+    rates = lambda g: F.transform(_indices(n), lambda k: F.when(right(k, g), 1.0).when(k == n - 1, 0.0).otherwise(0.8))
+    return F.when(answer.isNull(), F.transform(_indices(n), lambda k: F.lit(0.0))).otherwise(let(answer_side(answer), rates))

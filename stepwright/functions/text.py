@@ -73,14 +73,18 @@ def final_answer(c: Column) -> Column:
     return normalize_answer(F.coalesce(F.nullif(extract_answer(c), F.lit("")), c))
 
 
-def verify_answer(prediction: Column, gold: Column, atol: float = 1e-4) -> Column:
-    """Whether both answers are equal as text, or as numbers within ``atol``; false where one is missing."""
-    side = lambda c: let(final_answer(c), lambda t: F.struct(t.alias("t"), answer_value(t).alias("v")))
+def answer_side(c: Column) -> Column:
+    """``struct<t, v>``: an answer's text and value, for comparing one answer with many."""
+    return let(final_answer(c), lambda t: F.struct(t.alias("t"), answer_value(t).alias("v")))
+
 
-    def same(z):
-        p, g = z["p"], z["g"]
-        x, y = p["v"], g["v"]
-        near = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y) & ((x == y) | (F.abs(x - y) <= atol))
-        return F.coalesce((p["t"] == g["t"]) | near, F.lit(False))
+def same_answer(p: Column, g: Column, atol: float = 1e-4) -> Column:
+    x, y = p["v"], g["v"]
+    near = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y) & ((x == y) | (F.abs(x - y) <= atol))
+    return F.coalesce((p["t"] == g["t"]) | near, F.lit(False))
 
-    return let(F.struct(side(prediction).alias("p"), side(gold).alias("g")), same)
+
+def verify_answer(prediction: Column, gold: Column, atol: float = 1e-4) -> Column:
+    """Whether both answers are equal as text, or as numbers within ``atol``; false where one is missing."""
+    both = F.struct(answer_side(prediction).alias("p"), answer_side(gold).alias("g"))
+    return let(both, lambda z: same_answer(z["p"], z["g"], atol))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS
+from .text import WS, let
 
 
 def scan(text: Column) -> Column:
@@ -26,10 +26,14 @@ def scan(text: Column) -> Column:
 
 def token_weights(tokens: Column, spans: Column, weights: Column) -> Column:
     """Each token's weight: of the last step whose span it overlaps, 0 if none; spare steps are ignored."""
-    n = F.least(F.size(spans), F.size(weights))
-    both = F.zip_with(F.slice(spans, F.lit(1), n), F.slice(weights, F.lit(1), n), lambda s, w: F.struct(s["start"].alias("a"), s["end"].alias("e"), w.alias("w")))
-    hit = lambda t: F.filter(both, lambda q: ~((t["end"] <= q["a"]) | (t["start"] >= q["e"])))
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(hit(t), F.lit(-1))["w"], F.lit(0.0)))
+    pair = lambda s, w: F.when(s.isNotNull() & w.isNotNull(), F.struct(s["start"].alias("a"), s["end"].alias("e"), w.alias("w")))
+    both = F.filter(F.zip_with(spans, weights, pair), lambda q: q.isNotNull())  # the longer one is padded with nulls
+
+    def weigh(steps):
+        hit = lambda t: F.filter(steps, lambda q: ~((t["end"] <= q["a"]) | (t["start"] >= q["e"])))
+        return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(hit(t), F.lit(-1))["w"], F.lit(0.0)))
+
+    return let(both, weigh)
 
 
 def encode_pair(prompt_ids: Column, response_ids: Column, weights: Column | None, most: int, eos: int | None = None) -> Column:

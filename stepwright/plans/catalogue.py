@@ -278,8 +278,8 @@ def localize_rates(spark, sf):
 @query
 def heuristic_rates(spark, sf):
     p = _pairs(spark, sf)
-    r = S.heuristic_rates(F.col("chosen_steps"), F.col("answer"), verify_answer)
-    w = S.heuristic_rates(F.col("rejected_steps"), F.col("answer"), verify_answer)
+    r = S.heuristic_rates(F.col("chosen_steps"), F.col("answer"))
+    w = S.heuristic_rates(F.col("rejected_steps"), F.col("answer"))
     return p.select("idx", _joined(F.slice(w, F.size(w), F.lit(1)), 1).alias("rejected_last"), F.try_element_at(r, F.lit(-1)).alias("chosen_last"), F.size(r).alias("n"))
 
 

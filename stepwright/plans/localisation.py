@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stepwright.functions import steps as S
 from stepwright.functions import tokens as K
 from stepwright.functions.segment import segment_steps, step_spans
-from stepwright.functions.text import let, verify_answer
+from stepwright.functions.text import let
 from stepwright.operators.reports import parse_verdict
 
 
@@ -37,7 +37,7 @@ def localise(rows: DataFrame, gamma: float = 0.5, tau: float = 0.3, min_confiden
     rated = lambda branch, rates: let(S.localize(rates, tau), lambda z: result(branch, z["first_error"], z["confidence"], z["rates"], F.size(z["rates"])))
     given, label = col("prefix_success_rates", "array<double>"), col("first_error_step", "int")
     labelled = result("label", label, F.coalesce(col("localization_confidence", "double"), F.lit(1.0)), none, F.size(steps))
-    guessed = rated("heuristic", S.heuristic_rates(steps, answer, verify_answer))
+    guessed = rated("heuristic", S.heuristic_rates(steps, answer))
 
     def choose(m):
         exact = result("arithmetic", m, F.lit(1.0), F.array().cast("array<double>"), F.size(steps))
@@ -46,6 +46,8 @@ def localise(rows: DataFrame, gamma: float = 0.5, tau: float = 0.3, min_confiden
     x = rows.withColumn("_z", let(found, choose))
     drop = [c for c in ("first_error_step", "localization_confidence", "prefix_success_rates", "step_weights", "branch") if c in have]
     x = x.drop(*drop).select("*", F.col("_z.branch").alias("branch"), F.col("_z.m").alias("first_error_step"), F.col("_z.sure").alias("localization_confidence"), F.col("_z.rates").alias("prefix_success_rates"), S.decayed(F.col("_z.n"), F.col("_z.m"), gamma).alias("step_weights"))
+    if min_confidence <= 0:  # confidences are never negative
+        return x.drop("_z")
     sure_enough = F.col("branch").isin("arithmetic", "label") | (F.col("localization_confidence") >= min_confidence)
     return x.where(sure_enough).drop("_z")
 
@@ -66,11 +68,13 @@ def token_table(rows: DataFrame, key: str) -> DataFrame:
     have = set(rows.columns)
     prompt = F.transform(K.scan(F.col("prompt")), lambda t: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), F.lit(0.0).alias("w")))
     ones = lambda c: F.transform(K.scan(c), lambda t: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), F.lit(1.0).alias("w")))
-    spans = step_spans(F.col("rejected"), F.col("rejected_steps"))
-    own = K.token_weights(K.scan(F.col("rejected")), spans, F.col("step_weights"))
-    if "rejected_token_weights" in have:
-        own = F.coalesce(F.col("rejected_token_weights"), own)
-    rejected = F.zip_with(K.scan(F.col("rejected")), own, lambda t, w: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), w.alias("w")))
+    given = F.col("rejected_token_weights") if "rejected_token_weights" in have else F.lit(None).cast("array<double>")
+
+    def weighed(toks):
+        own = F.coalesce(given, K.token_weights(toks, step_spans(F.col("rejected"), F.col("rejected_steps")), F.col("step_weights")))
+        return F.zip_with(toks, own, lambda t, w: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), w.alias("w")))
+
+    rejected = let(K.scan(F.col("rejected")), weighed)
     sides = [("chosen", F.concat(prompt, ones(F.col("chosen")))), ("rejected", F.concat(prompt, rejected))]
     if "positive_prefix" in have:
         empty = F.array().cast("array<struct<token:string,start:int,end:int,w:double>>")
