@@ -131,3 +131,34 @@ def vocabulary_ids(vocab: DataFrame, start: int = 3) -> DataFrame:
     from pyspark.sql import Window as W
 
     return vocab.withColumn("token_id", F.row_number().over(W.orderBy("first_row", "first_pos")) + (start - 1))
+
+
+def pair_strictly(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows matched one to one; a key that one side lacks or repeats raises when the row is computed.
+
+    One outer join on counted keys: no extra pass over either side.
+    """
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*on)
+    a = left.withColumn("_a", F.count("*").over(w))
+    b = right.withColumn("_b", F.count("*").over(w))
+    both = a.join(b, on, "full")
+    right_count = (F.coalesce("_a", F.lit(0)) == 1) & (F.coalesce("_b", F.lit(0)) == 1)
+    return both.where(F.when(right_count, True).otherwise(F.raise_error(F.lit("sides differ in rows")).cast("boolean"))).drop("_a", "_b")
+
+
+def parse_named_paths(args: list[str]) -> dict[str, str]:
+    """``name=path`` arguments, split at the first ``=``; others raise."""
+    out = {}
+    for a in args:
+        name, mark, path = a.partition("=")
+        if not mark:
+            raise ValueError(f"expected name=path: {a}")
+        out[name] = path
+    return out
+
+
+def cache_misses(rows: DataFrame, cache: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Rows whose key a localisation cache does not hold yet."""
+    return rows.join(cache.select(key), key, "left_anti")

@@ -68,3 +68,9 @@ def probe_deltas(means: DataFrame, probes: list[str]) -> DataFrame:
         pick = lambda c: F.coalesce(F.sum(F.when(F.col("probe") == p, F.col(c))), F.lit(0.0))  # noqa: E731,B023
         cells += [pick("before").alias(f"before_{p}"), pick("after").alias(f"after_{p}"), (pick("after") - pick("before")).alias(f"{p}_delta")]
     return means.groupBy("variant").agg(*cells)
+
+
+def annotate_rejected(rows: DataFrame, sums: DataFrame, key: str, score: str = "policy") -> DataFrame:
+    """Rows with ``weighted_rejected_logp`` from ``sums(key, side, score)``; null where none was scored."""
+    own = sums.where("side = 'rejected'").select(key, F.col(score).alias("weighted_rejected_logp"))
+    return rows.join(own, key, "left")

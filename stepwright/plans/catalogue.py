@@ -32,12 +32,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of few file splits dealt to all cores before heavy expressions; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def _seeds(spark, sf) -> DataFrame:
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderkey").alias("seed"))
+    return spread(table(spark, sf, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("idx"), F.col("o_orderkey").alias("seed"))
 
 
 def _few_seeds(spark, sf) -> DataFrame:
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_custkey").alias("seed"))
+    return spread(table(spark, sf, "customer").select("c_custkey")).select(F.col("c_custkey").alias("idx"), F.col("c_custkey").alias("seed"))
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -56,7 +62,7 @@ def _joined(values, digits: int = 6):
 
 
 def _assistant(spark, sf) -> DataFrame:
-    c = table(spark, sf, "conversations").where("role = 'assistant'")
+    c = spread(table(spark, sf, "conversations").where("role = 'assistant'"))
     return c.withColumn("steps", segment_steps(F.col("text")))
 
 
@@ -70,7 +76,7 @@ def flagship_step_weights(spark, sf):
 
 @query
 def segment_documents(spark, sf):
-    d = table(spark, sf, "documents").withColumn("steps", segment_steps(F.col("text")))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("steps", segment_steps(F.col("text")))
     return d.select("doc_id", F.size("steps").alias("n_steps"), _md5("steps").alias("steps_md5"))
 
 
@@ -125,7 +131,7 @@ def reasoning_length(spark, sf):
 
 
 def _answers(spark, sf) -> DataFrame:
-    i = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), (F.col("l_partkey") % 9 + 1).alias("d"))
+    i = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q"), (F.col("l_partkey") % 9 + 1).alias("d"))
     s = lambda c: F.col(c).cast("string")
     text = (
         F.when(F.col("l_linenumber") % 6 == 0, F.concat(F.lit("We compute 7 and 8. #### "), s("l_partkey")))
@@ -408,7 +414,7 @@ def stop_at_provider_error(spark, sf):
 
 
 def _details(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events").select("event_id", "event_type", "user_id"))
     said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("#### "), (F.col("user_id") + 1).cast("string"))).otherwise(F.concat(F.lit("The answer is "), F.col("user_id").cast("string")))
     return R.generation_details(e.select(F.col("event_type").alias("model"), F.col("event_id").alias("idx"), F.lit("p").alias("prompt"), F.concat(F.lit("#### "), F.col("user_id").cast("string")).alias("gold"), said.alias("prediction")))
 
@@ -451,7 +457,7 @@ def judge_verdicts(spark, sf):
 
 @query
 def token_offsets(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
     return c.select("conv_id", "turn", F.posexplode(K.scan(F.col("text"))).alias("pos", "t")).select("conv_id", "turn", "pos", "t.token", "t.start", F.col("t.end").alias("end_"))
 
 
@@ -477,7 +483,7 @@ def token_weights(spark, sf):
 
 @query
 def vocabulary(spark, sf):
-    return P.vocabulary(table(spark, sf, "documents"), "doc_id")
+    return P.vocabulary(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query
@@ -541,3 +547,77 @@ def probe_deltas(spark, sf):
     means = sums.groupBy(F.col("key.probe").alias("probe")).agg(F.avg("before").alias("before"), F.avg("after").alias("after")).withColumn("variant", F.lit("smoothed"))
     d = L.probe_deltas(means, list(S.PROBES))
     return d.select("variant", *[F.round(c, 6).alias(c) for c in d.columns if c != "variant"])
+
+
+@query
+def rejected_logp_annotation(spark, sf):
+    rows = G.template_pairs(_few_seeds(spark, sf)).select("idx", "template")
+    out = L.annotate_rejected(rows, L.masked_sums(_scored(spark, sf), ["idx", "side"], ["policy"]), "idx")
+    return out.select("idx", "template", F.round("weighted_rejected_logp", 6).alias("weighted_rejected_logp"))
+
+
+@query
+def bigram_logp(spark, sf):
+    """Mean log-probability by side under counts of neighbouring tokens of chosen traces."""
+    t = _tokens(spark, sf)
+    word = F.col("t.token")
+    seq = t.groupBy("idx", "side").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s"))  # one trace
+    pair = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.struct(F.element_at("s", i)["token"].alias("prev"), F.element_at("s", i + 1)["token"].alias("token")))
+    both = seq.select("side", F.explode(pair).alias("t")).select("side", F.col("t.prev").alias("prev"), word.alias("token"))
+    base = both.where("side = 'chosen'")
+    counts, pairs = base.groupBy(F.col("prev").alias("token")).agg(F.count("*").alias("n")), base.groupBy("prev", "token").agg(F.count("*").alias("n"))
+    return L.bigram_scores(both, counts, pairs, 1.0).groupBy("side").agg(F.round(F.avg("logp"), 6).alias("mean_logp"), F.count("*").alias("n"))
+
+
+@query
+def process_positive_metrics(spark, sf):
+    """Loss with the process-positive term: prefixes before the error, absent ones counted as 0."""
+    rows = _localised(spark, sf)
+    prefix = F.when(F.col("first_error_step") >= 1, F.array_join(F.slice("rejected_steps", F.lit(1), F.col("first_error_step")), "\n"))
+    t = Z.token_table(rows.withColumn("positive_prefix", prefix), "idx")
+    counts = L.unigram_counts(t.where("side = 'chosen'"))
+    s = L.unigram_scores(L.unigram_scores(t, counts, 1.0, "policy"), counts, 10.0, "ref")
+    m = L.loss_metrics(L.preference_rows(L.masked_sums(s, ["idx", "side"], ["policy", "ref"]), ["idx"]), 0.2)
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query
+def padded_batch(spark, sf):
+    """Toy questions as token lengths right-padded to the batch's longest."""
+    q = G.toy_questions(_few_seeds(spark, sf)).select("idx", F.transform(K.scan(F.col("question")), lambda t: t["end"] - t["start"]).alias("ids"))
+    widest = q.agg(F.max(F.size("ids")).alias("width"))
+    return q.crossJoin(F.broadcast(widest)).select("idx", F.array_join(K.padded(F.col("ids"), F.col("width") + 2, 0), ",").alias("ids"))  # one row
+
+
+@query
+def strict_pairing(spark, sf):
+    q = G.toy_questions(_few_seeds(spark, sf))
+    return P.pair_strictly(q.select("idx", "question"), q.select("idx", F.concat(F.lit("reply "), F.col("answer")).alias("completion")), ["idx"]).select("idx", "completion")
+
+
+@query
+def confident_rates(spark, sf):
+    """Localised from rates only, kept from a confidence of 0.6 on."""
+    r = _rates(spark, sf).select(F.col("l_orderkey").alias("idx"), F.lit("").alias("prompt"), F.lit("").alias("rejected"), F.lit("1").alias("answer"), F.transform("rates", lambda x: F.lit("a step of text")).alias("rejected_steps"), F.col("rates").alias("prefix_success_rates"))
+    z = Z.localise(r, min_confidence=0.6, check=False)
+    return z.select("idx", "branch", "first_error_step", F.round("localization_confidence", 6).alias("confidence"))
+
+
+@query
+def short_traces_dropped(spark, sf):
+    c = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("rejected"))
+    return Z.with_steps(c, least=2).select("conv_id", "turn", F.size("rejected_steps").alias("n_steps"))
+
+
+@query
+def judged_pairs(spark, sf):
+    p = _pairs(spark, sf)
+    reply = F.when(F.col("idx") % 6 == 5, F.lit("no idea")).otherwise(F.concat(F.lit('{"first_error_step": '), (F.col("idx") % 4).cast("string"), F.lit(', "confidence": 0.75, "rationale": "x"}')))
+    z = Z.judged(p.select("idx", "rejected", "rejected_steps", reply.alias("reply")))
+    return z.select("idx", "first_error_step", "localization_confidence", "judge_rationale", "parse_failed", _joined("step_weights").alias("weights"))
+
+
+@query
+def cached_localisations(spark, sf):
+    rows = _few_seeds(spark, sf).select(F.col("idx").alias("sample_id"))
+    return P.cache_misses(rows, rows.where(F.col("sample_id") % 3 == 0))

@@ -250,3 +250,19 @@ def _probe(name: str, w: str) -> str:
 
 
 ORACLES["probe_deltas"] = f"WITH {_SCORED} SELECT 'smoothed' AS variant, {_probe('prefix', 'wp')}, {_probe('error', 'we')}, {_probe('suffix', 'ws')}, {_probe('mask', 'w')} FROM scored WHERE side = 'rejected'"
+
+ORACLES["rejected_logp_annotation"] = f"WITH {_SUMS} SELECT pairs.idx, template, round(policy, 6) AS weighted_rejected_logp FROM pairs LEFT JOIN sums ON sums.idx = pairs.idx AND side = 'rejected'"
+ORACLES["bigram_logp"] = f"""WITH {_TOKENS}, b AS (SELECT side, lag(token) OVER (PARTITION BY idx, side ORDER BY pos) AS prev, token FROM toks),
+c AS (SELECT prev, count(*) AS before_ FROM b WHERE side = 'chosen' AND prev IS NOT NULL GROUP BY prev), p AS (SELECT prev, token, count(*) AS n FROM b WHERE side = 'chosen' AND prev IS NOT NULL GROUP BY 1, 2), k AS (SELECT count(*) AS kinds FROM c)
+SELECT side, round(avg(ln((coalesce(n, 0) + 1.0) / (coalesce(before_, 0) + 1.0 * (kinds + 1)))), 6) AS mean_logp, count(*) AS n FROM b LEFT JOIN c USING (prev) LEFT JOIN p USING (prev, token), k WHERE prev IS NOT NULL GROUP BY side"""
+ORACLES["process_positive_metrics"] = f"""WITH {_SCORED}, sums AS (SELECT idx, side, coalesce(sum(w * (policy - ref)) FILTER (WHERE pos >= 1), 0) AS r, coalesce(sum(wp * (policy - ref)) FILTER (WHERE pos >= 1), 0) AS pr FROM scored GROUP BY idx, side),
+p AS (SELECT c.idx, c.r AS cr, r.r AS rr, r.pr AS pr FROM sums c JOIN sums r ON c.idx = r.idx AND c.side = 'chosen' AND r.side = 'rejected')
+SELECT round(avg(ln(1 + exp(-0.1 * (cr - rr)))) - 0.2 * avg(pr), 6) AS loss, round(avg(cr), 6) AS chosen_reward, round(avg(rr), 6) AS rejected_reward, round(avg(cr - rr), 6) AS reward_margin, round(-avg(pr), 6) AS process_positive_loss FROM p"""
+ORACLES["padded_batch"] = f"""WITH {_FEW}, t AS (SELECT idx, list_transform(string_split(question, ' '), lambda x: length(x)) AS l FROM q), m AS (SELECT max(len(l)) + 2 AS n FROM t)
+SELECT idx, array_to_string(list_concat(l, list_transform(range(n - len(l)), lambda x: 0)), ',') AS ids FROM t, m"""
+ORACLES["strict_pairing"] = f"WITH {_FEW} SELECT idx, 'reply ' || answer AS completion FROM q"
+ORACLES["confident_rates"] = f"WITH base AS ({ORACLES['localize_rates']}) SELECT l_orderkey AS idx, 'rates' AS branch, first_error AS first_error_step, confidence FROM base WHERE confidence >= 0.6"
+ORACLES["short_traces_dropped"] = f"WITH {_SEG} SELECT conv_id, turn, CAST(len(steps) AS INT) AS n_steps FROM seg WHERE len(steps) >= 2"
+ORACLES["judged_pairs"] = f"""WITH {_PAIRS}, x AS (SELECT idx, len(rejected_steps) AS n, idx % 6 = 5 AS f, CAST(CASE WHEN idx % 6 = 5 THEN len(rejected_steps) - 1 ELSE least(idx % 4, len(rejected_steps) - 1) END AS INT) AS c FROM pairs)
+SELECT idx, c AS first_error_step, CASE WHEN f THEN 0.0 ELSE 0.75 END AS localization_confidence, CASE WHEN f THEN 'parse_failed' ELSE 'x' END AS judge_rationale, f AS parse_failed, {_listed(_DECAY.format(m='c', g=0.25), 'n')} AS weights FROM x"""
+ORACLES["cached_localisations"] = "SELECT c_custkey AS sample_id FROM customer WHERE c_custkey % 3 <> 0"

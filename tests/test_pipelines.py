@@ -175,3 +175,14 @@ def test_windowed_rates_close(spark, sf, tmp_path):
     q = s.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("rates").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_strict_pairing_raises(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string")
+    for rows in ([(1, "p")], [(1, "p"), (2, "q"), (2, "r")], [(1, "p"), (2, "q"), (3, "r")]):
+        with pytest.raises(Exception, match="sides differ"):
+            P.pair_strictly(a, spark.createDataFrame(rows, "k int, b string"), ["k"]).collect()
+    assert P.pair_strictly(a, spark.createDataFrame([(2, "q"), (1, "p")], "k int, b string"), ["k"]).count() == 2
+    assert P.parse_named_paths(["a=b=c"]) == {"a": "b=c"}
+    with pytest.raises(ValueError):
+        P.parse_named_paths(["a"])
