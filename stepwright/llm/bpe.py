@@ -13,10 +13,10 @@ from . import common as C
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts above this many characters are cut at safe boundaries before the library sees them.
 LONG = 1 << 16
-#: No match of the pattern spans a place where white space follows anything else, nor one between a
-#: letter and a number: every alternative takes white space only in front, and no alternative holds
-#: letters and numbers together.
-_SAFE = r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"
+#: No match of the pattern spans a place where ASCII white space follows a letter or digit, nor one
+#: between an ASCII letter and a digit: every alternative takes white space only in front, and none
+#: holds letters and numbers together.  Classes on which Unicode versions could differ are left out.
+_SAFE = r"(?<=[\p{L}0-9])(?=[ \t\n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
 
 
 def encoding(path: str, pattern: str):

@@ -102,4 +102,33 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(C.table(spark, sf_dir, "pages"))
+    found = judge(C.table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
+
+
+def oracle() -> str:
+    """The production query in DuckDB: the rounds of propagation are written out one after another."""
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    ordered = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r[0] == "block"), reverse=True)
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{pick(v, h, p)}'" for v, h, p in ordered) + " END"
+    link = r"""(?i)href\s*=\s*[\x22'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\x22''\s<>]+)"""
+    lower = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+    turn = lambda i: f"r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(r) AS r FROM (SELECT * FROM base UNION ALL SELECT kind, dst, r * f FROM r{i} JOIN step USING (kind, host)) GROUP BY kind, host)"
+    return f"""WITH p AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {lower}) AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+own AS (SELECT page_id, html, host, path, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled FROM h),
+l AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS d FROM own WHERE host <> ''),
+links AS (SELECT src, translate(d, {lower}) AS dst, count(*) AS w FROM l WHERE src <> translate(d, {lower}) GROUP BY 1, 2),
+known AS (SELECT host AS src FROM own WHERE host <> '' UNION SELECT dst FROM links),
+parts AS (SELECT string_split(src, '.') AS x FROM known WHERE contains(src, '.')),
+pairs AS (SELECT x, unnest(range(1, len(x))) AS i FROM parts),
+up AS (SELECT DISTINCT array_to_string(x[i:], '.') AS a, array_to_string(x[i + 1:], '.') AS b FROM pairs WHERE len(x) - i >= 2),
+edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM links UNION ALL SELECT a, b, 1 FROM up UNION ALL SELECT b, a, 1 FROM up) GROUP BY src, dst),
+ways AS (SELECT 0 AS kind, src AS host, dst, w FROM edges UNION ALL SELECT 1, dst, src, w FROM edges),
+step AS MATERIALIZED (SELECT kind, host, dst, w / sum(w) OVER (PARTITION BY kind, host) * {DAMPING} AS f FROM ways),
+share AS (SELECT host, avg((ruled IS NOT DISTINCT FROM 'allow')::INT) AS t, avg((ruled IS NOT DISTINCT FROM 'block')::INT) AS d FROM own WHERE host <> '' GROUP BY host),
+base AS MATERIALIZED (SELECT 0 AS kind, host, t * {1 - DAMPING} AS r FROM share WHERE t > 0 UNION ALL SELECT 1, host, d * {1 - DAMPING} FROM share WHERE d > 0),
+r0 AS (SELECT * FROM base), {", ".join(map(turn, range(ROUNDS)))},
+s AS (SELECT host, coalesce(sum(r) FILTER (WHERE kind = 0), 0) / {1 - DAMPING} AS trust, coalesce(sum(r) FILTER (WHERE kind = 1), 0) / {1 - DAMPING} AS distrust FROM r{ROUNDS} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust FROM own LEFT JOIN s USING (host)"""

@@ -127,3 +127,22 @@ def keep_documents(docs: DataFrame, version: str = CURRENT, text: str = "text")
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = apply_policy(ledger(C.table(spark, sf_dir, "documents")))
     return led.select("doc_id", *BASE, "base_failed", "kept", "fail_bits", *MORE)
+
+
+ORACLE = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+u AS (SELECT r, unnest(range(len(ws))) AS i, unnest(ws) AS x FROM w),
+v AS (SELECT r, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, x, z IS NOT NULL AND count(*) OVER (PARTITION BY r, x, y, z) > 1 AS hit FROM v),
+m AS (SELECT r, x, hit OR coalesce(lag(hit) OVER o, false) OR coalesce(lag(hit, 2) OVER o, false) AS marked FROM c WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, count(*) FILTER (WHERE marked) AS rep, count(*) FILTER (WHERE ends_with(x, '!!')) AS shout,
+    count(*) FILTER (WHERE octet_length(encode(x)) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')) AS upper_ FROM m GROUP BY r),
+a AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(rep, 0) AS n_repeat_words, len(ls) AS n_lines, coalesce(upper_, 0) AS n_upper_words, coalesce(shout, 0) AS n_shout_words FROM w LEFT JOIN g USING (r)),
+b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+    + 8 * (n_lines >= 4 AND 10 * n_dup_lines > 5 * n_lines)::INT + 16 * (10 * n_shout_words > 3 * n_words OR 10 * n_upper_words > 5 * n_words)::INT
+    + 32 * (word_chars < 2 * n_words)::INT + 64 * (word_chars > 14 * n_words)::INT AS fail_bits FROM a)
+SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_exact": exact.query,
     "op10_mixing": mixing.query,
 }
-ORACLES = {"op9_exact": exact.ORACLE}
+ORACLES = {"op1_linkrank": linkrank.oracle(), "op8_quality": quality.ORACLE, "op9_exact": exact.ORACLE}

@@ -51,7 +51,7 @@ class Model:
         return self.bias + sum([own[w] for w in words(sentence) if w in own])
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 200, decay: float = 2e-4, rate: float = 0.1, min_docs: int = MIN_DOCS, least_z: float = LEAST_Z) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = 500, decay: float = 1e-5, rate: float = 0.1, min_docs: int = MIN_DOCS, least_z: float = LEAST_Z) -> Model:
     """Fit sentence weights to document labels through noisy-or by full-batch Adam with weight decay.
 
     Equal texts count once (with their largest label).  Features are the words that stand in at least
@@ -122,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     if n > max_train:
         share = int(max_train / n * (1 << 20))
         lab = lab.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share)
-    got = C.pick(docs, key, "text").join(F.broadcast(lab) if n <= 1_000_000 else lab, key).select("text", "y").toArrow()
+    # about ``max_train`` labels are left, so both the broadcast and the collected texts are bounded
+    got = C.pick(docs, key, "text").join(F.broadcast(lab), key).select("text", "y").toArrow()
     order = sorted(zip((t or "" for t in got["text"].to_pylist()), got["y"].to_pylist()))
     return fit([t for t, _ in order], [y for _, y in order], **how)
 
