@@ -13,7 +13,7 @@ from . import common as C
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: Words a block aims at; blocks of one source and output shards are bounded whatever the input.
-BLOCK_WORDS, MAX_BLOCKS, SHARD_WORDS, MAX_SHARDS = 50_000, 1024, 1_000_000, 4096
+BLOCK_WORDS, MAX_BLOCKS, SHARD_WORDS, MAX_SHARDS = 20_000, 4096, 500_000, 16_384
 #: The draw table goes to the executors with a broadcast up to this many rows, else by a join.
 BROADCAST_ROWS = 200_000
 
@@ -166,7 +166,7 @@ def mix(docs: DataFrame, key="doc_id", text="text", source="source", **how) -> D
     own = plain.withColumn(key, F.col(f"_c{at[0]}")).withColumn("source", F.col(f"_c{at[1]}"))
     rows = plan.draws(own).withColumn("draw", F.explode("draws"))
     order = F.xxhash64(F.lit(plan.seed + 2), F.col(key), F.col("draw.shard"), F.col("draw.epoch"))
-    dealt = rows.repartition("draw.shard").sortWithinPartitions("draw.shard", order)
+    dealt = rows.repartition(plan.shards, "draw.shard").sortWithinPartitions("draw.shard", order)
     return dealt.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
 
 
