@@ -15,7 +15,7 @@ from . import common as C
 #: Labelled documents the model is fitted on at most, taken by hash of the id.
 MAX_TRAIN = 10_000
 MIN_DOCS = 6
-LEAST_Z = 5.0
+LEAST_Z = 4.0
 THRESHOLD = 0.7
 #: Sentences at or above this score are reported as offending.
 SENTENCE = 0.5
