@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,61 +15,94 @@ from . import common as C
 
 #: A run has at least this many sentences and this many words.
 RUN_SENTENCES, RUN_WORDS = 3, 25
-#: Longer sentences are cut after words that a hash picks, alike wherever the words stand.
-LONG_SENTENCE, CUT_ONE_IN = 24, 8
-_END = rb"[.!?](?=[\x20\x09-\x0D]|\Z)"
-
-
-def sentences(data: bytes) -> list[tuple[int, int, int]]:
-    """``(start, end, words)`` in bytes: up to ``.``, ``!``, ``?`` before white space, or a line's end."""
-    end = C.process_cache(("span end",), lambda: re.compile(_END))
-    out, at = [], 0
-    for line in data.split(b"\n"):
-        start = 0
-        for m in end.finditer(line):
-            _add(out, at, line, start, m.end())
-            start = m.end()
-        if start < len(line):
-            _add(out, at, line, start, len(line))
-        at += len(line) + 1
+#: Sentences are cut after the word with the least hash (the last of equal ones) of every so many words in
+#: a row.  Two texts that share 51 words share the cuts from the 9th word on to the 9th from the end at
+#: least, so 34 words: whatever the first cut, a run of at most 25 + 8 words from it fits.
+WINDOW = 9
+
+
+class Pieces(list):
+    """``(start, end, words)`` in bytes, and by ``kinds`` the piece counts at which each way of cutting ends a piece."""
+
+    kinds: list[list[int]]
+
+
+def _spaces() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(b" \t\n\x0b\x0c\r")] = True
     return out
 
 
-def _add(out: list, at: int, line: bytes, start: int, stop: int) -> None:
-    piece = line[start:stop]
-    words = piece.split()
+def _least(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Words with the least hash of some window within a part."""
+    m = np.minimum(key[:-1], key[1:])
+    m = np.minimum(m[:-2], m[2:])
+    m = np.minimum(m[:-4], m[4:])
+    m = np.minimum(m[:-1], key[WINDOW - 1 :])
+    return 0xFFFFFFFF - (m[part[: 1 - WINDOW] == part[WINDOW - 1 :]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def sentences(data: bytes) -> Pieces:
+    """Texts cut in two ways, into pieces that end where either does.
+
+    Both end sentences at ``.``, ``!``, ``?`` before white space and cut them by ``WINDOW``.  The first takes line
+    ends for plain white space, so that a passage is found however it is wrapped; the second ends
+    sentences there too, so that repeated lines are found whole whatever stands around them.
+    """
+    out = Pieces()
+    out.kinds = [[]]
+    words = data.split()
     n = len(words)
     if not n:
-        return
-    a = start + len(piece) - len(piece.lstrip())
-    if n <= LONG_SENTENCE:
-        out.append((at + a, at + start + len(piece.rstrip()), n))
-        return
-    first, since = a, 0
-    for i, w in enumerate(words):
-        a = line.index(w, a) + len(w)
-        if i - since >= 3 and xxhash.xxh32_intdigest(w) % CUT_ONE_IN == 0 or i == n - 1:
-            out.append((at + first, at + a, i + 1 - since))
-            since = i + 1
-            if since < n:
-                first = line.index(words[since], a)
+        return out
+    raw = np.frombuffer(data, np.uint8)
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = C.process_cache(("span spaces",), _spaces)[raw]
+    turn = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = turn[::2], turn[1::2]
+    last = raw[ends - 1]
+    stop = (last == 46) | (last == 33) | (last == 63)
+    stop[-1] = True
+    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    broken = np.append(line[1:] != line[:-1], True)
+    key = None
+    if n >= WINDOW:
+        key = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint64, n) << np.uint64(32)
+        key |= np.uint64(0xFFFFFFFF) - np.arange(n, dtype=np.uint64)
+    ways = []
+    for end in (stop,) if not (broken & ~stop).any() else (stop, stop | broken):
+        mark = end.copy()
+        if key is not None:
+            mark[_least(key, np.cumsum(end) - end)] = True
+        ways.append(mark)
+    cuts = np.flatnonzero(np.logical_or.reduce(ways))
+    firsts = np.append(0, cuts[:-1] + 1)
+    out.extend(zip(starts[firsts].tolist(), ends[cuts].tolist(), (cuts - firsts + 1).tolist()))
+    out.kinds = [(np.flatnonzero(m[cuts]) + 1).tolist() for m in ways]
+    return out
 
 
 def runs(spans: list[tuple[int, int, int]], least: int = RUN_SENTENCES, words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """Sentence ranges ``(first, last)``: from each sentence the shortest run on and the shortest run back."""
-    n, found = len(spans), []
-    total = [0]
-    for s in spans:
-        total.append(total[-1] + s[2])
-    j = 0
+    """Piece ranges ``(first, last)``: from each sentence the shortest run on and the shortest run back, for each way of cutting."""
+    total = [0, *accumulate(s[2] for s in spans)]
+    found = {}
+    for stops in getattr(spans, "kinds", None) or [range(1, len(spans) + 1)]:
+        at = [0, *stops]
+        for i, j in _runs([total[k] for k in at], least, words):
+            found[at[i], at[j] - 1] = None
+    return list(found)
+
+
+def _runs(total: list[int], least: int, words: int):
+    """``(i, j)`` of boundaries that enclose a run, by the words before each boundary."""
+    n, j = len(total) - 1, 0
     for i in range(n):
         j = max(j, i + least)
         while j <= n and total[j] - total[i] < words:
             j += 1
         if j > n:
             break
-        found.append((i, j - 1))
-    own = set(found)
+        yield i, j
     i = n
     for e in range(n, 0, -1):
         i = min(i, e - least)
@@ -76,9 +110,7 @@ def runs(spans: list[tuple[int, int, int]], least: int = RUN_SENTENCES, words: i
             i -= 1
         if i < 0:
             break
-        if (i, e - 1) not in own:
-            found.append((i, e - 1))
-    return found
+        yield i, e
 
 
 def _signed(x: int) -> int:
@@ -105,10 +137,12 @@ def run_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 if not body:
                     continue
                 spans = sentences(body)
-                norm = [b" ".join(body[a:b].split()) for a, b, _ in spans]
-                seen = set()
+                # the words of piece i stand at place[i] of the plain text, one space between words
+                plain, place, seen = b" ".join(body.split()), [0], set()
+                for a, b, _ in spans:
+                    place.append(place[-1] + len(b" ".join(body[a:b].split())) + 1)
                 for i, j in sorted(runs(spans)):
-                    h = xxhash.xxh3_128_intdigest(b" ".join(norm[i : j + 1]))
+                    h = xxhash.xxh3_128_intdigest(plain[place[i] : place[j + 1] - 1])
                     at.append(k)
                     old, _ = h in seen, seen.add(h)
                     for c, v in zip(cols, (i, j, old, _signed(h >> 64), (h & 0xFFFFFFFF) - (1 << 31))):
@@ -124,13 +158,14 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``row, ranges array<struct<first,last>>``: the non-first repeated runs of each row.
 
     A run's first occurrence is its first in the row with the smallest key, null keys last; rows that
-    share a key count as one document there.  Counting combines before the shuffle and keeps runs that
-    stand more than once; only those are joined, so unique text moves once, as hashes.
+    share a key count as one document there.  Runs move once, as hashes, and are counted where they meet.
     """
-    table = C.written(run_table(docs, key, text), "runs")
-    known = table.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1").drop("n")
-    hit = table.join(known, ["a", "b"]).where(F.col("again") | ~F.col("id").eqNullSafe(F.col("low")))
-    return hit.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    alike = Window.partitionBy("a", "b")
+    table = run_table(docs, key, text).select("a", "b", "id", "row", F.expr("first * 4294967296L + last * 2 + int(again)").alias("at"))
+    met = table.withColumn("n", F.count("*").over(alike)).withColumn("low", F.min("id").over(alike))
+    hit = met.where((F.col("n") > 1) & ((F.expr("at & 1") == 1) | ~F.col("id").eqNullSafe(F.col("low"))))
+    place = F.struct(F.expr("int(shiftright(at, 32))").alias("first"), F.expr("int(shiftright(at & 4294967295L, 1))").alias("last"))
+    return hit.groupBy("row").agg(F.collect_set(place).alias("ranges"))
 
 
 def cut(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

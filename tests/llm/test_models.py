@@ -300,6 +300,38 @@ def test_spans_find_planted_passages(spark, stop):
     assert " ".join(rows[7][1][r.start : r.end] for r in got[7].removed).split() == passage.split()[80 - got[7].removed_words :] or got[7].removed_words >= 60
 
 
+def run_texts(text):
+    body = text.encode()
+    s = spans.sentences(body)
+    return {b" ".join(body[s[i][0] : s[j][1]].split()) for i, j in spans.runs(s)}
+
+
+@pytest.mark.parametrize("stop", [0, 0.05, 0.15])
+def test_spans_find_any_51_words_wherever_they_stand_and_however_wrapped(spark, stop):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    say = lambda n: [rng.choice(vocab) + ("." if rng.random() < stop else "") for _ in range(n)]
+    for trial in range(300):
+        passage, wrap = say(51), rng.randrange(5, 15)
+        one = " ".join([*say(rng.randrange(40)), *passage, *say(rng.randrange(40))])
+        words = [*say(rng.randrange(40)), *passage, *say(rng.randrange(40))]
+        two = "\n".join(" ".join(words[k : k + wrap]) for k in range(0, len(words), wrap)) if trial % 2 else " ".join(words)
+        common = run_texts(one) & run_texts(two)
+        assert any(len(r.split()) >= 25 and r in " ".join(passage).encode() for r in common)
+        assert not run_texts(one) & run_texts(" ".join(say(150)))
+    rows = [(1, one), (2, two), (3, " ".join(say(150)))]
+    got = {r.doc_id: r.removed_words for r in spans.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[3] == 0 and 34 <= got[2] <= 51
+
+
+def test_spans_find_repeated_lines_whole():
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    lines = "\n".join(say(9) for _ in range(3))
+    common = run_texts(f"{say(20)}\n{lines}\n{say(20)}") & run_texts(f"{say(30)}\n{lines}\n{say(30)}")
+    assert " ".join(lines.split()).encode() in common
+
+
 # --- licences
 
 
