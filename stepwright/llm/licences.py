@@ -30,8 +30,9 @@ MAX_TRAIN = 600
 PARAGRAPHS = 6_000
 GRAMS = 3
 #: A prediction counts from this calibrated probability, if this share of some template's or of the
-#: paragraph's own n-grams is shared.
-LEAST_P, LEAST_MATCH = 0.5, 0.6
+#: paragraph's own n-grams is shared; the latter for paragraphs of so many words, as shorter ones
+#: ("Version 2.0", "the following conditions") are in templates by chance.
+LEAST_P, LEAST_MATCH, LEAST_OWN = 0.5, 0.6, 8
 _TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -53,11 +54,67 @@ def paragraphs(text: str):
         at += len(line) + 1
 
 
+class Templates:
+    """The templates' n-grams, and where in a text one may stand on one line or across wrapped lines."""
+
+    def __init__(self, templates: list[tuple[str, frozenset]]):
+        self.templates = templates
+        self.longest = max(sum(" " not in g for g in t) + 8 for _, t in templates)  # words may repeat
+        # what a line must hold of a template to share LEAST_MATCH: one of its pairs, unless single words suffice
+        self.pairs = frozenset(tuple(g.split(" ")) for _, t in templates for g in t if g.count(" ") == 1)
+        words = [frozenset(g for g in t if " " not in g) for _, t in templates]
+        self.rare = frozenset().union(*(w for w, (_, t) in zip(words, templates) if len(w) >= LEAST_MATCH * len(t)))
+
+    def share(self, own, family: str | None = None) -> float:
+        """The largest share of a template's n-grams that are among ``own``."""
+        return max((len(own & t) / len(t) for f, t in self.templates if family in (None, f)), default=0.0)
+
+    def own_share(self, own, family: str) -> float:
+        return max((len(own & t) / max(len(own), 1) for f, t in self.templates if f == family), default=0.0)
+
+    def warm(self, lines: list[list[str]]) -> list[bool]:
+        """Whether a template's pair ends in the line."""
+        last, out = None, []
+        for ws in lines:
+            out.append(bool(ws) and (not self.pairs.isdisjoint(zip(ws, ws[1:])) or (last, ws[0]) in self.pairs or not self.rare.isdisjoint(ws)))
+            last = ws[-1] if ws else None
+        return out
+
+    def windows(self, lines: list[list[str]], warm: list[bool]):
+        """``(i, j, n-grams)`` of neighbouring lines ``i..j`` that may hold a template together; a line without words parts them."""
+        seen = [0]
+        for w in warm:
+            seen.append(seen[-1] + w)
+        for i in range(len(lines)):
+            inner, j = 0, i + 1
+            while lines[i] and j < len(lines) and lines[j] and inner < self.longest:
+                if seen[j + 1] > seen[i]:
+                    own = set(grams([w for ws in lines[i : j + 1] for w in ws]))
+                    if self.share(own) >= LEAST_MATCH:
+                        yield i, j, own
+                inner += len(lines[j])
+                j += 1
+
+
+def _lines(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
+    """Spans and words of the lines; blank lines have an empty span and no words."""
+    at, words, end = [], [], 0
+    for a, b in paragraphs(text):
+        if at and text.count("\n", end, a) > 1:
+            at.append((a, a))
+            words.append([])
+        at.append((a, b))
+        words.append(tokens(text[a:b]))
+        end = b
+    return at, words
+
+
 class Model:
     """Sparse weights ``gram -> one weight for each family``, biases, temperature and template grams."""
 
     def __init__(self, weights: dict[str, tuple], bias: tuple, heat: float, templates: list[tuple[str, frozenset]]):
         self.weights, self.bias, self.heat, self.templates = weights, bias, heat, templates
+        self.known = Templates(templates)
         self.unknown = self.probabilities([])  # of a paragraph without any known n-gram
 
     def probabilities(self, found: list[str]) -> list[float]:
@@ -72,7 +129,14 @@ class Model:
     def predict(self, paragraph: str) -> tuple[str, float, float]:
         """``(family, probability, match)``; unknown where the classifier or the templates say so."""
         words = tokens(paragraph)
-        own = set(grams(words)) if any(w in self.weights for w in words) else ()
+        own = set(grams(words)) if any(w in self.weights for w in words) else set()
+        family, p, match = self.judge(own)
+        if family == "unknown" and len(words) >= LEAST_OWN:
+            return self.judge(own, self.known.own_share)
+        return family, p, match
+
+    def judge(self, own: set, share=None) -> tuple[str, float, float]:
+        """Of a paragraph's n-grams, confirmed by ``share``: of a template's n-grams if none is given."""
         found = sorted(g for g in own if g in self.weights)
         if not found:
             return "unknown", self.unknown[-1], 0.0
@@ -80,11 +144,51 @@ class Model:
         best = int(np.argmax(p))
         if FAMILIES[best] == "unknown" or p[best] < LEAST_P:
             return "unknown", p[-1], 0.0
-        match = max((len(own & t) / len(t) for f, t in self.templates if f == FAMILIES[best]), default=0.0)
+        match = (share or self.known.share)(own, FAMILIES[best])
         if match < LEAST_MATCH:
             return "unknown", p[-1], match
         return FAMILIES[best], p[best], match
 
+    def find(self, text: str) -> list[tuple[str, int, int, float, float]]:
+        """``(family, start, end, probability, match)`` of lines and runs of lines, in order.
+
+        Lines that share enough of a template come first.  Then come neighbouring lines that share more of
+        one than without their first or last, the best first; they overlap none of their own family.  Other
+        lines count that share enough of their own n-grams with one.  What the last two steps find right
+        beside a match of its family is taken for more of that notice.
+        """
+        at, lines = _lines(text)
+        warm = self.known.warm(lines)
+        if not any(warm):
+            return []
+        own = {k: set(grams(lines[k])) for k, w in enumerate(warm) if w}
+        taken = {(k, k): m for k, o in own.items() if (m := self.judge(o))[0] != "unknown"}
+        several, whole = [], set(taken)
+        for i, j, o in self.known.windows(lines, warm):
+            m = self.judge(o)
+            if m[0] != "unknown":
+                less = (set(grams([w for ws in lines[a:b] for w in ws])) for a, b in ((i, j), (i + 1, j + 1)))
+                if all(self.known.share(x, m[0]) < m[2] for x in less):
+                    several.append((-m[2], j - i, i, j, m))
+        for _, _, i, j, m in sorted(several):
+            if not any(a <= j and i <= b and o[0] == m[0] for (a, b), o in taken.items()):
+                taken[i, j] = m
+        for k, o in own.items():
+            if len(lines[k]) >= LEAST_OWN and not any(a <= k <= b for a, b in taken):
+                m = self.judge(o, self.known.own_share)
+                if m[0] != "unknown":
+                    taken[k, k] = m
+        out, after = [], {}  # by family: the line behind its last match, that match's place, whether it is a whole line
+        for (i, j), (family, p, match) in sorted(taken.items()):
+            line, k, alone = after.get(family, (None, None, None))
+            if line == i and not (alone and (i, j) in whole):
+                out[k] = (family, out[k][1], at[j][1], max(p, out[k][3]), max(match, out[k][4]))
+                after[family] = j + 1, k, False
+            else:
+                after[family] = j + 1, len(out), (i, j) in whole
+                out.append((family, at[i][0], at[j][1], p, match))
+        return out
+
 
 def _variants(text: str, rng: np.random.Generator, filler: list[str]) -> list[str]:
     """A notice as it turns up: whole, with a year or a name, words lost, text around it."""
@@ -97,6 +201,17 @@ def _variants(text: str, rng: np.random.Generator, filler: list[str]) -> list[st
     return out
 
 
+def _templates() -> list[tuple[str, frozenset]]:
+    return [(f, frozenset(grams(tokens(t)))) for f, ts in sorted(TEMPLATES.items()) for t in ts]
+
+
+def _clean(text: str, known: Templates) -> list[str]:
+    """The lines that do not hold a template together with their neighbours."""
+    at, lines = _lines(text)
+    bad = {k for i, j, _ in known.windows(lines, known.warm(lines)) for k in range(i, j + 1)}
+    return [text[a:b] for k, (a, b) in enumerate(at) if a < b and (k not in bad or not known.warm([lines[k]])[0])]
+
+
 def fit(background: list[str], seed: int = 0, epochs: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model:
     """Multinomial logistic regression on templates' variants and background paragraphs.
 
@@ -105,7 +220,7 @@ def fit(background: list[str], seed: int = 0, epochs: int = 300, rate: float = 0
     the temperature that makes probabilities fit their accuracy.
     """
     rng = np.random.default_rng(seed)
-    templates = [(f, frozenset(grams(tokens(t)))) for f, ts in sorted(TEMPLATES.items()) for t in ts]
+    templates = _templates()
     vocab = {g: i for i, g in enumerate(sorted(set().union(*(t for _, t in templates))))}
     filler = sorted({w for p in background[:500] for w in p.split()[:20]})
     rows = [(v, FAMILIES.index(f)) for f, ts in sorted(TEMPLATES.items()) for t in ts for v in _variants(t, rng, filler)]
@@ -154,12 +269,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
     if n > max_docs:
         own = own.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(max_docs / n * (1 << 20)) + 1)
     texts = sorted(t or "" for t in own.select(text).toArrow()[text].to_pylist())
-    parts = sorted({t[a:b] for t in texts for a, b in paragraphs(t)}, key=lambda p: (len(p) * 2654435761 % 65521, p))
+    known = Templates(_templates())
+    parts = sorted({p for t in texts for p in _clean(t, known)}, key=lambda p: (len(p) * 2654435761 % 65521, p))
     return fit(parts[:max_paragraphs])
 
 
 def scan(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """``keep, matches``: every paragraph with a confirmed family, as character spans with probability and match.
+    """``keep, matches``: every line or run of wrapped lines with a confirmed family, as character spans with probability and match.
 
     Null and empty texts have no match.  One row for each input row; whole texts are read.
     """
@@ -169,12 +285,8 @@ def scan(docs: DataFrame, model: Model, keep=("doc_id",), text: str = "text") ->
         own = Model(weights, bias, heat, templates)
         out = []
         for raw in texts:
-            t, found = raw.decode("utf-8", "replace"), []
-            for a, b in paragraphs(t):
-                family, p, match = own.predict(t[a:b])
-                if family != "unknown":
-                    found.append({"family": family, "start": a, "end": b, "p": p, "match": match})
-            out.append(found)
+            found = own.find(raw.decode("utf-8", "replace"))
+            out.append([{"family": f, "start": a, "end": b, "p": p, "match": match} for f, a, b, p, match in found])
         return [out]
 
     return C.map_texts(docs, keep, [("matches", "array<struct<family:string,start:int,end:int,p:double,match:double>>")], fn, text)

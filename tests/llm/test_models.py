@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -357,3 +358,35 @@ def test_licences_are_found_and_clean_text_is_not(spark, sf):
     got = {r.doc_id: ",".join(m.family for m in r.matches) for r in licences.scan(own, model).collect()}
     assert got == {e[0]: e[2] for e in extra}
     assert licences.scan(own.limit(0), licences.train(own.limit(0))).count() == 0
+
+
+NOTICES = {
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# "])
+def test_licences_wrapped_over_lines_are_found_once(spark, sf, mark):
+    model = licences.train(docs(spark, sf))
+    rows, want = [], {}
+    for family, notice in NOTICES.items():
+        for width in (30, 60, 70, 72, 76, 80):
+            head = "\n".join(mark + x for x in textwrap.wrap(notice, width))
+            want[len(rows)] = family
+            rows.append((len(rows), f"import this\n\n{head}\n{mark}\nx = 1\n"))
+    rows += [(100, "The terms of the peace were free to\nmodify, for the general public and\nthe use of all rights in every form"), (101, "Version 2.0\nthe following conditions\n\nare met")]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in licences.scan(own, model).collect():
+        assert [m.family for m in r.matches] == ([want[r.doc_id]] if r.doc_id in want else [])
+        for m in r.matches:
+            cut = rows[r.doc_id][1][m.start : m.end]
+            assert " ".join(cut.replace("# ", "").split()[:8]) == " ".join(NOTICES[m.family].split()[:8])
+
+
+def test_a_line_counts_by_its_own_ngrams(spark, sf):
+    model = licences.train(docs(spark, sf))
+    line = "it under the terms of the GNU General Public License as published by"
+    family, p, match = model.predict(line)
+    assert family == "gpl" and p >= 0.5 and match >= 0.6
