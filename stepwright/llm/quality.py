@@ -43,21 +43,24 @@ def measure(data: bytes) -> tuple[int, ...]:
     return n, points - space, symbols, dup, rep, len(lines), upper, shout
 
 
-#: Rules in bit order: name and failure test on the measurements.  Bits are never renumbered.
+#: Rules in bit order: name and failure test on the measurements, columns or plain numbers.  Bits are never renumbered.
+RULES = (
+    ("few_words", lambda m: m["n_words"] < 50),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    ("duplicate_lines", lambda m: (m["n_lines"] >= 4) & (10 * m["n_dup_lines"] > 5 * m["n_lines"])),
+    ("shouting", lambda m: (10 * m["n_shout_words"] > 3 * m["n_words"]) | (10 * m["n_upper_words"] > 5 * m["n_words"])),
+    ("short_mean_word", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    ("long_mean_word", lambda m: m["word_chars"] > 14 * m["n_words"]),
+)
+RULE_NAMES = tuple(name for name, _ in RULES)
+
+
 def rules() -> list[tuple[str, Column]]:
-    c = F.col
-    return [
-        ("few_words", c("n_words") < 50),
-        ("repeated_windows", 100 * c("n_repeat_words") > 50 * c("n_words")),
-        ("symbols", 10 * c("n_symbols") > c("n_words")),
-        ("duplicate_lines", (c("n_lines") >= 4) & (10 * c("n_dup_lines") > 5 * c("n_lines"))),
-        ("shouting", (10 * c("n_shout_words") > 3 * c("n_words")) | (10 * c("n_upper_words") > 5 * c("n_words"))),
-        ("short_mean_word", c("word_chars") < 2 * c("n_words")),
-        ("long_mean_word", c("word_chars") > 14 * c("n_words")),
-    ]
-
-
-RULE_NAMES = ("few_words", "repeated_windows", "symbols", "duplicate_lines", "shouting", "short_mean_word", "long_mean_word")
+    m = {x: F.col(x) for x in (*BASE, *MORE)}
+    return [(name, fails(m)) for name, fails in RULES]
+
+
 BASE_MASK = 0b11
 #: Versioned policies: the rules in force as a mask.  A version is never changed, only superseded.
 POLICIES = {"v1": BASE_MASK, "v2": 0b0000111, "v3": 0b1111111}
@@ -103,24 +106,19 @@ def ablations(led: DataFrame, version: str = CURRENT) -> DataFrame:
     return one.select(F.explode(F.array(*one.columns)).alias("x")).select("x.*")
 
 
+def fail_bits(data: bytes) -> int:
+    """The ledger's ``fail_bits`` of one text."""
+    m = dict(zip((*BASE, *MORE), measure(data)))
+    return sum(1 << i for i, (_, fails) in enumerate(RULES) if fails(m))
+
+
 def rejects(data: bytes, version: str = CURRENT) -> bool:
-    """Whether a policy rejects one text; the same tests as ``rules`` on plain numbers."""
-    n, chars, symbols, dup, rep, lines, upper, shout = measure(data)
-    fails = (
-        n < 50,
-        100 * rep > 50 * n,
-        10 * symbols > n,
-        lines >= 4 and 10 * dup > 5 * lines,
-        10 * shout > 3 * n or 10 * upper > 5 * n,
-        chars < 2 * n,
-        chars > 14 * n,
-    )
-    mask = POLICIES[version] | BASE_MASK
-    return any(f for i, f in enumerate(fails) if mask >> i & 1)
+    """Whether a policy rejects one text by its bits."""
+    return fail_bits(data) & (POLICIES[version] | BASE_MASK) != 0
 
 
 def keep_documents(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
-    """The documents, all columns, that a policy keeps; one pass, no shuffle."""
+    """The documents, all columns, that a policy keeps by the ledger's bits; one pass, no shuffle, no ledger stored."""
     return C.filter_texts(docs, lambda t: not rejects(t, version), text)
 
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 pytest.importorskip("stepwright.llm")
-from helpers import ROWS, docs, frame  # noqa: E402
+from helpers import ROWS, SCHEMA, docs, frame  # noqa: E402
 
 from stepwright.llm import bpe, exact, mixing, quality, registry, simhash  # noqa: E402
 
@@ -87,6 +87,25 @@ def test_quality_policy_ledger_and_filter_agree(spark, sf):
     assert quality.keep_documents(frame(spark, [])).count() == 0
 
 
+def test_quality_bits_of_one_text_are_the_ledgers(spark, sf):
+    awkward = [(i, t, "en", "a", 1) for i, t in enumerate(("A B " * 40, "WOW!! " * 30 + "x " * 30, "#tag " * 60, "a\na\na\na\n", "a " * 60, "incomprehensibilities " * 60), 100)]
+    df = docs(spark, sf).unionByName(spark.createDataFrame(awkward, SCHEMA))
+    got = Counter((r.doc_id, r.fail_bits) for r in quality.ledger(df).collect())
+    assert got == Counter((r.doc_id, quality.fail_bits((r.text or "").encode())) for r in df.collect())
+    assert {i for _, bits in got for i in range(len(quality.RULES)) if bits >> i & 1} == set(range(len(quality.RULES)))
+
+
+def test_quality_stage_keeps_what_the_oracle_keeps(spark, sf):
+    import corpus_pipeline as P
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = Counter(con.execute(f"select doc_id from ({quality.ORACLE}) where kept").fetchall())
+    out = P.stage_quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert Counter((r.doc_id,) for r in out.collect()) == want
+
+
 def test_quality_ablations_match_brute_force(spark, sf):
     led = quality.ledger(docs(spark, sf)).cache()
     bits = [r.fail_bits for r in led.collect()]
