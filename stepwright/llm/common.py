@@ -37,24 +37,37 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and all of Spark is this process."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared checkpoint folder for a written table."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        folder = sc._jsc.sc().getCheckpointDir().get()
-    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -64,6 +77,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of one key that a task should meet at most in ``hot_join``, and keys that may be hot at once.
+HOT_ROWS, HOT_KEYS = 20_000, 1 << 15
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: Sequence[str], n: str, spread: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined to a materialised ``table`` with one row a key, whose column ``n`` counts the rows of the key.
+
+    Keys above ``hot_rows`` rows stand in the table once for each so many rows, and a row of theirs
+    takes one by a hash of ``spread`` and its partition.  The limit rises with the rows, so that at
+    most ``HOT_KEYS`` keys are ever hot: that many rows are broadcast.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    limit = max(hot_rows, -(-total // HOT_KEYS))
+    copies = F.ceil(F.col(n) / limit).cast("int")
+    hot = table.where(F.col(n) > limit).select(*on, copies.alias("_copies"))
+    if hot.isEmpty():
+        return rows.join(table, list(on), how)
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.col("_copies")).cast("int")
+    own = rows.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_copies")
+    many = table.withColumn("_salt", F.explode(F.when(F.col(n) > limit, F.sequence(F.lit(0), copies - 1)).otherwise(F.array(F.lit(0)))))
+    return own.join(many, [*on, "_salt"], how).drop("_salt")
+
+
 def likely_members(rows: DataFrame, wanted: DataFrame, hashed: str, words: int = 1 << 19) -> DataFrame:
     """Rows whose 64-bit hash may be among ``wanted``'s; all that are, and few others.
 

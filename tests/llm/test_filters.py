@@ -141,7 +141,7 @@ def brute_exact(rows):
 @pytest.mark.parametrize("bits", [64, 2])
 def test_exact_matches_brute_force_with_and_without_collisions(spark, sf, bits):
     for df in (frame(spark), docs(spark, sf)):
-        got = exact.exact_groups(df, hash_bits=bits, max_depth=6, bucket_keys=8)
+        got = exact.exact_groups(df, hash_bits=bits, bucket_keys=8)
         assert Counter(map(tuple, got.collect())) == brute_exact([(r.doc_id, r.text) for r in df.collect()])
 
 
@@ -173,13 +173,58 @@ def test_stages_take_awkward_rows_and_empty_tables(spark, sf):
             out.collect()
 
 
-def test_directory_doubles_and_splits_overfull_buckets():
-    counts = {s: 1 for s in range(16)} | {3: 50}
-    slots = exact.directory(counts, 4, 10)
-    assert len(slots) == 16 and slots[3] == (4, 3) and slots[2] == (4, 2)
-    assert slots[8:] == [(1, 1)] * 8 and exact.directory({}, 4, 10) == [(0, 0)]
-    for i, (d, p) in enumerate(slots):
-        assert i >> (4 - d) == p
+def split_buckets(hashes, bucket_keys):
+    """Extendible hashing one key at a time: a full bucket splits, the directory doubles when it must."""
+    depth, table = 0, [[0, set()]]  # by slot: the bucket's depth and keys
+    for h in hashes:
+        h %= 1 << 64
+        while True:
+            at = h >> (64 - depth) if depth else 0
+            bucket = table[at]
+            if len(bucket[1] | {h}) <= bucket_keys:
+                bucket[1].add(h)
+                break
+            if bucket[0] == depth:
+                table = [b for b in table for _ in range(2)]
+                depth += 1
+            d = bucket[0] + 1
+            halves = [[d, {x for x in bucket[1] if (x >> (64 - d)) & 1 == k}] for k in (0, 1)]
+            table = [halves[(i >> (depth - d)) & 1] if b is bucket else b for i, b in enumerate(table)]
+    first = {}
+    return depth, [(i, first.setdefault(id(b), i), b[0]) for i, b in enumerate(table)]
+
+
+@pytest.mark.parametrize("crowd", [0, 40])
+def test_directory_is_that_of_splitting_one_key_at_a_time(spark, crowd):
+    import random
+
+    rng = random.Random(crowd)
+    keys = {rng.getrandbits(64) for _ in range(200)} | {(0x5B << 56) + rng.getrandbits(56) for _ in range(crowd)}
+    for some in (set(), set(list(keys)[:3]), keys):
+        df = spark.createDataFrame([(h - (1 << 64) if h >> 63 else h,) for h in some], "h long")
+        table, depth = exact.directory(df, 8)
+        assert (depth, sorted(map(tuple, table.collect()))) == split_buckets(some, 8)
+
+
+def test_exact_answers_come_through_the_directory(spark, sf, tmp_path):
+    texts = docs(spark, sf).selectExpr("doc_id as id", "xxhash64(text) as raw", "text as body", "xxhash64(text) as h")
+    index = exact.build_index(texts, texts, str(tmp_path / "index"), bucket_keys=8)
+    want = Counter(map(tuple, index.probe(texts.select("id", "raw", "h"), texts).collect()))
+    assert want.total() == texts.count() and index.depth >= 3
+    assert want == Counter(map(tuple, index.probe(texts.select("id", "raw", "h"), texts, hot_rows=1).collect()))
+    wrong = spark.read.parquet(f"{index.path}/directory").selectExpr(f"slot ^ {1 << index.depth - 1} as slot", "bucket", "depth").collect()
+    spark.createDataFrame(wrong, "slot long, bucket long, depth int").write.mode("overwrite").parquet(f"{index.path}/directory")
+    assert index.probe(texts.select("id", "raw", "h"), texts).count() == 0
+
+
+def test_hot_join_loses_no_row(spark):
+    from stepwright.llm import common
+
+    rows = spark.range(1000).selectExpr("id", "if(id % 3 = 0, 0, id % 50) as k")
+    table = common.checkpointed(rows.groupBy("k").count().where("k <> 7").withColumnRenamed("count", "n"))
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, rows.join(table, "k", how).collect()))
+        assert want == Counter(map(tuple, common.hot_join(rows, table, ("k",), "n", ("id",), how, hot_rows=20).collect()))
 
 
 # --- SimHash
