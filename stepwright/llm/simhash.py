@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +15,13 @@ from . import common as C
 #: Two fingerprints at most two bits apart differ in at most two of eight positional bytes.
 MAX_BITS = 2
 MIN_SHARED = 8 - MAX_BITS
-#: Posting keys hold two of these four byte-position pairs: two differing bytes spoil at most two pairs,
-#: so every pair of fingerprints with the guaranteed matches meets under at least one of the six keys.
-_PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7))
+#: Posting lists are keyed by so many positional bytes.  Single ones have only 2,048 keys, whose lists grow
+#: with the corpus and whose pairs grow with its square.
+KEY_BYTES = 5
+#: A pair that shares m positional bytes meets in comb(m, KEY_BYTES) lists; this many are guaranteed.
+MIN_TALLY = comb(MIN_SHARED, KEY_BYTES)
 #: Longer posting lists are not paired but joined through their fingerprints' one-bit neighbourhoods.
-LIST_MAX = 64
+LIST_MAX = 1024
 
 
 def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
@@ -24,14 +29,11 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
     words = data.lower().split()
     if not words:
         return 0
-    digest = xxhash.xxh64_digest
-    if len(words) < width:
-        hashes = [digest(b" ".join(words), seed)]
-    else:
-        hashes = [digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))]
-    n, count = len(hashes), np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 15):  # bounded memory whatever the text's length
-        raw = np.frombuffer(b"".join(hashes[at : at + (1 << 15)]), np.uint8).reshape(-1, 8)
+    digest, n, count = xxhash.xxh64_digest, max(1, len(words) - width + 1), np.zeros(64, np.int64)
+    for at in range(0, n, 1 << 15):  # the words of the text are held, its hashes in part
+        own = words[at : at + (1 << 15) + width - 1]
+        shingles = map(b" ".join, zip(*(own[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+        raw = np.frombuffer(b"".join([digest(x, seed) for x in shingles]), np.uint8).reshape(-1, 8)
         lanes = np.unpackbits(raw, axis=1).view(np.uint64)
         for k in range(0, len(lanes), 255):  # eight one-byte counters in each 64-bit sum
             count += lanes[k : k + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
@@ -51,33 +53,38 @@ def fingerprints(docs: DataFrame, keep=("doc_id",), width: int = 3, text: str =
     return C.map_texts(docs, keep, [("fp", "bigint")], fn, text)
 
 
-def _mask(i: int, j: int) -> int:
-    m = sum(0xFF << (8 * p) for p in (*_PAIRS[i], *_PAIRS[j]))
+def _mask(positions: tuple[int, ...]) -> int:
+    m = sum(0xFF << (8 * p) for p in positions)
     return m - (1 << 64) if m >= 1 << 63 else m
 
 
+def postings(fps: DataFrame) -> DataFrame:
+    """``k, v, fp``: each distinct fingerprint under every choice ``k`` of ``KEY_BYTES`` positions, by its bytes ``v`` there."""
+    keys = [F.struct(F.lit(i).cast("tinyint").alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("v")) for i, c in enumerate(combinations(range(8), KEY_BYTES))]
+    return fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.v", "fp")
+
+
+def tallied(lists: DataFrame) -> DataFrame:
+    """``a, b, tally``: pairs of fingerprints that meet, and in how many posting lists."""
+    other = lists.select("k", "v", F.col("fp").alias("b"))
+    pairs = lists.select("k", "v", F.col("fp").alias("a")).join(other, ["k", "v"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("tally"))
+
+
 def links(fps: DataFrame, list_max: int = LIST_MAX) -> DataFrame:
     """Edges ``(a, b)`` among distinct fingerprints whose closure has every pair within MAX_BITS.
 
-    Posting lists are keyed by positional bytes, four at a time: single positional bytes have only 2,048
-    keys, whose lists and pairs grow with the square of the corpus.  Pairs that meet in a list are
-    tallied: the number of positional bytes they share, kept from MIN_SHARED on, then verified by bit
-    count.  Lists above ``list_max`` never pair their members: each member goes to its 65 one-bit
-    neighbours and links to the smallest fingerprint there; members of one neighbour are within two
-    bits of each other, and any two within two bits have a common one, so this loses no link.
+    The inverted index has posting lists by positional bytes; a pair's shared bytes are tallied over the
+    lists in which it meets.  Pairs that reach the guaranteed tally are verified by bit count.  Lists
+    above ``list_max`` never pair their members: each member goes to its 65 one-bit neighbours and
+    links to the smallest fingerprint there; members of one neighbour are within two bits of each
+    other, and any two within two bits have a common one, so this loses no link.
     """
-    masks = [(f"{i}{j}", _mask(i, j)) for i in range(4) for j in range(i + 1, 4)]
-    keyed = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in masks]))
-    nodes = fps.select("fp").distinct()
-    post = nodes.select("fp", keyed.alias("p")).select("p.k", "p.v", "fp")
+    post = postings(fps)
     sizes = post.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
     sized = C.checkpointed(post.join(sizes, ["k", "v"]))
-    light = sized.where(F.col("n") <= list_max)
-    x = F.col("fp").bitwiseXOR(F.col("fp2"))
-    byte = lambda p: F.when(F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0)
-    tally = sum((byte(p) for p in range(1, 8)), byte(0))
-    pairs = light.select("k", "v", "fp").join(light.select("k", "v", F.col("fp").alias("fp2")), ["k", "v"]).where("fp < fp2")
-    near = pairs.where((tally >= MIN_SHARED) & (F.bit_count(x) <= MAX_BITS)).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
+    met = tallied(sized.where(F.col("n") <= list_max))
+    near = met.where((F.col("tally") >= MIN_TALLY) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
     heavy = sized.where(F.col("n") > list_max).select("fp").distinct()
     flips = [F.lit(0)] + [F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i) for i in range(64)]
     around = heavy.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(f.cast("bigint")) for f in flips])).alias("at"))
@@ -89,11 +96,12 @@ def links(fps: DataFrame, list_max: int = LIST_MAX) -> DataFrame:
 def _grouped(docs: DataFrame, width: int, text: str, key: str, list_max: int) -> DataFrame:
     own = C.pick(docs, key, text).withColumn("raw", C.raw_hash(text))
     fps = C.checkpointed(fingerprints(own.select(F.col(key).alias("id"), "raw", F.col(text).alias("body")), ("id", "raw"), width, "body"))
-    node = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    comp = C.components(links(fps, list_max))
-    roots = node.join(comp, node.fp == comp.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    node = C.checkpointed(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
+    comp = C.components(links(node, list_max))
+    roots = node.join(comp, node.fp == comp.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     best = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(roots.join(best, "root").select("fp", "component_id"), "fp")
+    named = C.checkpointed(roots.join(best, "root").select("fp", "component_id", "n"))
+    return C.hot_join(fps, named, ("fp",), "n", ("id", "raw")).drop("n")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, text: str = "text", key: str = "doc_id", list_max: int = LIST_MAX) -> DataFrame:

@@ -291,6 +291,29 @@ def test_simhash_links_on_dense_fingerprints(spark, list_max):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_tally_counts_shared_positional_bytes(spark):
+    import random
+    from math import comb
+
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    fps = [base] + [base ^ sum(rng.randrange(1, 256) << 8 * p for p in rng.sample(range(8), k)) for k in (1, 1, 2, 2, 3, 3, 4) for _ in range(4)]
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fps)], "fp long")
+    post = simhash.postings(df)
+    got = {(r.a, r.b): r.tally for r in simhash.tallied(post).collect()}
+    for x in set(fps):
+        for y in set(fps):
+            a, b = (f - (1 << 64) if f >> 63 else f for f in (x, y))
+            shared = sum((x >> 8 * p) & 255 == (y >> 8 * p) & 255 for p in range(8))
+            assert got.get((a, b), 0) == (comb(shared, simhash.KEY_BYTES) if a < b else 0)
+    assert simhash.MIN_TALLY == comb(6, 5) and post.count() == 56 * len(set(fps))
+
+
+def test_fingerprint_of_a_very_long_text():
+    t = "".join(f"w{i * i % 9973} " for i in range(40_000))
+    assert simhash.fingerprint(t.encode()) == brute_fp(t)
+
+
 # --- mixing
 
 
