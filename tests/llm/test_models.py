@@ -176,7 +176,7 @@ def test_banded_distance_keys_and_sketches():
         b, k = _mutate(rng, a, rng.randrange(6)), rng.choice([1, 2, 3])
         d = edit_distance(a, b)
         assert linejoin.within(a, b, k) == (d <= k)
-        if 6 < len(a) and 6 < len(b) and 0 < d <= k:
+        if 3 < len(a) and 3 < len(b) and 0 < d <= k and d <= max(len(a), len(b)) // 5:
             short, long = sorted((a, b), key=len)
             one, two = linejoin.Batch(["zzzzzzzz", short, long]), linejoin.Batch([long, "yyyyyyy"])
             ours = [set(keys[line == i].tolist()) for x, i, probe in ((one, 1, False), (two, 0, True)) for line, keys in [x.keys(k, probe)]]
@@ -185,7 +185,43 @@ def test_banded_distance_keys_and_sketches():
             assert one.sketches[2] == two.sketches[0]
 
 
-def brute_lines(rows, edits=2, least=24):
+def plain_within(a, b, k):
+    if max(len(a), len(b)) > 1000:  # common ends of very long lines don't matter
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        a, b = a[n:], b[n:]
+        if max(len(a), len(b)) > 1000:
+            return False
+    return edit_distance(a, b) <= k
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    rng = random.Random(2)
+    a = "".join(rng.choice("abcd") for _ in range(400_000))
+    took = []
+    for n in (100_000, 400_000):
+        b = "x" + a[1 : n - 1] + "y"
+        start = time.process_time()
+        assert linejoin.within(a[:n], b, 2) and not linejoin.within("zz" + a[2 : n - 1] + "w", b, 2)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+    assert [e - s for s, e in linejoin.chunks(["a" * 6000] * 400 + ["b" * (1 << 21)] + ["c"])] == [174, 174, 52, 1, 1]
+
+
+def test_many_lines_that_share_a_segment(spark):
+    tail = " and the very same words at the end of the line here"
+    rows = [(i, f"{(i * 2654435761) % (1 << 32):08x} {(i * 40503) % 99991:05d}{i:06d}" + tail) for i in range(50_000)] + [(60_000, "deadbeef 99999 999999" + tail), (60_001, "deadbeef 99999 999998" + tail)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not linejoin.heavy_keys(df, "text", 2, 4, 64, linejoin.HEAVY).isEmpty()
+    found = {tuple(sorted(x)) for x in linejoin.links(df).selectExpr("x.a", "y.a").collect()}
+    import xxhash
+
+    name = lambda t: int.from_bytes(xxhash.xxh3_128_digest(t.encode())[:8], "big", signed=True)
+    assert tuple(sorted((name(rows[-1][1]), name(rows[-2][1])))) in found
+
+
+def brute_lines(rows, edits=2):
     occ = [(i, t, p, x) for i, t in rows for p, x in enumerate([y for y in (t or "").split("\n") if y.strip(" \t\r\x0b\x0c")])]
     lines = sorted({x for *_, x in occ})
     root, links = {x: x for x in lines}, Counter()
@@ -202,7 +238,7 @@ def brute_lines(rows, edits=2, least=24):
         for n in range(len(x), len(x) + edits + 1):
             for y in by[n]:
                 if x < y if n == len(x) else True:
-                    if x != y and len(x) >= least and edit_distance(x, y) <= edits:
+                    if x != y and plain_within(x, y, min(edits, max(len(x), len(y)) // 5)):
                         links[x] += 1
                         links[y] += 1
                         root[find(x)] = find(y)
@@ -217,14 +253,15 @@ def brute_lines(rows, edits=2, least=24):
     return Counter(out)
 
 
-def test_line_join_matches_brute_force(spark):
+@pytest.mark.parametrize("how", [{}, {"sample": 1, "heavy": 2}])
+def test_line_join_matches_brute_force(spark, how):
     rng = random.Random(8)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(20, 60))) + "." for _ in range(12)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(3, 60))) + "." for _ in range(16)]
     texts = ["\n".join(_mutate(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 6])) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
-    rows = [(i + 100, t) for i, t in enumerate(texts)] + [r[:2] for r in ROWS if r[0] not in (7,)]
+    rows = [(i + 100, t) for i, t in enumerate(texts)] + [r[:2] for r in ROWS] + [(900, LONG + "!")]
     full = [(i, t, "en", "s", 1) for i, t in rows]
     df = frame(spark, full)
-    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.n_links, tuple(r.first_ids)) for r in linejoin.dedup(df).collect())
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.n_links, tuple(r.first_ids)) for r in linejoin.dedup(df, **how).collect())
     assert got == brute_lines(rows)
     assert linejoin.dedup(frame(spark, [])).count() == 0
 
