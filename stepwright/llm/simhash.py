@@ -61,7 +61,10 @@ def _mask(positions: tuple[int, ...]) -> int:
 def postings(fps: DataFrame) -> DataFrame:
     """``k, v, fp``: each distinct fingerprint under every choice ``k`` of ``KEY_BYTES`` positions, by its bytes ``v`` there."""
     keys = [F.struct(F.lit(i).cast("tinyint").alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("v")) for i, c in enumerate(combinations(range(8), KEY_BYTES))]
-    return fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.v", "fp")
+    nodes = fps.select("fp").distinct()
+    spark = fps.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() >> 16)
+    return nodes.repartition(tasks, "fp").select("fp", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.v", "fp")
 
 
 def tallied(lists: DataFrame) -> DataFrame:
