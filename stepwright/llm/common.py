@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,12 +52,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Within, finished executions delete their shuffle files at once, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder; shuffle files go at once."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a compressed table at ``path`` in the shared folder, read back; shuffle files go at once."""
+    with _tidy(df.sparkSession):
+        df.select("*").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -71,10 +92,8 @@ def forget(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a compressed table in the shared folder, read back."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """The rows as a table at a fresh shared path, read back."""
+    return write(df, shared_path(df.sparkSession, what))
 
 
 #: Rows of one key that a task should meet at most in ``hot_join``, and keys that may be hot at once.

@@ -100,20 +100,19 @@ def build_index(texts: DataFrame, rows: DataFrame, path: str, bucket_keys: int =
     """
     spark = texts.sparkSession
     table, depth = directory(rows.select("h").distinct(), bucket_keys)
-    table.write.parquet(f"{path}/directory")
+    C.write(table, f"{path}/directory")
     index = Index(spark, path, depth)
     met = texts.groupBy("h").agg(F.collect_set("body").alias("chain"), F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     several = F.size("chain") > 1
     met = met.select("h", "keep_id", "group_size", F.size("chain").alias("n_chain"), F.when(several, F.col("chain")).alias("texts"), F.when(~several, F.sha2(F.col("chain")[0], 256)).alias("sha"))
-    met.write.parquet(f"{path}/met")
-    met = spark.read.parquet(f"{path}/met")
+    met = C.write(met, f"{path}/met")
     done = met.where("n_chain = 1").select("h", F.lit(0).alias("chain"), "n_chain", F.lit(None).cast("string").alias("body"), "keep_id", "group_size", "sha")
     chains = met.where("n_chain > 1").select("h", "n_chain", F.posexplode(F.sort_array("texts")).alias("chain", "body"))
     if not chains.isEmpty():
         each = texts.join(chains, ["h", "body"]).groupBy("h", "chain", "n_chain", "body").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         done = done.unionByName(each.withColumn("sha", F.sha2("body", 256)))
     owned = index.with_bucket(done).repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "chain")
-    owned.write.parquet(f"{path}/buckets")
+    C.write(owned, f"{path}/buckets")
     C.forget(spark, f"{path}/met")
     return index
 
