@@ -49,11 +49,12 @@ def host_edges(pages: DataFrame, parents: bool = True) -> DataFrame:
     p = C.pick(pages, "url", "html").select(host.alias("src"), "html").where("src <> ''")
     to = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))))
     links = p.select("src", to.alias("dst")).select("src", _lower(F.col("dst")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    links = C.checkpointed(links)  # pages are read for them once
     if not parents:
         return links
     known = p.select("src").union(links.select("dst")).distinct()
     labels = F.split("src", "\\.")
-    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.struct(F.array_join(F.slice(labels, i, 1000), ".").alias("a"), F.array_join(F.slice(labels, i + 1, 1000), ".").alias("b")))
+    chain = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("a"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("b")))
     up = known.where("instr(src, '.') > 0").select(F.explode(chain).alias("e")).select("e.*").where("instr(b, '.') > 0").distinct()
     both = up.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(up.select("b", "a")).withColumn("w", F.lit(1.0))
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
@@ -94,9 +95,10 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping:
     rule, verdict = match_rules(rules, F.col("host"), F.col("path"))
     own = own.withColumn("rule", rule).withColumn("ruled", verdict)
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
-    seeds = own.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    ranks = propagate(seeds, host_edges(pages), damping, rounds)
-    got = own.join(ranks, "host", "left").fillna(0.0, ["trust", "distrust"])
+    hosts = C.checkpointed(own.groupBy("host").agg(F.count("*").alias("pages"), share("allow").alias("trust"), share("block").alias("distrust")))
+    ranks = propagate(hosts.where("host <> ''").drop("pages"), host_edges(pages), damping, rounds)
+    table = C.checkpointed(hosts.select("host", "pages").join(ranks, "host", "left").fillna(0.0, ["trust", "distrust"]))
+    got = C.hot_join(own, table, ("host",), "pages", ("page_id", "path"))
     own_verdict = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
     return got.select("page_id", "host", "path", "rule", F.coalesce("ruled", own_verdict).alias("verdict"), "trust", "distrust")
 
