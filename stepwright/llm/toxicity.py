@@ -14,6 +14,8 @@ from . import common as C
 
 #: Labelled documents the model is fitted on at most, taken by hash of the id.
 MAX_TRAIN = 10_000
+#: Bytes of their texts at most, and of one text that is learnt from.
+MAX_BYTES, MAX_TEXT = 1 << 28, 1 << 24
 MIN_DOCS = 6
 LEAST_Z = 4.0
 THRESHOLD = 0.7
@@ -57,8 +59,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 500, decay: float = 1
     Equal texts count once (with their largest label).  Features are the words that stand in at least
     ``min_docs`` texts and in toxic ones ``least_z`` standard deviations more often than by chance.
     log(1 - P(doc)) is the sum over sentences of log(1 - p), so the gradient of a sentence's logit is p
-    for a clean document and -(1 - P) / P * p for a toxic one.  Without both classes the model scores
-    every document by the base rate.
+    for a clean document and -(1 - P) / P * p for a toxic one.  Without both classes no word has a weight
+    and each sentence scores the base rate; without any text that is next to zero.
     """
     once: dict[str, int] = {}
     for t, label in zip(texts, labels):
@@ -114,7 +116,9 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", max_train: int = MAX_TRAIN, **how) -> Model:
     """Fit on at most about ``max_train`` labelled documents outside the held-out third, chosen by hash.
 
-    Null labels and labels without a document don't count; of repeated labels the largest counts.
+    Null labels and labels without a document don't count; of repeated labels the largest counts, of
+    repeated documents the smallest text.  Texts above ``MAX_TEXT`` bytes are not learnt from, and where
+    all would be more than ``MAX_BYTES`` a share of them by hash is.
     """
     lab = C.pick(labels, key, label).where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     lab = lab.groupBy(key).agg(F.max(label).cast("int").alias("y"))
@@ -122,8 +126,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     if n > max_train:
         share = int(max_train / n * (1 << 20))
         lab = lab.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share)
-    # about ``max_train`` labels are left, so both the broadcast and the collected texts are bounded
-    got = C.pick(docs, key, "text").join(F.broadcast(lab), key).select("text", "y").toArrow()
+    # about ``max_train`` labels are left, so the broadcast and what follows are bounded
+    got = C.pick(docs, key, "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TEXT).join(F.broadcast(lab), key)
+    got = C.checkpointed(got.groupBy(key).agg(F.min("text").alias("text"), F.max("y").alias("y")))  # one row a document
+    size = got.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MAX_BYTES:
+        got = got.where(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 20)) < int(MAX_BYTES / size * (1 << 20)))
+    got = got.select("text", "y").toArrow()
     order = sorted(zip((t or "" for t in got["text"].to_pylist()), got["y"].to_pylist()))
     return fit([t for t, _ in order], [y for _, y in order], **how)
 
