@@ -27,7 +27,8 @@ TEMPLATES = {
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 #: Documents whose paragraphs teach the unknown class at most; families are learnt from templates.
 MAX_TRAIN = 600
-PARAGRAPHS = 6_000
+#: Paragraphs of theirs at most, by hash; texts above so many bytes are not learnt from.
+PARAGRAPHS, MAX_TEXT = 6_000, 1 << 18
 GRAMS = 3
 #: A prediction counts from this calibrated probability, if this share of some template's or of the
 #: paragraph's own n-grams is shared; the latter for paragraphs of so many words, as shorter ones
@@ -216,14 +217,16 @@ def fit(background: list[str], seed: int = 0, epochs: int = 300, rate: float = 0
     """Multinomial logistic regression on templates' variants and background paragraphs.
 
     The vocabulary is the templates' n-grams, so weights stay sparse whatever the background.  Background
-    paragraphs that hold a whole template are left out of the unknown class.  A fifth of the rows sets
-    the temperature that makes probabilities fit their accuracy.
+    paragraphs that hold a whole template are left out of the unknown class.  The temperature that makes
+    probabilities fit their accuracy is set on templates, with all their variants, and a fifth of the
+    background that a first fit has not seen; the second fit learns from all rows.
     """
     rng = np.random.default_rng(seed)
     templates = _templates()
     vocab = {g: i for i, g in enumerate(sorted(set().union(*(t for _, t in templates))))}
     filler = sorted({w for p in background[:500] for w in p.split()[:20]})
-    rows = [(v, FAMILIES.index(f)) for f, ts in sorted(TEMPLATES.items()) for t in ts for v in _variants(t, rng, filler)]
+    made = [(v, FAMILIES.index(f), k) for f, ts in sorted(TEMPLATES.items()) for k, t in enumerate(ts) for v in _variants(t, rng, filler)]
+    rows, nth = [r[:2] for r in made], [r[2] for r in made]
     names = [t for f, t in templates]
     for p in background:
         own = set(grams(tokens(p)))
@@ -239,36 +242,44 @@ def fit(background: list[str], seed: int = 0, epochs: int = 300, rate: float = 0
     weight = 1.0 / np.bincount(y, minlength=len(FAMILIES)).clip(1)[y]
     weight[y == len(FAMILIES) - 1] *= 3
     test = rng.random(len(rows)) < 0.2
-    w, b = np.zeros((len(vocab), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
+    test[: len(nth)] = np.array(nth) == 1  # each family's second template
 
     def probs(z):
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    own = ~test
-    xs, ws, hot = x[own], (weight[own] / weight[own].sum()).astype(np.float32)[:, None], np.eye(len(FAMILIES), dtype=np.float32)[y[own]]
-    mw, vw, mb, vb = 0.0, 0.0, 0.0, 0.0
-    for t in range(1, epochs + 1):
-        g = (probs(xs @ w + b) - hot) * ws
-        gw, gb = xs.T @ g, g.sum(0)
-        mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        fix = math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        w = w - 0.1 * rate * (fix * mw / (np.sqrt(vw) + 1e-6) + decay * w)
-        b = b - 0.1 * rate * fix * mb / (np.sqrt(vb) + 1e-6)
+    def learnt(own):
+        w, b = np.zeros((len(vocab), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
+        xs, ws, hot = x[own], (weight[own] / weight[own].sum()).astype(np.float32)[:, None], np.eye(len(FAMILIES), dtype=np.float32)[y[own]]
+        mw, vw, mb, vb = 0.0, 0.0, 0.0, 0.0
+        for t in range(1, epochs + 1):
+            g = (probs(xs @ w + b) - hot) * ws
+            gw, gb = xs.T @ g, g.sum(0)
+            mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+            fix = math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+            w = w - 0.1 * rate * (fix * mw / (np.sqrt(vw) + 1e-6) + decay * w)
+            b = b - 0.1 * rate * fix * mb / (np.sqrt(vb) + 1e-6)
+        return w, b
+
+    w, b = learnt(~test)
     z = x[test] @ w + b
     nll = lambda h: -np.log(probs(z / h)[np.arange(int(test.sum())), y[test]] + 1e-12).mean()
-    heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=nll) if test.any() else 1.0
+    heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=nll)
+    w, b = learnt(np.ones(len(rows), bool))
     weights = {g: tuple(float(v) for v in w[i]) for g, i in vocab.items()}
     return Model(weights, tuple(float(v) for v in b), heat, templates)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = MAX_TRAIN, max_paragraphs: int = PARAGRAPHS) -> Model:
-    """Fit with the paragraphs of at most about ``max_docs`` documents, chosen by hash of the key."""
-    own = C.pick(docs, key, text)
-    n = own.count()
+    """Fit with the paragraphs of at most about ``max_docs`` different documents, chosen by hash of key and text.
+
+    Copies of a row count once, whatever their number; texts above ``MAX_TEXT`` bytes are left out.
+    """
+    own = C.pick(docs, key, text).where(F.octet_length(text) <= MAX_TEXT).withColumn("h", F.xxhash64(key, text))
+    n = own.select("h").distinct().count()
     if n > max_docs:
-        own = own.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(max_docs / n * (1 << 20)) + 1)
-    texts = sorted(t or "" for t in own.select(text).toArrow()[text].to_pylist())
+        own = own.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(max_docs / n * (1 << 20)) + 1)
+    texts = sorted(own.groupBy("h").agg(F.min(text).alias("t")).select("t").toArrow()["t"].to_pylist())
     known = Templates(_templates())
     parts = sorted({p for t in texts for p in _clean(t, known)}, key=lambda p: (len(p) * 2654435761 % 65521, p))
     return fit(parts[:max_paragraphs])
