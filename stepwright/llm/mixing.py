@@ -147,14 +147,16 @@ class Plan:
 
 
 def allocation(docs: DataFrame, key="doc_id", text="text", source="source", **how) -> DataFrame:
-    """``key, size, source_size, target, taken``: a row for each input row.
+    """``key, size, source_size, target, taken, shards``: a row for each input row.
+
+    ``shards`` lists the output shard of each copy, as the splitting tree deals the blocks; ``mix`` puts it there.
 
     Null texts have size zero and are taken zero words; a null source is a source of its own, last in
     order.  Rows that repeat a key are drawn together.  An empty table gives an empty result.
     """
     plan = Plan(docs, key, text, source, **how)
     d = plan.draws(plan.stats)
-    return d.select(key, "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("bigint").alias("taken"))
+    return d.select(key, "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("bigint").alias("taken"), F.array_join(F.transform("draws", lambda x: x["shard"].cast("string")), ",").alias("shards"))
 
 
 def mix(docs: DataFrame, key="doc_id", text="text", source="source", **how) -> DataFrame:
