@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,16 @@ def measure(data: bytes) -> tuple[int, ...]:
     dup = len(lines) - len(set(lines))
     rep = 0
     if n > 3:
-        windows = list(zip(words, words[1:], words[2:]))
-        if len(set(windows)) < len(windows):
-            twice = {k for k, v in Counter(windows).items() if v > 1}
+        seen: set[int] = set()
+        twice: set[int] = set()  # hashes of repeated windows: a number for each instead of three words
+        for w in zip(words, words[1:], words[2:]):
+            h = hash(w)
+            (twice if h in seen else seen).add(h)
+        if twice:  # the same hash may be chance: count those windows by their words
+            count = Counter(w for w in zip(words, words[1:], words[2:]) if hash(w) in twice)
             reach = -1
-            for i, w in enumerate(windows):
-                if w in twice:
+            for i, w in enumerate(zip(words, words[1:], words[2:])):
+                if count.get(w, 0) > 1:
                     rep += i + 3 - max(i, reach)
                     reach = i + 3
     upper = shout = 0
@@ -127,6 +132,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", *BASE, "base_failed", "kept", "fail_bits", *MORE)
 
 
+def query_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's ablations from one stored ledger; texts are read once."""
+    led = C.written(ledger(C.table(spark, sf_dir, "documents")).select("doc_id", "fail_bits"), "ledger")
+    each = [ablations(led, v).select(F.lit(v).alias("version"), "rule", "failed", "failed_alone", "kept_without") for v in POLICIES]
+    return reduce(DataFrame.unionByName, each)
+
+
 ORACLE = r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
@@ -144,3 +156,8 @@ b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
     + 32 * (word_chars < 2 * n_words)::INT + 64 * (word_chars > 14 * n_words)::INT AS fail_bits FROM a)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
+
+_ABLATED = ", ".join(f"('{v}', {mask | BASE_MASK}, '{name}', {1 << i})" for v, mask in POLICIES.items() for i, name in enumerate(RULE_NAMES) if (mask | BASE_MASK) >> i & 1)
+ORACLE_ABLATIONS = f"""WITH led AS ({ORACLE}), p(version, mask, rule, own) AS (VALUES {_ABLATED})
+SELECT version, rule, count(*) FILTER (WHERE fail_bits & own <> 0) AS failed, count(*) FILTER (WHERE fail_bits & mask = own) AS failed_alone,
+  count(*) FILTER (WHERE fail_bits & mask & ~own = 0) AS kept_without FROM p CROSS JOIN led GROUP BY version, rule"""

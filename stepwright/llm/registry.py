@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_exact": exact.query,
     "op10_mixing": mixing.query,
+    "quality_ablations": quality.query_ablations,
 }
-ORACLES = {"op1_linkrank": linkrank.oracle(), "op8_quality": quality.ORACLE, "op9_exact": exact.ORACLE}
+ORACLES = {"op1_linkrank": linkrank.oracle(), "op8_quality": quality.ORACLE, "op9_exact": exact.ORACLE, "quality_ablations": quality.ORACLE_ABLATIONS}
