@@ -355,7 +355,13 @@ def test_mixing_nears_targets_and_reruns_agree(spark, sf):
 
 def test_mix_rows_are_the_allocation(spark, sf):
     df = docs(spark, sf)
-    want = Counter({r.doc_id: r.taken // r.size for r in mixing.allocation(df, shard_words=5000).collect() if r.taken})
+    rows = mixing.allocation(df, shard_words=5000).collect()
+    want = Counter({r.doc_id: r.taken // r.size for r in rows if r.taken})
+    plan = mixing.Plan(df, shard_words=5000)
+    where = Counter((r.doc_id, int(x)) for r in rows if r.shards for x in r.shards.split(","))
+    assert plan.shards > 1 and set(x for _, x in where) == set(range(plan.shards))
+    drawn = plan.draws(plan.stats).selectExpr("doc_id", "explode(draws.shard) as shard").collect()
+    assert where == Counter(map(tuple, drawn))
     out = mixing.mix(df, shard_words=5000)
     assert out.columns == df.columns and Counter(r.doc_id for r in out.collect()) == want
 

@@ -91,6 +91,17 @@ def test_urls_match_brute_force(spark, sf):
     assert linkrank.judge(own.limit(0)).count() == 0
 
 
+def test_urls_of_a_hub_a_cycle_and_a_very_long_host(spark):
+    link = lambda *hosts: "".join(f"<a href='http://{h}/'>" for h in hosts)
+    long = ".".join(f"l{i}" for i in range(1200)) + ".net"
+    rows = [(i, f"http://s{i}.org/", link("hub.org", "hub.org")) for i in range(60)]
+    rows += [(100, "http://hub.org/", link("bad.net", *(f"s{i}.org" for i in range(30)))), (101, "http://bad.net/fr/", link("a.xyz")), (102, "http://a.xyz/", link("b.xyz")), (103, "http://b.xyz/", link("a.xyz", "dangling.xyz")), (104, f"http://{long}/es/", "")]
+    rows += [(200 + i, "http://hub.org/p", "") for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((*tuple(r)[:5], round(r.trust, 9), round(r.distrust, 9)) for r in linkrank.judge(df).collect())
+    assert got == Counter(brute_pages(rows))
+
+
 # --- toxicity
 
 
@@ -145,6 +156,37 @@ def test_toxicity_training_rows(spark):
     assert toxicity.train(df.limit(0), lab).weights == {}
 
 
+def test_scores_are_the_noisy_or_of_sentences(spark, sf):
+    """Every score written out: one less the product over sentences of one less the sentence's chance."""
+    import math
+
+    texts, labels = _toxic()
+    model = toxicity.fit(texts, labels)
+    df = frame(spark).unionByName(frame(spark, [(600 + i, t, "en", "a", 1) for i, t in enumerate(texts[:40])]))
+    want = Counter()
+    for r in df.collect():
+        rest = 1.0
+        for sentence in re.split(r"(?<=[.!?])\s+|\n+", r.text or ""):
+            if sentence.strip():
+                found = {w.strip(".,;:!?\"'()[]{}<>*#$%&|-_/\\") for w in sentence.lower().split()}
+                found |= {"^" + w[:5] for w in found if len(w) > 5}
+                z = model.bias + sum(model.weights.get(w, 0.0) for w in found)
+                rest *= 1 - 1 / (1 + math.exp(-z))
+        want[r.doc_id, round(1 - rest, 6)] += 1
+    assert Counter((r.doc_id, round(r.score, 6)) for r in toxicity.score(df, model).collect()) == want
+
+
+def test_toxicity_of_repeated_rows_and_ties(spark):
+    texts, labels = _toxic(200)
+    rows = [(i, t) for i, t in enumerate(texts)] * 3 + [(0, "vilea"), (1, None)]
+    df = frame(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    lab = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    model = toxicity.train(df, lab)
+    assert all(model.weights[w] > 2 for w in ("vilea", "vileb", "vilec"))
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(rows) and len({(r.doc_id, r.score) for r in got if r.doc_id > 1}) == len(texts) - 2
+
+
 # --- line join
 
 
@@ -473,6 +515,37 @@ def test_licences_are_found_and_clean_text_is_not(spark, sf):
     assert licences.scan(own.limit(0), licences.train(own.limit(0))).count() == 0
 
 
+def test_licence_model_is_bounded_whatever_the_keys(spark):
+    rows = [(None, "some plain words of one and the same text")] * 500 + [(6, f"plain text number {i} of many") for i in range(400)] + [(7, "x " * (1 << 18))]
+    df = frame(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    import stepwright.llm.licences as L
+
+    seen = []
+    fit, L.fit = L.fit, lambda parts: seen.append(parts)
+    try:
+        L.train(df, max_docs=50)
+    finally:
+        L.fit = fit
+    assert 10 <= len(seen[0]) <= 120 and max(map(len, seen[0])) < 100
+
+
+def test_licence_probabilities_match_brute_force(spark, sf):
+    """Weights of a paragraph's n-grams summed and normalised, one n-gram after another."""
+    import math
+
+    model = licences.train(docs(spark, sf))
+    for text in ("Released under the MIT License.", "the terms of the version 2.0", "no such words here", "All rights reserved. All rights reserved."):
+        words = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower())
+        own = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+        known = [g for g in own if g in model.weights]
+        z = [(b + sum(model.weights[g][f] for g in known) / math.sqrt(max(1, len(known)))) / model.heat for f, b in enumerate(model.bias)]
+        p = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+        assert model.probabilities(known) == pytest.approx(p)
+        family, chance, match = model.predict(text)
+        best = licences.FAMILIES[max(range(len(p)), key=p.__getitem__)]
+        assert family == (best if p[licences.FAMILIES.index(best)] >= 0.5 and match >= 0.6 else "unknown")
+
+
 NOTICES = {
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
