@@ -31,12 +31,17 @@ STAGES = [("quality", stage_quality), ("exact", stage_exact), ("simhash", stage_
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's result is deleted once the next one's is written.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = common.shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = common.write(stage(spark, docs, sf_dir), path)
+        if last:
+            common.forget(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
