@@ -56,15 +56,20 @@ def normalize_answer(c: Column) -> Column:
     return F.nullif(F.regexp_replace(strip(bare), r"\.+$", ""), F.lit(""))
 
 
+def float_value(t: Column) -> Column:
+    """Stripped text as a double: decimal, ``inf`` or ``nan``; null for others."""
+    plain = F.when(t.rlike(_FLOAT), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+    word = F.lower(F.regexp_replace(t, r"^[+-]", ""))
+    minus = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    named = F.when(word.isin("inf", "infinity"), minus * F.lit(float("inf"))).when(word == "nan", F.lit(float("nan")))
+    return F.coalesce(plain, named)
+
+
 def answer_value(c: Column) -> Column:
     """A normalised answer as a double: ratio, decimal, ``inf`` or ``nan``; null for others and for x/0."""
     def of(t):
-        plain = F.when(t.rlike(_FLOAT), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
-        word = F.lower(F.regexp_replace(t, r"^[+-]", ""))
-        minus = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-        named = F.when(word.isin("inf", "infinity"), minus * F.lit(float("inf"))).when(word == "nan", F.lit(float("nan")))
         part = lambda i: F.split_part(t, F.lit("/"), F.lit(i)).try_cast("double")
-        return F.coalesce(F.when(t.rlike(_RATIO), F.try_divide(part(1), part(2))), plain, named)
+        return F.coalesce(F.when(t.rlike(_RATIO), F.try_divide(part(1), part(2))), float_value(t))
 
     return let(strip(normalize_answer(c)), of)
 

@@ -118,7 +118,7 @@ def split_exact(rows: DataFrame, ratio: float, key: str, seed: int = 42) -> Data
 def vocabulary(texts: DataFrame, order: str, text: str = "text", reserved: tuple[str, ...] = ("<pad>", "<eos>", "<unk>")) -> DataFrame:
     """``token, first_row, first_pos``: distinct tokens with their first place, the order of ids.
 
-    Consecutive ids need one global order; ``vocabulary_ids`` gives them to vocabularies that fit a task.
+    ``vocabulary_ids`` numbers them in that order.
     """
     from stepwright.functions.text import WS
 
@@ -127,10 +127,19 @@ def vocabulary(texts: DataFrame, order: str, text: str = "text", reserved: tuple
     return first.where(~F.col("token").isin(*reserved)).select("token", F.col("at.row").alias("first_row"), F.col("at.pos").alias("first_pos"))
 
 
-def vocabulary_ids(vocab: DataFrame, start: int = 3) -> DataFrame:
+def vocabulary_ids(vocab: DataFrame, start: int = 3, block: int = 64) -> DataFrame:
+    """Adds ``token_id``: consecutive numbers in the order of first places.
+
+    Tokens are numbered within blocks of rows, in as many tasks as there are; only the blocks' sizes,
+    a row for each block with new tokens, are summed up in one order.
+    """
     from pyspark.sql import Window as W
 
-    return vocab.withColumn("token_id", F.row_number().over(W.orderBy("first_row", "first_pos")) + (start - 1))
+    own = vocab.withColumn("_b", F.floor(F.col("first_row") / block))
+    before = F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    sizes = own.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_b").orderBy("first_row", "first_pos"))
+    return own.join(sizes, "_b").withColumn("token_id", (F.col("_before") + place + (start - 1)).cast("int")).drop("_b", "_before")
 
 
 def pair_strictly(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -36,7 +36,7 @@ def reject_stats(reasoned: DataFrame) -> DataFrame:
 
 
 def distributions(rows: DataFrame) -> DataFrame:
-    """``measure, value, n``: step counts, first errors, confidences, templates and verdicts in one aggregation."""
+    """``measure, value, n``: step counts, first errors, confidences, templates, verdicts and, where known, sampled chosen traces, in one aggregation."""
     cells = [
         ("step_count", F.size("rejected_steps").cast("string")),
         ("first_error", F.col("first_error_step").cast("string")),
@@ -46,5 +46,7 @@ def distributions(rows: DataFrame) -> DataFrame:
         ("rejected_wrong", (~verify_answer(F.col("rejected"), F.col("answer"))).cast("string")),
         ("not_last_first_error", (F.col("first_error_step") < F.size("rejected_steps") - 1).cast("string")),
     ]
+    if "has_sampled_chosen" in rows.columns:
+        cells.append(("sampled_chosen", F.coalesce(F.col("has_sampled_chosen"), F.lit(False)).cast("string")))
     x = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), v.alias("value")) for n, v in cells]))
     return rows.select(x.alias("x")).groupBy("x.measure", "x.value").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwright.functions.text import extract_answer, verify_answer
+from stepwright.functions.text import extract_answer, float_value, let, strip, verify_answer
 
 
 def success_rates(rollouts: DataFrame, by: str, step: str, ok: str) -> DataFrame:
@@ -32,20 +32,55 @@ def over_seeds(runs: DataFrame, by: str, value: str) -> DataFrame:
     return runs.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count("*").alias("n"))
 
 
+#: Fixed wording of failures; the reason follows the prefix.
+FAILED, NO_OBJECT, NOT_JSON = "parse_failed: ", "judge response did not contain a JSON object", "invalid JSON"
+NO_FLOAT, NO_NUMBER = "could not convert string to float: ", "float() argument must be a string or a real number, not "
+_INTEGER = r"^[+-]?\d+(_\d+)*$"
+
+
 def parse_verdict(reply: Column, n: Column) -> Column:
     """``struct<first_error, confidence, rationale, failed>`` from a judge's free text.
 
-    The text from the first ``{`` to the last ``}`` is read as JSON.  A bad index means the last step;
-    indices and confidences are clamped; whatever can't be read is the last step with confidence 0.
+    The text from the first ``{`` to the last ``}`` is read as JSON.  The index is a number, cut to its
+    whole part, or text that spells a whole number; anything else means the last step.  A confidence
+    that is there must be a number or spell one, else the reply has failed; so has one without readable
+    JSON.  A failed reply is the last step with confidence 0, its rationale the reason.  Indices and
+    confidences are clamped, rationales stripped.
     """
-    doc = F.try_parse_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")))
+    found = F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
+    doc = F.try_parse_json(found)
     field = lambda name, kind: F.try_variant_get(doc, f"$.{name}", kind)
-    index = F.coalesce(F.floor(field("first_error_step", "double")).cast("int"), n - 1)
-    failed = doc.isNull() | (F.schema_of_variant(doc).startswith("OBJECT") == F.lit(False))
+    kind = lambda name: F.schema_of_variant(field(name, "variant"))
+    number = lambda name: kind(name).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT|BOOLEAN)")
     clamp = lambda x, lo, hi: F.greatest(lo, F.least(x, hi))
-    return F.struct(
-        F.when(failed, n - 1).otherwise(clamp(index, F.lit(0), n - 1)).cast("int").alias("first_error"),
-        F.when(failed, 0.0).otherwise(clamp(F.coalesce(field("confidence", "double"), F.lit(0.0)), F.lit(0.0), F.lit(1.0))).alias("confidence"),
-        F.when(failed, "parse_failed").otherwise(F.coalesce(field("rationale", "string"), F.lit(""))).alias("rationale"),
-        failed.alias("failed"),
+
+    said = F.when(kind("first_error_step") == "BOOLEAN", field("first_error_step", "boolean").cast("double"))
+    said = said.when(number("first_error_step"), F.floor(field("first_error_step", "double")).cast("double"))
+    spelt = strip(field("first_error_step", "string"))
+    said = said.when((kind("first_error_step") == "STRING") & spelt.rlike(_INTEGER), F.replace(spelt, F.lit("_"), F.lit("")).try_cast("double"))
+    index = clamp(F.coalesce(said, (n - 1).cast("double")), F.lit(0.0), (n - 1).cast("double"))
+
+    text = field("confidence", "string")
+    sure = F.when(kind("confidence") == "BOOLEAN", field("confidence", "boolean").cast("double")).when(number("confidence"), field("confidence", "double"))
+    sure = sure.when(kind("confidence") == "STRING", float_value(strip(text))).when(kind("confidence").isNull(), F.lit(0.0))
+    sure = F.when(F.isnan(sure), 0.0).otherwise(sure)
+    named = F.when(kind("confidence") == "VOID", "'NoneType'").when(kind("confidence").startswith("ARRAY"), "'list'").otherwise("'dict'")
+    why = F.when(found.isNull(), NO_OBJECT).when(doc.isNull(), NOT_JSON)
+    why = why.when(sure.isNull() & (kind("confidence") == "STRING"), F.concat(F.lit(NO_FLOAT + "'"), text, F.lit("'"))).when(sure.isNull(), F.concat(F.lit(NO_NUMBER), named))
+
+    rationale = F.when(kind("rationale") == "VOID", "None").when(kind("rationale") == "BOOLEAN", F.initcap(field("rationale", "string"))).otherwise(strip(F.coalesce(field("rationale", "string"), F.lit(""))))
+    parts = F.struct(index.alias("i"), sure.alias("c"), rationale.alias("r"), F.when(reply.isNull(), NO_OBJECT).otherwise(why).alias("why"))
+    return let(
+        parts,
+        lambda v: F.struct(
+            F.when(v["why"].isNotNull(), n - 1).otherwise(v["i"]).cast("int").alias("first_error"),
+            F.when(v["why"].isNotNull(), 0.0).otherwise(clamp(v["c"], F.lit(0.0), F.lit(1.0))).alias("confidence"),
+            F.when(v["why"].isNotNull(), F.concat(F.lit(FAILED), v["why"])).otherwise(v["r"]).alias("rationale"),
+            v["why"].isNotNull().alias("failed"),
+        ),
     )
+
+
+def grid(questions: DataFrame, models: list[str]) -> DataFrame:
+    """Every question for every model, as rows with ``model``; the questions are not shuffled."""
+    return questions.withColumn("model", F.explode(F.array(*map(F.lit, models)) if models else F.array().cast("array<string>")))

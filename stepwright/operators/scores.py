@@ -11,12 +11,15 @@ def unigram_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
-def unigram_scores(tokens: DataFrame, counts: DataFrame, smoothing: float, name: str = "logp") -> DataFrame:
-    """Adds the log-probability of each token by its smoothed share; unseen tokens share one extra place."""
+def unigram_scores(tokens: DataFrame, counts: DataFrame, smoothing: dict[str, float]) -> DataFrame:
+    """Adds the log-probability of each token by its smoothed share, a column for each smoothing.
+
+    Unseen tokens share one extra place.  Counts are joined once, whatever the number of columns.
+    """
     total = counts.agg(F.sum("n").alias("_total"), F.count("*").alias("_kinds"))
     out = tokens.join(counts.withColumnRenamed("n", "_n"), "token", "left").crossJoin(F.broadcast(total))  # one row
-    p = (F.coalesce("_n", F.lit(0)) + smoothing) / (F.coalesce("_total", F.lit(0)) + smoothing * (F.col("_kinds") + 1))
-    return out.withColumn(name, F.log(p)).drop("_n", "_total", "_kinds")
+    p = lambda s: (F.coalesce("_n", F.lit(0)) + s) / (F.coalesce("_total", F.lit(0)) + s * (F.col("_kinds") + 1))
+    return out.withColumns({name: F.log(p(s)) for name, s in smoothing.items()}).drop("_n", "_total", "_kinds")
 
 
 def bigram_scores(tokens: DataFrame, counts: DataFrame, pairs: DataFrame, smoothing: float, name: str = "logp") -> DataFrame:

@@ -270,7 +270,7 @@ def probe_masks(spark, sf):
 
 def _rates(spark, sf) -> DataFrame:
     i = table(spark, sf, "lineitem")
-    key = F.struct("l_linenumber", *sorted(c for c in i.columns if c not in ("l_orderkey", "l_linenumber")))
+    key = F.struct("l_linenumber", "l_discount")
     got = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(key.alias("o"), (F.col("l_discount") * 10).alias("q")))).alias("x"))  # an order has few lines
     return got.select("l_orderkey", F.transform("x", lambda e: F.round(e["q"], 6)).alias("rates"))
 
@@ -373,7 +373,7 @@ def truncated_documents(spark, sf):
 
 @query
 def pair_distributions(spark, sf):
-    return Q.distributions(_pairs(spark, sf))
+    return Q.distributions(_pairs(spark, sf).withColumn("has_sampled_chosen", F.when(F.col("idx") % 5 > 0, F.col("idx") % 3 == 0)))
 
 
 @query
@@ -392,8 +392,8 @@ def success_rates(spark, sf):
 
 @query
 def rollouts_replayed(spark, sf):
-    """Prompts of every prefix, two completions each from a replay table, verified and averaged."""
-    p = _pairs(spark, sf).where(F.col("idx") % 97 >= 0).select("idx", "prompt", "rejected_steps", "answer", F.explode(F.sequence(F.lit(0), F.size("rejected_steps") - 1)).alias("k"))
+    """Prompts of every prefix, two completions each, verified and averaged; replay_join reads them from a table."""
+    p = _pairs(spark, sf).select("idx", "prompt", "rejected_steps", "answer", F.explode(F.sequence(F.lit(0), F.size("rejected_steps") - 1)).alias("k"))
     asked = V.ask(p.withColumn("rollout", M.rollout_prompt(F.col("prompt"), F.col("rejected_steps"), F.col("k"))), 2)
     said = asked.select("idx", "k", "sample_no", "answer", F.when((F.col("idx") + F.col("k") + F.col("sample_no")) % 3 == 0, F.col("answer")).otherwise(F.lit("#### -1")).alias("completion"))
     ok = said.withColumn("ok", verify_answer(F.col("completion"), F.col("answer")))
@@ -448,7 +448,21 @@ def accuracy_over_seeds(spark, sf):
 def judge_verdicts(spark, sf):
     e = table(spark, sf, "events")
     m, c = (F.col("event_id") % 9 - 2).cast("string"), F.format_string("%.1f", (F.col("event_id") % 14) / 10)
-    reply = F.when(F.col("event_id") % 5 == 0, F.lit("I can not say.")).when(F.col("event_id") % 5 == 1, F.lit('see {"first_error_step": 1, "confidence": ')).otherwise(F.concat(F.lit('Sure:\n{"first_error_step": '), m, F.lit(', "confidence": '), c, F.lit(', "rationale": "r'), m, F.lit('"}\nDone.')))
+    kind = F.col("event_id") % 10
+    fixed = {
+        0: "I can not say.",
+        1: 'see {"first_error_step": 1, "confidence": ',
+        2: '{"first_error_step": 1, "confidence": "high"}',
+        3: '{"first_error_step": 1, "confidence": null, "rationale": "x"}',
+        5: '{"first_error_step": 1, }',
+        6: '{"first_error_step": "2.5", "confidence": 1, "rationale": null}',
+        7: '{"first_error_step": " 3 ", "confidence": " 0.5 ", "rationale": "  spaced out\\n "}',
+        8: '{"first_error_step": 2.9, "confidence": 7}',
+    }
+    reply = F.when(kind == -1, "")
+    for k, v in fixed.items():
+        reply = reply.when(kind == k, v)
+    reply = reply.otherwise(F.concat(F.lit('Sure:\n{"first_error_step": '), m, F.lit(', "confidence": '), c, F.lit(', "rationale": "r'), m, F.lit('"}\nDone.')))
     return e.select("event_id", R.parse_verdict(reply, F.lit(5)).alias("v")).select("event_id", "v.*")
 
 
@@ -503,7 +517,7 @@ def _scored(spark, sf) -> DataFrame:
     """Token scores of a policy and a reference that differ in smoothing, counted on chosen traces."""
     t = _tokens(spark, sf)
     counts = L.unigram_counts(t.where("side = 'chosen'"))
-    return L.unigram_scores(L.unigram_scores(t, counts, 1.0, "policy"), counts, 10.0, "ref")
+    return L.unigram_scores(t, counts, {"policy": 1.0, "ref": 10.0})
 
 
 @query
@@ -542,7 +556,7 @@ def probe_deltas(spark, sf):
     t = Z.token_table(rows, "key").where("side = 'rejected'")
     base = _tokens(spark, sf).where("side = 'chosen'")
     counts = L.unigram_counts(base)
-    s = L.unigram_scores(L.unigram_scores(t, counts, 1.0, "before"), counts, 10.0, "after")
+    s = L.unigram_scores(t, counts, {"before": 1.0, "after": 10.0})
     sums = L.masked_sums(s, ["key"], ["before", "after"])
     means = sums.groupBy(F.col("key.probe").alias("probe")).agg(F.avg("before").alias("before"), F.avg("after").alias("after")).withColumn("variant", F.lit("smoothed"))
     d = L.probe_deltas(means, list(S.PROBES))
@@ -576,7 +590,7 @@ def process_positive_metrics(spark, sf):
     prefix = F.when(F.col("first_error_step") >= 1, F.array_join(F.slice("rejected_steps", F.lit(1), F.col("first_error_step")), "\n"))
     t = Z.token_table(rows.withColumn("positive_prefix", prefix), "idx")
     counts = L.unigram_counts(t.where("side = 'chosen'"))
-    s = L.unigram_scores(L.unigram_scores(t, counts, 1.0, "policy"), counts, 10.0, "ref")
+    s = L.unigram_scores(t, counts, {"policy": 1.0, "ref": 10.0})
     m = L.loss_metrics(L.preference_rows(L.masked_sums(s, ["idx", "side"], ["policy", "ref"]), ["idx"]), 0.2)
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
@@ -621,3 +635,20 @@ def judged_pairs(spark, sf):
 def cached_localisations(spark, sf):
     rows = _few_seeds(spark, sf).select(F.col("idx").alias("sample_id"))
     return P.cache_misses(rows, rows.where(F.col("sample_id") % 3 == 0))
+
+
+@query
+def judge_failures(spark, sf):
+    """Rows a judge could not place: every tenth has no text, every sixth reply says nothing."""
+    p = _pairs(spark, sf).select("idx", F.when(F.col("idx") % 10 == 0, "").otherwise(F.lit("one step is here. another one follows")).alias("rejected"))
+    return Z.judge_failures(p.withColumn("reply", F.when(F.col("idx") % 6 == 5, F.lit("no idea")).otherwise(F.lit('{"first_error_step": 0}'))))
+
+
+@query
+def model_grid(spark, sf):
+    """Every toy question for each of three models, scored and summed up."""
+    q = R.grid(G.toy_questions(_few_seeds(spark, sf)).select("idx", F.col("question").alias("prompt"), F.col("answer").alias("gold")), ["always", "thirds", "never"])
+    right = (F.col("model") == "always") | ((F.col("model") == "thirds") & (F.col("idx") % 3 == 0))
+    said = q.withColumn("prediction", F.when(right, F.col("gold")).otherwise(F.lit("#### -1")))
+    a = R.accuracy(R.generation_details(said))
+    return a.select("model", F.round("accuracy", 6).alias("accuracy"), "correct", "total")

@@ -59,6 +59,15 @@ def judged(rows: DataFrame, reply: str = "reply", gamma: float = 0.25) -> DataFr
     return x.withColumn("step_weights", S.decayed(F.size("rejected_steps"), F.col("first_error_step"), gamma)).drop("_v")
 
 
+def judge_failures(rows: DataFrame, reply: str = "reply") -> DataFrame:
+    """One row: ``total, no_steps, parse_failed, failures`` of rows given to a judge; the last counts both kinds."""
+    x = with_steps(rows, least=0)
+    empty = F.size("rejected_steps") == 0
+    bad = ~empty & parse_verdict(F.col(reply), F.size("rejected_steps"))["failed"]
+    one = x.agg(F.count("*").alias("total"), F.count_if(empty).alias("no_steps"), F.count_if(bad).alias("parse_failed"))
+    return one.withColumn("failures", F.col("no_steps") + F.col("parse_failed"))
+
+
 def token_table(rows: DataFrame, key: str) -> DataFrame:
     """``key, side, pos, token, start, end, w``: prompt and response tokens of each side, in sequence order.
 

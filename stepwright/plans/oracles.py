@@ -140,12 +140,8 @@ SELECT idx, {_listed(_DECAY.format(m='c', g=0.25), 'n')} AS clamped, {_listed(_D
 ORACLES["probe_masks"] = f"""WITH {_PAIRS}, v AS (SELECT unnest(['prefix', 'error', 'suffix', 'mask']) AS probe), k AS (SELECT idx, template, m, unnest(range(len(rejected_steps))) AS k FROM pairs)
 SELECT probe, template, round(sum(CASE probe WHEN 'prefix' THEN (k < m)::INT WHEN 'error' THEN (k = m)::INT WHEN 'suffix' THEN (k > m)::INT ELSE CASE WHEN k < m THEN 0.0 ELSE pow(0.5, k - m) END END), 6) AS mass, count(DISTINCT idx) AS n FROM k, v GROUP BY probe, template"""
 
-_RATES = """r AS (SELECT l_orderkey, round(l_discount * 10, 6) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {rest}) - 1 AS k FROM lineitem)"""
-
-
 def _rates() -> str:
-    cols = "l_discount, l_extendedprice, l_linestatus, l_partkey, l_quantity, l_returnflag, l_shipdate, l_suppkey, l_tax"
-    return _RATES.format(rest=cols)
+    return "r AS (SELECT l_orderkey, round(l_discount * 10, 6) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount) - 1 AS k FROM lineitem)"
 
 
 ORACLES["localize_rates"] = f"""WITH {_rates()},
@@ -188,7 +184,8 @@ ORACLES["truncated_documents"] = r"SELECT length(rtrim(text, E' \t\n\r\f\v')) <
 ORACLES["pair_distributions"] = f"""WITH {_PAIRS}, c AS (
 SELECT 'step_count' AS measure, CAST(len(rejected_steps) AS VARCHAR) AS value FROM pairs UNION ALL SELECT 'first_error', CAST(m AS VARCHAR) FROM pairs
 UNION ALL SELECT 'confidence', '1.00' FROM pairs UNION ALL SELECT 'template', template FROM pairs UNION ALL SELECT 'chosen_correct', 'true' FROM pairs
-UNION ALL SELECT 'rejected_wrong', 'true' FROM pairs UNION ALL SELECT 'not_last_first_error', CASE WHEN m < len(rejected_steps) - 1 THEN 'true' ELSE 'false' END FROM pairs)
+UNION ALL SELECT 'rejected_wrong', 'true' FROM pairs UNION ALL SELECT 'not_last_first_error', CASE WHEN m < len(rejected_steps) - 1 THEN 'true' ELSE 'false' END FROM pairs
+UNION ALL SELECT 'sampled_chosen', CASE WHEN idx % 5 > 0 AND idx % 3 = 0 THEN 'true' ELSE 'false' END FROM pairs)
 SELECT measure, value, count(*) AS n FROM c GROUP BY measure, value"""
 ORACLES["split_exact"] = """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM documents)
 SELECT doc_id, CASE WHEN k <= greatest(1, least(n - 1, CAST(round_even(n * 0.8, 0) AS BIGINT))) THEN 'train' ELSE 'test' END AS split FROM r"""
@@ -207,9 +204,12 @@ ORACLES["accuracy_summary"] = f"WITH {_SAID} SELECT model, round(avg(correct::IN
 ORACLES["template_accuracy"] = f"WITH {_PAIRS} SELECT template, round(avg((idx % 4 = 0)::INT), 6) AS accuracy, count(*) FILTER (WHERE idx % 4 = 0) AS correct, count(*) AS total FROM pairs GROUP BY template"
 ORACLES["accuracy_over_seeds"] = """WITH s AS (SELECT event_type, event_id % 3 AS seed, avg((value > 50)::INT) AS a FROM events GROUP BY 1, 2)
 SELECT event_type, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std, count(*) AS n FROM s GROUP BY event_type"""
-ORACLES["judge_verdicts"] = """WITH x AS (SELECT event_id, event_id % 5 IN (0, 1) AS failed, event_id % 9 - 2 AS m, (event_id % 14) / 10.0 AS c FROM events)
-SELECT event_id, CAST(CASE WHEN failed THEN 4 ELSE greatest(0, least(m, 4)) END AS INT) AS first_error, CASE WHEN failed THEN 0.0 ELSE greatest(0.0, least(c, 1.0)) END AS confidence,
-  CASE WHEN failed THEN 'parse_failed' ELSE 'r' || m END AS rationale, failed FROM x"""
+ORACLES["judge_verdicts"] = """WITH x AS (SELECT event_id, event_id % 10 AS kind, event_id % 9 - 2 AS m, (event_id % 14) / 10.0 AS c FROM events),
+w AS (SELECT *, CASE kind WHEN 0 THEN 'judge response did not contain a JSON object' WHEN 1 THEN 'judge response did not contain a JSON object'
+  WHEN 2 THEN 'could not convert string to float: ''high' || chr(39) WHEN 3 THEN 'float() argument must be a string or a real number, not ''NoneType' || chr(39) WHEN 5 THEN 'invalid JSON' END AS why FROM x)
+SELECT event_id, CAST(CASE WHEN why IS NOT NULL OR kind = 6 THEN 4 WHEN kind = 7 THEN 3 WHEN kind = 8 THEN 2 ELSE greatest(0, least(m, 4)) END AS INT) AS first_error,
+  CASE WHEN why IS NOT NULL THEN 0.0 WHEN kind IN (6, 8) THEN 1.0 WHEN kind = 7 THEN 0.5 ELSE greatest(0.0, least(c, 1.0)) END::DOUBLE AS confidence,
+  CASE WHEN why IS NOT NULL THEN 'parse_failed: ' || why WHEN kind = 6 THEN 'None' WHEN kind = 7 THEN 'spaced out' WHEN kind = 8 THEN '' ELSE 'r' || m END AS rationale, why IS NOT NULL AS failed FROM w"""
 
 # Tokens, scores, loss
 
@@ -264,5 +264,9 @@ ORACLES["strict_pairing"] = f"WITH {_FEW} SELECT idx, 'reply ' || answer AS comp
 ORACLES["confident_rates"] = f"WITH base AS ({ORACLES['localize_rates']}) SELECT l_orderkey AS idx, 'rates' AS branch, first_error AS first_error_step, confidence FROM base WHERE confidence >= 0.6"
 ORACLES["short_traces_dropped"] = f"WITH {_SEG} SELECT conv_id, turn, CAST(len(steps) AS INT) AS n_steps FROM seg WHERE len(steps) >= 2"
 ORACLES["judged_pairs"] = f"""WITH {_PAIRS}, x AS (SELECT idx, len(rejected_steps) AS n, idx % 6 = 5 AS f, CAST(CASE WHEN idx % 6 = 5 THEN len(rejected_steps) - 1 ELSE least(idx % 4, len(rejected_steps) - 1) END AS INT) AS c FROM pairs)
-SELECT idx, c AS first_error_step, CASE WHEN f THEN 0.0 ELSE 0.75 END AS localization_confidence, CASE WHEN f THEN 'parse_failed' ELSE 'x' END AS judge_rationale, f AS parse_failed, {_listed(_DECAY.format(m='c', g=0.25), 'n')} AS weights FROM x"""
+SELECT idx, c AS first_error_step, CASE WHEN f THEN 0.0 ELSE 0.75 END AS localization_confidence, CASE WHEN f THEN 'parse_failed: judge response did not contain a JSON object' ELSE 'x' END AS judge_rationale, f AS parse_failed, {_listed(_DECAY.format(m='c', g=0.25), 'n')} AS weights FROM x"""
 ORACLES["cached_localisations"] = "SELECT c_custkey AS sample_id FROM customer WHERE c_custkey % 3 <> 0"
+ORACLES["judge_failures"] = f"""WITH {_PAIRS}, c AS (SELECT count(*) AS total, count(*) FILTER (WHERE idx % 10 = 0) AS no_steps, count(*) FILTER (WHERE idx % 10 <> 0 AND idx % 6 = 5) AS parse_failed FROM pairs)
+SELECT *, no_steps + parse_failed AS failures FROM c"""
+ORACLES["model_grid"] = f"""WITH {_FEW}, m(model) AS (VALUES ('always'), ('thirds'), ('never')), x AS (SELECT model, model = 'always' OR (model = 'thirds' AND idx % 3 = 0) AS ok FROM q, m)
+SELECT model, round(avg(ok::INT), 6) AS accuracy, count(*) FILTER (WHERE ok) AS correct, count(*) AS total FROM x GROUP BY model"""

@@ -13,100 +13,59 @@ from stepwright.functions import tokens as K
 from stepwright.functions.segment import segment_steps, step_spans
 from stepwright.functions.text import answer_value, extract_answer, normalize_answer, verify_answer
 
-TEXTS = [
-    "",
-    "  \n ",
-    "1. Let x = 2.\n2. Then x + 3 = 5.\n3. Therefore the answer is 5.",
-    "1. Let x = 2. 2. Then (3) ok",
-    " 3.50 is what it costs. Ok.",
-    "Step 1: add. Step 2: mul.",
-    "a\u00a0b  c\x0bd\x1ce\u2028f",
-    "we keep @@@ this @@@ apart from that",
-    "éThen we go on So it is",
-    "First one here。second one；third ; and the fourth",
-    "x" * 600,
-    "word " * 300,
-    ("A sentence of some length stands here. " * 30).strip(),
-    "ab\ncd\nefghijklmnop\nq",
-    "So",
-    "so it goes, then hence it went. Next",
-    "one line only without marks",
-    "\r\nfirst line\r\n\r\nsecond line\r",
-    "tiny\n" + "long sentence number one is here; " * 25,
+#: Texts, their steps, where the steps stand, and their steps of 20 to 60 characters.
+_SAME = "A sentence of some length stands here."
+_CASES = [
+    ("", [], [], []),
+    ("  \n ", [], [], []),
+    ("1. Let x = 2.\n2. Then x + 3 = 5.\n3. Therefore the answer is 5.", ["1. Let x = 2.", "2. Then x + 3 = 5.", "3. Therefore the answer is 5."], [(0, 13), (14, 32), (33, 62)], ["1. Let x = 2. 2. Then x + 3 = 5.", "3. Therefore the answer is 5."]),
+    ("1. Let x = 2. 2. Then (3) ok", ["1. Let x =", "2. 2. Then (3) ok"], [(0, 10), (11, 28)], ["1. Let x = 2. 2. Then (3) ok"]),
+    (" 3.50 is what it costs. Ok.", ["3.50 is what it costs. Ok."], [(1, 27)], ["3.50 is what it costs. Ok."]),
+    ("Step 1: add. Step 2: mul.", ["Step 1: add.", "Step 2: mul."], [(0, 12), (13, 25)], ["Step 1: add. Step 2: mul."]),
+    ("a\u00a0b  c\x0bd\x1ce\u2028f", ["a b c d e f"], [(0, 11)], ["a b c d e f"]),
+    ("we keep @@@ this @@@ apart from that", ["we keep this", "apart from that"], [(0, 12), (21, 36)], ["we keep this apart from that"]),
+    ("éThen we go on So it is", ["éThen we go on", "So it is"], [(0, 14), (15, 23)], ["éThen we go on So it is"]),
+    ("First one here。second one；third ; and the fourth", ["First one here。second one；third ;", "and the fourth"], [(0, 33), (34, 48)], ["First one here。second one；third ; and the fourth"]),
+    ("x" * 600, ["x" * 600], [(0, 600)], ["x" * 600]),
+    ("word " * 300, [("word " * 300).strip()], [(0, 1499)], [("word " * 300).strip()]),
+    (" ".join([_SAME] * 30), [_SAME] * 30, [(39 * i, 39 * i + 38) for i in range(30)], [_SAME] * 30),
+    ("ab\ncd\nefghijklmnop\nq", ["ab cd efghijklmnop q"], [(0, 20)], ["ab cd efghijklmnop q"]),
+    ("So", ["So"], [(0, 2)], ["So"]),
+    ("so it goes, then hence it went. Next", ["so it goes,", "then hence it went. Next"], [(0, 11), (12, 36)], ["so it goes, then hence it went. Next"]),
+    ("one line only without marks", ["one line only without marks"], [(0, 27)], ["one line only without marks"]),
+    ("\r\nfirst line\r\n\r\nsecond line\r", ["first line", "second line"], [(2, 12), (16, 27)], ["first line second line"]),
 ]
+TEXTS = [c[0] for c in _CASES] + ["tiny\n" + "long sentence number one is here; " * 25]
 
 
-def cleaned(t):
-    return re.sub(r"\s+", " ", t).strip()
+def run(spark, rows, schema, *cols):
+    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*cols).collect()]
 
 
-def python_steps(text, least=8, most=500):
-    text = text.strip()
-    if not text:
-        return []
-    tries = [
-        text.splitlines(),
-        re.split(r"(?i)(?=(?:^|\n|\s)(?:step\s*\d+[:.)-]|\d+[:.)-]|\(\d+\)))", text),
-        re.sub(r"(?i)\b(Therefore|Thus|So|Hence|Then|Next)\b", r"@@@\1", text).split("@@@"),
-    ]
-    parts = next((p for p in ([cleaned(x) for x in t if cleaned(x)] for t in tries) if len(p) >= 2), None)
-    if parts is None:
-        parts = [cleaned(x) for x in re.split(r"(?<=[.。;；])\s+", text) if cleaned(x)]
-    packed = []
-    for p in parts:
-        if len(p) <= most:
-            packed.append(p)
-            continue
-        now = ""
-        for s in filter(None, re.split(r"(?<=[.;。；])\s+", p)):
-            if now and len(now) + 1 + len(s) > most:
-                packed.append(now)
-                now = s
-            else:
-                now = f"{now} {s}" if now else s
-        packed.append(now)
-    out = []
-    for i, s in enumerate(packed):
-        if out and len(out[-1]) < least:
-            out[-1] += " " + s
-        else:
-            out.append(s)
-    if len(out) > 1 and len(out[-1]) < least:
-        last = out.pop()
-        out[-1] += " " + last
-    return out
-
-
-def python_spans(text, steps):
-    at, out = 0, []
-    for s in steps:
-        i = text.find(s, at)
-        if i < 0:
-            i = re.sub(r"\s+", " ", text[at:]).find(s)
-            i, e = (at, min(len(text), at + len(s))) if i < 0 else (at + i, at + i + len(s))
-        else:
-            e = i + len(s)
-        out.append((i, e))
-        at = max(at, e)
-    return out
+def letters(t):
+    return re.sub(r"\s+", "", t)
 
 
-def run(spark, rows, schema, *cols):
-    return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*cols).collect()]
+def test_segmentation_and_spans_of_literal_texts(spark):
+    cols = ("t", segment_steps(F.col("t")), step_spans(F.col("t"), segment_steps(F.col("t"))), segment_steps(F.col("t"), 20, 60))
+    got = {t: (s, [tuple(x) for x in p], few) for t, s, p, few in run(spark, [(c[0],) for c in _CASES], "t string", *cols)}
+    assert got == {c[0]: c[1:] for c in _CASES}
+    assert run(spark, [(None,)], "t string", segment_steps(F.col("t"))) == [(None,)]
 
 
-def test_segmentation_and_spans(spark, sf):
+def test_segmentation_and_spans_keep_what_they_must(spark, sf):
+    """Nothing but white space is lost, steps keep their bounds and stand where they are said to."""
     texts = TEXTS + [r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()] + [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("s", segment_steps(F.col("t")))
     for r in df.withColumn("p", step_spans(F.col("t"), F.col("s"))).collect():
-        assert r.s == python_steps(r.t), r.t
-        assert [tuple(x) for x in r.p] == python_spans(r.t, r.s), r.t
-    assert spark.createDataFrame([(None,)], "t string").select(segment_steps(F.col("t"))).first()[0] is None
-
-
-def test_merged_segmentation_bounds(spark):
-    rows = run(spark, [(t,) for t in TEXTS], "t string", "t", segment_steps(F.col("t"), 20, 60))
-    assert all(s == python_steps(t, 20, 60) for t, s in rows)
+        steps, spans = r.s, [tuple(x) for x in r.p]
+        if "@@@" not in r.t:
+            assert letters("".join(steps)) == letters(r.t)
+        assert all(x and x == x.strip() for x in steps) and (len(steps) < 2 or min(map(len, steps)) >= 8)
+        assert len(spans) == len(steps) and all(0 <= a <= b <= len(r.t) for a, b in spans)
+        assert all(later[0] >= one[0] for one, later in zip(spans, spans[1:]))
+        for x, (a, b) in zip(steps, spans):
+            assert r.t[a:b] == x or x not in r.t[a:]
 
 
 def test_answers(spark):
