@@ -64,7 +64,8 @@ def postings(fps: DataFrame) -> DataFrame:
     nodes = fps.select("fp").distinct()
     spark = fps.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() >> 16)
-    return nodes.repartition(tasks, "fp").select("fp", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.v", "fp")
+    # by another hash than the distinct's, which Spark would take for the same partitioning and merge into few tasks
+    return nodes.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(F.array(*keys)).alias("p")).select("p.k", "p.v", "fp")
 
 
 def tallied(lists: DataFrame) -> DataFrame:
