@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepwright.functions import steps as S
 from stepwright.functions import tokens as K
@@ -16,6 +19,7 @@ from stepwright.operators import scores as L
 from stepwright.sources import generators as G
 from stepwright.sources import prompts as M
 from stepwright.sources import providers as V
+from stepwright.sources import jsonl as J
 from stepwright.sources.jsonl import as_pairs, merge_metadata
 
 from . import localisation as Z
@@ -161,8 +165,7 @@ def answer_verification(spark, sf):
 @query
 def page_numbers(spark, sf):
     """The plain-number branch over raw pages."""
-    p = table(spark, sf, "pages")
-    return p.select("page_id", extract_answer(F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(": "), F.length("html").cast("string"))).alias("extracted"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", extract_answer(F.col("html")).alias("extracted"))
 
 
 # Generators
@@ -210,6 +213,7 @@ def prompt_forms(spark, sf):
     return q.select(
         "idx",
         M.eval_prompt(p).alias("eval"),
+        M.eval_prompt(F.concat(p, F.lit("\n#### ?"))).alias("marked"),
         M.eval_prompt(M.question(F.col("question"), M.NUMBERED_STEPS)).alias("numbered"),
         M.elicit_chosen(F.col("question"), F.col("answer")).alias("chosen"),
         M.elicit_rejected(F.col("question"), F.col("answer")).alias("rejected"),
@@ -652,3 +656,62 @@ def model_grid(spark, sf):
     said = q.withColumn("prediction", F.when(right, F.col("gold")).otherwise(F.lit("#### -1")))
     a = R.accuracy(R.generation_details(said))
     return a.select("model", F.round("accuracy", 6).alias("accuracy"), "correct", "total")
+
+
+# Files
+
+
+@query
+def jsonl_round_trip(spark, sf):
+    """Pair records written as JSON Lines and read again, nulls and other alphabets included."""
+    q = G.placeholder_pairs(G.toy_questions(_few_seeds(spark, sf)))
+    note = F.concat(F.lit('naïve ✓ "'), F.col("idx").cast("string"), F.lit('"'))
+    rows = q.withColumn("answer", F.when(F.col("idx") % 2 == 0, F.col("answer"))).withColumn("metadata", F.create_map(F.lit("note"), note))
+    path = J.shared_path(spark, "pairs")
+    J.write_jsonl(as_pairs(rows), path)
+    return J.read_jsonl(spark, path, J.PAIR).select("prompt", "chosen", "rejected", "answer", F.col("metadata")["note"].alias("note"))
+
+
+@query
+def variant_files(spark, sf):
+    """Weight variants fanned out to a folder each, read again by ``name=path`` arguments."""
+    rows = P.weight_variants(_pairs(spark, sf).select("idx", "rejected_steps", "first_error_step"))
+    path = J.shared_path(spark, "variants")
+    J.write_jsonl(rows.select("idx", "weight_variant", "step_weights"), path, by="weight_variant")
+    schema = rows.select("idx", "step_weights").schema
+    named = P.parse_named_paths([f"{v}={path}/weight_variant={v}" for v in S.VARIANTS])
+    each = [J.read_jsonl(spark, at, schema).withColumn("weight_variant", F.lit(v)) for v, at in named.items()]
+    return reduce(DataFrame.unionByName, each).select("idx", "weight_variant", _joined("step_weights", 4).alias("weights"))
+
+
+@query
+def resumed_rows(spark, sf):
+    """A run that stopped after a third of its rows and was started again adds only the others."""
+    rows, path = _few_seeds(spark, sf).select("idx"), J.shared_path(spark, "resumed")
+    J.append_missing(rows.where(F.col("idx") % 3 == 0).withColumn("run", F.lit("first")), path, "idx")
+    J.append_missing(rows.withColumn("run", F.lit("second")), path, "idx")
+    return J.read_jsonl(spark, path, T.StructType([rows.schema["idx"], T.StructField("run", T.StringType())]))
+
+
+@query
+def csv_report(spark, sf):
+    """Accuracy of each template as a CSV report, read again as text."""
+    p = _pairs(spark, sf)
+    d = p.select("template", verify_answer(F.when(F.col("idx") % 4 == 0, F.col("chosen")).otherwise(F.col("rejected")), F.col("answer")).alias("correct"))
+    path = J.shared_path(spark, "report")
+    J.write_report(R.accuracy(d, by="template"), path)
+    return spark.read.option("header", True).csv(path).select("template", "accuracy", "total")
+
+
+@query
+def seeded_draws(spark, sf):
+    return G.seeds_by_random(spark, 8)
+
+
+@query
+def step_spans_not_found(spark, sf):
+    """Spans of steps whose white space differs from the text's, or that are not in it."""
+    n = F.col("idx").cast("string")
+    text = F.concat(F.lit("First  take "), n, F.lit(".\nThen add one. End"))
+    steps = F.array(F.concat(F.lit("First take "), n, F.lit(".")), F.lit("Then add one."), F.lit("nowhere"))
+    return _few_seeds(spark, sf).select("idx", F.posexplode(step_spans(text, steps)).alias("k", "s")).select("idx", "k", "s.start", F.col("s.end").alias("end_"))

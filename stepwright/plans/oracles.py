@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from stepwright.sources import prompts as M
-from stepwright.sources.generators import TEMPLATES, number_sql, text_sql
-
 ORACLES: dict[str, str] = {}
 
 _CLEAN = r"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
@@ -67,7 +64,7 @@ _ANSWERS = """a AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity
 ORACLES["answer_extraction"] = f"WITH {_ANSWERS} SELECT l_orderkey, l_linenumber, l_partkey, q, x AS extracted, x AS normalised FROM a"
 ORACLES["answer_verification"] = f"""WITH {_ANSWERS} SELECT l_orderkey, l_linenumber, l_partkey, q,
   CASE l_linenumber % 6 WHEN 0 THEN l_partkey = q WHEN 1 THEN abs(q / d - round(q / d, 6)) <= 1e-4 WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS correct FROM a"""
-ORACLES["page_numbers"] = "SELECT page_id, CAST(length(html) AS VARCHAR) AS extracted FROM pages"
+ORACLES["page_numbers"] = r"SELECT page_id, regexp_extract_all(html, '[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:/\d+(?:,\d{3})*)?')[-1] AS extracted FROM pages"
 
 # Generators
 
@@ -84,22 +81,73 @@ ORACLES["placeholder_pairs"] = f"WITH {_FEW} SELECT idx, 'Question: ' || questio
 ORACLES["pair_records"] = f"WITH {_FEW} SELECT 'Question: ' || question || chr(10) || 'Answer step by step.' AS prompt, answer AS chosen, answer AS rejected, answer, 0 AS n_metadata FROM q"
 
 
-def _case(make) -> str:
-    return "CASE seed % 6 " + " ".join(f"WHEN {i} THEN {make(t)}" for i, t in enumerate(TEMPLATES)) + " END"
-
-
-def _steps(wrong: bool):
-    return lambda t: "[" + ", ".join(text_sql(s, number_sql(t, wrong)) for s in t["steps"]) + "]"
+# First error, numbers, question and steps of each template.  w is 0 in chosen traces and 1 in rejected ones.
+_TRACES = {
+    "inventory": (
+        1,
+        "3 + seed % 5 AS a, 4 + seed % 7 AS b, 5 + seed % 6 AS c, (seed % 4 + 1) * (3 + seed % 5) AS d, 10 + seed % 13 AS e, a * b * c + w * b AS f, f - d + e AS z",
+        ("A store has {} shelves with {} boxes on each shelf. Each box contains {} markers. During the morning, {} markers are sold, and later {} new markers are added. How many markers are in the store now?", "a, b, c, d, e"),
+        ("There are {} * {} = {} boxes.", "a, b, a * b"),
+        ("The boxes contain {} * {} = {} markers.", "a * b, c, f"),
+        ("After selling {} and adding {}, the total is {} - {} + {} = {}.", "d, e, f, d, e, z"),
+    ),
+    "tickets": (
+        1,
+        "12 + seed % 11 AS a, 8 + seed % 9 AS b, 9 + seed % 8 AS c, 4 + seed % 5 AS d, 15 + (seed % 6) * 5 AS e, 18 + seed % 17 AS f, b * (d + w) AS g, a * c + g AS h, h - e + f AS z",
+        ("A group buys {} adult tickets at ${} each and {} child tickets at ${} each. They use a ${} coupon, then spend ${} on snacks. How many dollars do they spend in total?", "a, c, b, d, e, f"),
+        ("The adult tickets cost {} * {} = {} dollars.", "a, c, a * c"),
+        ("The child tickets cost {} * {} = {} dollars.", "b, d, g"),
+        ("Before the coupon and snacks, the subtotal is {} + {} = {} dollars.", "a * c, g, h"),
+        ("After the ${} coupon and ${} snacks, the total is {} - {} + {} = {}.", "e, f, h, e, f, z"),
+    ),
+    "garden": (
+        1,
+        "5 + seed % 8 AS a, 7 + seed % 9 AS b, 3 + seed % 5 AS c, 4 + seed % 6 AS d, 6 + seed % 11 AS e, c * (d + w) AS f, a * b + f - e AS z",
+        ("A garden starts with {} rows of flowers and {} flowers in each row. For {} days, {} more flowers are planted each day. Then {} flowers wilt. How many flowers are left?", "a, b, c, d, e"),
+        ("The garden starts with {} * {} = {} flowers.", "a, b, a * b"),
+        ("The new planting adds {} * {} = {} flowers.", "c, d, f"),
+        ("After {} flowers wilt, the total is {} + {} - {} = {}.", "e, a * b, f, e, z"),
+    ),
+    "classroom": (
+        1,
+        "18 + seed % 13 AS a, 6 + seed % 8 AS b, 3 + seed % 5 AS c, 9 + seed % 7 AS d, 20 + seed % 21 AS e, (c + w) * d AS f, a * b + f - e AS z",
+        ("A teacher prints {} pages for each of {} students. She also prints {} extra packets with {} pages each. If {} pages are recycled, how many printed pages remain?", "b, a, c, d, e"),
+        ("The student pages total {} * {} = {}.", "a, b, a * b"),
+        ("The extra packets total {} * {} = {} pages.", "c, d, f"),
+        ("After recycling {} pages, {} + {} - {} = {} pages remain.", "e, a * b, f, e, z"),
+    ),
+    "recipe": (
+        0,
+        "4 + seed % 7 AS a, 3 + seed % 5 AS b, 12 + seed % 9 AS c, 5 + seed % 6 AS d, (a + w) * b AS f, f + c - d AS z",
+        ("A bakery uses {} cups of flour for each batch of muffins and makes {} batches. It also buys {} more cups of flour, but uses {} cups for bread. How many cups of flour are accounted for by muffins and remaining added flour?", "b, a, c, d"),
+        ("The muffins use {} * {} = {} cups of flour.", "a, b, f"),
+        ("The remaining added flour is {} - {} = {} cups.", "c, d, c - d"),
+        ("Together that is {} + {} = {} cups.", "f, c - d, z"),
+    ),
+    "shipping": (
+        1,
+        "6 + seed % 8 AS a, 11 + seed % 10 AS b, 1 + seed % 3 AS c, 2 + seed % 4 AS d, 15 + seed % 12 AS e, c * (d + w) AS f, a * b - f + e AS z",
+        ("A warehouse packs {} crates with {} items in each crate. In {} crates, {} items are damaged in each. Then {} replacement items arrive. How many usable items are there?", "a, b, c, d, e"),
+        ("The warehouse starts with {} * {} = {} items.", "a, b, a * b"),
+        ("The damaged items total {} * {} = {}.", "c, d, f"),
+        ("After replacements, there are {} - {} + {} = {} usable items.", "a * b, f, e, z"),
+    ),
+}
+_TAIL = "chr(10) || 'Answer step by step and end with ''#### <answer>''.'"
 
 
-_TAIL = "chr(10) || 'Answer step by step and end with ''#### <answer>''.'"
+def _trace(i: int, name: str) -> str:
+    m, numbers, *texts = _TRACES[name]
+    question, *steps = [f"format('{text}', {args})" for text, args in (*texts, ("#### {}", "z"))]
+    own = f"(SELECT idx, w, {numbers} FROM seeds, (VALUES (0), (1)) v(w) WHERE seed % 6 = {i})"
+    return f"SELECT idx, w, '{name}' AS template, {m} AS m, {question} AS question, [{', '.join(steps)}] AS steps FROM {own}"
 
 
 def pairs(source: str = "orders", key: str = "o_orderkey") -> str:
-    question = _case(lambda t: text_sql(t["question"], number_sql(t)))
-    return f"""seeds AS (SELECT {key} AS idx, {key} AS seed FROM {source}),
-pairs AS (SELECT idx, 'Question: ' || {question} || {_TAIL} AS prompt, {_case(_steps(False))} AS chosen_steps, {_case(_steps(True))} AS rejected_steps,
-  {_case(lambda t: str(t['error']))} AS m, {_case(lambda t: "'" + t['name'] + "'")} AS template FROM seeds)"""
+    traces = " UNION ALL ".join(_trace(i, name) for i, name in enumerate(_TRACES))
+    return f"""seeds AS (SELECT {key} AS idx, {key} AS seed FROM {source}), traces AS ({traces}),
+pairs AS (SELECT c.idx, 'Question: ' || c.question || {_TAIL} AS prompt, c.steps AS chosen_steps, r.steps AS rejected_steps, c.m, c.template
+  FROM traces c JOIN traces r ON c.idx = r.idx AND c.w = 0 AND r.w = 1)"""
 
 
 _PAIRS, _FEW_PAIRS = pairs(), pairs("customer", "c_custkey")
@@ -111,13 +159,34 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The wording of prompts.
+_WORDING = {
+    "eval": "\n\nSolve the problem. Show the calculation briefly and end with exactly one line: #### <answer>",
+    "numbered": "\nAnswer with 3 to 6 numbered steps. Make each step short and include any arithmetic explicitly. End with a final line in the form '#### <answer>'.",
+    "chosen": "Solve the problem correctly. End with the exact final answer marker.\n\nQuestion: ",
+    "rejected": "Write a plausible step-by-step solution, but make exactly one arithmetic mistake in the middle so the final answer is wrong. Do not mention that it is intentionally wrong. End with '#### <wrong answer>'.\n\nQuestion: ",
+    "continue": "\n\nA partial solution is given below. Continue it naturally to the final answer. End with '#### <answer>'.\n\nPartial solution:\n",
+    "judge": "You are checking a rejected math solution against the gold answer.\n\nQuestion and instruction:\n",
+    "gold": "\n\nGold solution / answer:\n",
+    "steps": "\n\nRejected solution steps, indexed from 0:\n",
+    "ask": """
+
+Find the first step where the rejected solution becomes mathematically or logically wrong.
+If all reasoning steps are correct but the solution is incomplete or missing the final answer, choose the final listed step.
+If a step is merely verbose but still correct, do not mark it wrong.
+
+Return only one JSON object with this exact schema:
+{"first_error_step": <integer index>, "confidence": <number from 0 to 1>, "rationale": "<short reason>"}
+""",
+}
+_W = {k: _q(v) for k, v in _WORDING.items()}
 ORACLES["prompt_forms"] = f"""WITH {_FEW}, p AS (SELECT *, 'Question: ' || question AS p FROM q)
-SELECT idx, p || {_q(M.EVAL_SUFFIX)} AS eval, p || {_q(M.NUMBERED_STEPS)} AS numbered,
-  {_q(M.CHOSEN)} || question || chr(10) || 'Gold final answer: ' || answer AS chosen,
-  {_q(M.REJECTED)} || question || chr(10) || 'The correct final answer is ' || answer || ', but your final answer must be different.' AS rejected,
+SELECT idx, p || {_W['eval']} AS eval, p || chr(10) || '#### ?' AS marked, p || {_W['numbered']} AS numbered,
+  {_W['chosen']} || question || chr(10) || 'Gold final answer: ' || answer AS chosen,
+  {_W['rejected']} || question || chr(10) || 'The correct final answer is ' || answer || ', but your final answer must be different.' AS rejected,
   p || chr(10) || 'one' || chr(10) || 'Continue the solution.' AS rollout,
-  p || {_q(M.CONTINUE_API)} || 'one ' || chr(10) || 'two' AS rollout_api,
-  {_q(M.JUDGE[0])} || p || {_q(M.JUDGE[1])} || answer || {_q(M.JUDGE[2])} || '0. one ' || chr(10) || '1. two' || {_q(M.JUDGE[3])} AS judge FROM p"""
+  p || {_W['continue']} || 'one ' || chr(10) || 'two' AS rollout_api,
+  {_W['judge']} || p || {_W['gold']} || answer || {_W['steps']} || '0. one ' || chr(10) || '1. two' || {_W['ask']} AS judge FROM p"""
 ORACLES["repair_elicited"] = f"""WITH {_FEW} SELECT idx, CASE WHEN idx % 3 = 0 THEN 'There are ' || (idx + 12) || ' packs. Compute directly. ' || answer ELSE 'thus ' || answer END AS chosen,
   'so #### 1' AS rejected FROM q WHERE idx % 5 <> 0"""
 
@@ -270,3 +339,15 @@ ORACLES["judge_failures"] = f"""WITH {_PAIRS}, c AS (SELECT count(*) AS total, c
 SELECT *, no_steps + parse_failed AS failures FROM c"""
 ORACLES["model_grid"] = f"""WITH {_FEW}, m(model) AS (VALUES ('always'), ('thirds'), ('never')), x AS (SELECT model, model = 'always' OR (model = 'thirds' AND idx % 3 = 0) AS ok FROM q, m)
 SELECT model, round(avg(ok::INT), 6) AS accuracy, count(*) FILTER (WHERE ok) AS correct, count(*) AS total FROM x GROUP BY model"""
+
+# Files
+
+ORACLES["jsonl_round_trip"] = f"""WITH {_FEW} SELECT 'Question: ' || question || chr(10) || 'Answer step by step.' AS prompt, answer AS chosen, answer AS rejected,
+  CASE WHEN idx % 2 = 0 THEN answer END AS answer, 'naïve ✓ "' || idx || '"' AS note FROM q"""
+ORACLES["variant_files"] = ORACLES["weight_variants"]
+ORACLES["resumed_rows"] = "SELECT c_custkey AS idx, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE 'second' END AS run FROM customer"
+ORACLES["csv_report"] = f"WITH {_PAIRS} SELECT template, printf('%.4f', avg((idx % 4 = 0)::INT)) AS accuracy, CAST(count(*) AS VARCHAR) AS total FROM pairs GROUP BY template"
+# The first draws of a Mersenne Twister seeded with 456, from 0 to 1,000,000.
+ORACLES["seeded_draws"] = "SELECT CAST(idx AS BIGINT) AS idx, CAST(seed AS BIGINT) AS seed FROM (VALUES (0, 784547), (1, 471246), (2, 488847), (3, 456350), (4, 409583), (5, 832883), (6, 932715), (7, 679634)) v(idx, seed)"
+ORACLES["step_spans_not_found"] = """WITH c AS (SELECT c_custkey AS idx, CAST(length(CAST(c_custkey AS VARCHAR)) AS INT) AS n FROM customer)
+SELECT idx, 0 AS k, 0 AS start, 12 + n AS end_ FROM c UNION ALL SELECT idx, 1, 14 + n, 27 + n FROM c UNION ALL SELECT idx, 2, 27 + n, 31 + n FROM c"""

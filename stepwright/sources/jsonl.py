@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +50,28 @@ def write_jsonl(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).json(path)
 
 
+def append_missing(rows: DataFrame, path: str, key: str) -> None:
+    """Append to the JSON Lines table at ``path`` the rows whose key it does not hold; made where it is not there.
+
+    A run that was cut off is started again by the same call: files once committed are never rewritten.
+    """
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        rows = rows.join(read_jsonl(spark, path, T.StructType([rows.schema[key]])), key, "left_anti")
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh path in the folder of ``spark.checkpoint.dir``; where it is unset, a temporary one of a local session."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tables-")
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A CSV report with a header, numbers with four decimals."""
     cols = [F.format_string("%.4f", F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
