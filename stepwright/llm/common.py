@@ -33,9 +33,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names)])
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts still fits a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 8 << 20) -> None:
+    """Arrow batches of few rows that end with the row that passes ``size`` bytes, so that very long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_folder(spark: SparkSession) -> str:

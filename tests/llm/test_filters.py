@@ -314,6 +314,15 @@ def test_fingerprint_of_a_very_long_text():
     assert simhash.fingerprint(t.encode()) == brute_fp(t)
 
 
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    from stepwright.llm import common
+
+    df = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('word ', 200000) as text")  # a megabyte each
+    got = [r.rows for r in common.map_texts(df, ("doc_id",), [("rows", "int")], lambda texts: [[len(texts)] * len(texts)]).collect()]
+    assert len(got) == 40 and max(got) <= 9
+    assert common.filter_texts(df, lambda t: len(t) == 1_000_000).count() == 40
+
+
 # --- mixing
 
 
