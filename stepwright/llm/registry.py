@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact, licences, linejoin, linkrank, mixing, quality, simhash, spans, toxicity
+from . import bpe, divergence, exact, licences, linejoin, linkrank, mixing, quality, setjoin, simhash, spans, spelling, toxicity
 
 QUERIES = {
     "op1_linkrank": linkrank.query,
@@ -15,6 +15,17 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_exact": exact.query,
     "op10_mixing": mixing.query,
+    "op11_spelling": spelling.query,
+    "op12_divergence": divergence.query,
+    "op13_setjoin": setjoin.query,
     "quality_ablations": quality.query_ablations,
 }
-ORACLES = {"op1_linkrank": linkrank.oracle(), "op8_quality": quality.ORACLE, "op9_exact": exact.ORACLE, "quality_ablations": quality.ORACLE_ABLATIONS}
+ORACLES = {
+    "op1_linkrank": linkrank.oracle(),
+    "op8_quality": quality.ORACLE,
+    "op9_exact": exact.ORACLE,
+    "op11_spelling": spelling.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_setjoin": setjoin.ORACLE,
+    "quality_ablations": quality.ORACLE_ABLATIONS,
+}
