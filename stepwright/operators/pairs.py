@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from stepwright.functions import steps as S
 from stepwright.functions.text import strip, verify_answer
-from stepwright.sources.jsonl import merge_metadata
+from stepwright.sources.jsonl import as_metadata, merge_metadata
+
+from . import order as O
 
 
 def select_pairs(candidates: DataFrame, by: list[str], text: str, order: str, ok: str, gold: str) -> DataFrame:
@@ -35,22 +37,22 @@ def weight_variants(rows: DataFrame, gamma: float = 0.5, uniform: float = 0.25)
     w = S.variant_weights(F.size("rejected_steps"), F.col("first_error_step"), F.col("weight_variant"), gamma, uniform)
     out = out.withColumn("step_weights", w)
     if "metadata" in rows.columns:
-        base = F.create_map(F.lit("weight_variant"), F.col("weight_variant"), F.lit("gamma"), F.lit(str(gamma)))
-        full = F.when(F.col("weight_variant") == "uniform_downweight", F.map_concat(base, F.create_map(F.lit("uniform_weight"), F.lit(str(uniform))))).otherwise(base)
-        out = out.withColumn("metadata", merge_metadata(F.col("metadata"), full))
+        base = as_metadata(weight_variant=F.col("weight_variant"), gamma=F.lit(gamma))
+        full = as_metadata(weight_variant=F.col("weight_variant"), gamma=F.lit(gamma), uniform_weight=F.lit(uniform))
+        out = out.withColumn("metadata", merge_metadata(F.col("metadata"), F.when(F.col("weight_variant") == "uniform_downweight", full).otherwise(base)))
     return out
 
 
 def _gamma(rows: DataFrame, default: float = 0.25) -> Column:
-    return F.coalesce(F.try_element_at("metadata", F.lit("gamma")).try_cast("double"), F.lit(default)) if "metadata" in rows.columns else F.lit(default)
+    return F.coalesce(F.try_variant_get("metadata", "$.gamma", "double"), F.lit(default)) if "metadata" in rows.columns else F.lit(default)
 
 
-def _relabel(rows: DataFrame, error: Column, name: str, more: list[Column] | None = None) -> DataFrame:
+def _relabel(rows: DataFrame, error: Column, name: str, **more: Column) -> DataFrame:
     """A new first error with weights and an audit trail in the metadata."""
     old = rows.withColumn("_old", F.col("first_error_step")).withColumn("first_error_step", error.cast("int"))
     out = old.withColumn("step_weights", S.decayed(F.size("rejected_steps"), F.col("first_error_step"), _gamma(rows), clamp=False))
     if "metadata" in rows.columns:
-        trail = F.create_map(F.lit("reviewer_variant"), F.lit(name), F.lit("original_first_error_step"), F.col("_old").cast("string"), F.lit("shifted_first_error_step"), F.col("first_error_step").cast("string"), *(more or []))
+        trail = as_metadata(reviewer_variant=F.lit(name), original_first_error_step=F.col("_old"), shifted_first_error_step=F.col("first_error_step"), **more)
         out = out.withColumn("metadata", merge_metadata(F.col("metadata"), trail))
     return out.drop("_old")
 
@@ -61,8 +63,7 @@ def shift_error(rows: DataFrame, by: int) -> DataFrame:
 
 def noise_error(rows: DataFrame, key: str, rate: float, seed: int = 42) -> DataFrame:
     drawn = rows.withColumn("_noise", S.noisy(F.col(key), F.col("first_error_step"), F.size("rejected_steps"), rate, seed))
-    more = [F.lit("localization_noisy"), F.col("_noise.noisy").cast("string")]
-    return _relabel(drawn, F.col("_noise.error"), f"random_error_noise_{rate:.2f}", more).withColumn("localization_noisy", F.col("_noise.noisy")).drop("_noise")
+    return _relabel(drawn, F.col("_noise.error"), f"random_error_noise_{rate:.2f}", localization_noisy=F.col("_noise.noisy")).withColumn("localization_noisy", F.col("_noise.noisy")).drop("_noise")
 
 
 def truncate_rejected(rows: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def truncate_rejected(rows: DataFrame) -> DataFrame:
     out = rows.withColumn("_n", n).withColumn("_m", m).withColumn("rejected_steps", F.slice("rejected_steps", F.lit(1), F.greatest(F.lit(0), m + 1)))
     out = out.withColumn("rejected", F.array_join("rejected_steps", "\n")).withColumn("first_error_step", F.size("rejected_steps") - 1).withColumn("step_weights", F.array_repeat(F.lit(1.0), F.size("rejected_steps")))
     if "metadata" in rows.columns:
-        trail = F.create_map(F.lit("reviewer_variant"), F.lit("truncated_rejected_through_first_error"), F.lit("original_num_rejected_steps"), F.col("_n").cast("string"), F.lit("original_first_error_step"), F.col("_m").cast("string"))
+        trail = as_metadata(reviewer_variant=F.lit("truncated_rejected_through_first_error"), original_num_rejected_steps=F.col("_n"), original_first_error_step=F.col("_m"))
         out = out.withColumn("metadata", merge_metadata(F.col("metadata"), trail))
     return out.drop("_n", "_m")
 
@@ -81,7 +82,7 @@ def positive_prefix(rows: DataFrame, least: int = 1) -> DataFrame:
     m = F.col("first_error_step")
     out = rows.where(m >= least).withColumn("positive_prefix", strip(F.array_join(F.slice("rejected_steps", F.lit(1), F.greatest(F.lit(0), m)), "\n")))
     if "metadata" in rows.columns:
-        out = out.withColumn("metadata", merge_metadata(F.col("metadata"), F.create_map(F.lit("process_positive"), F.lit("true"), F.lit("positive_prefix_steps"), m.cast("string"))))
+        out = out.withColumn("metadata", merge_metadata(F.col("metadata"), as_metadata(process_positive=F.lit(True), positive_prefix_steps=m)))
     return out
 
 
@@ -127,19 +128,9 @@ def vocabulary(texts: DataFrame, order: str, text: str = "text", reserved: tuple
     return first.where(~F.col("token").isin(*reserved)).select("token", F.col("at.row").alias("first_row"), F.col("at.pos").alias("first_pos"))
 
 
-def vocabulary_ids(vocab: DataFrame, start: int = 3, block: int = 64) -> DataFrame:
-    """Adds ``token_id``: consecutive numbers in the order of first places.
-
-    Tokens are numbered within blocks of rows, in as many tasks as there are; only the blocks' sizes,
-    a row for each block with new tokens, are summed up in one order.
-    """
-    from pyspark.sql import Window as W
-
-    own = vocab.withColumn("_b", F.floor(F.col("first_row") / block))
-    before = F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    sizes = own.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_b").orderBy("first_row", "first_pos"))
-    return own.join(sizes, "_b").withColumn("token_id", (F.col("_before") + place + (start - 1)).cast("int")).drop("_b", "_before")
+def vocabulary_ids(vocab: DataFrame, start: int = 3) -> DataFrame:
+    """Adds ``token_id``: consecutive numbers in the order of first places, without a task that sees all tokens."""
+    return O.numbered(vocab, ["first_row", "first_pos"], "token_id", start).withColumn("token_id", F.col("token_id").cast("int"))
 
 
 def pair_strictly(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

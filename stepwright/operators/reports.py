@@ -47,38 +47,44 @@ def parse_verdict(reply: Column, n: Column) -> Column:
     JSON.  A failed reply is the last step with confidence 0, its rationale the reason.  Indices and
     confidences are clamped, rationales stripped.
     """
-    found = F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
-    doc = F.try_parse_json(found)
-    field = lambda name, kind: F.try_variant_get(doc, f"$.{name}", kind)
-    kind = lambda name: F.schema_of_variant(field(name, "variant"))
-    number = lambda name: kind(name).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT|BOOLEAN)")
     clamp = lambda x, lo, hi: F.greatest(lo, F.least(x, hi))
+    number = lambda v: v["kind"].rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")
+
+    def read(doc, name):  # null kind: the field is not there
+        facts = lambda v: F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("text"), F.try_variant_get(v, "$", "double").alias("value"))
+        return let(F.try_variant_get(doc, f"$.{name}", "variant"), facts).alias(name)
+
+    def parts(x):
+        at, sure, why = x["first_error_step"], x["confidence"], x["rationale"]
+        spelt = strip(at["text"])
+        index = F.when(at["kind"] == "BOOLEAN", (at["text"] == "true").cast("double")).when(number(at), F.floor(at["value"]).cast("double"))
+        index = index.when((at["kind"] == "STRING") & spelt.rlike(_INTEGER), F.replace(spelt, F.lit("_"), F.lit("")).try_cast("double"))
+        c = F.when(sure["kind"] == "BOOLEAN", (sure["text"] == "true").cast("double")).when(number(sure), sure["value"])
+        c = c.when(sure["kind"] == "STRING", float_value(strip(sure["text"]))).when(sure["kind"].isNull(), F.lit(0.0))
+        r = F.when(why["kind"] == "VOID", "None").when(why["kind"] == "BOOLEAN", F.initcap(why["text"])).otherwise(strip(F.coalesce(why["text"], F.lit(""))))
+        return F.struct(x["lost"].alias("lost"), sure["kind"].alias("kind"), sure["text"].alias("text"), index.alias("i"), F.when(F.isnan(c), 0.0).otherwise(c).alias("c"), r.alias("r"))
+
+    def fields(found):
+        lost = lambda doc: F.when(found.isNull(), NO_OBJECT).when(doc.isNull(), NOT_JSON)
+        return let(F.try_parse_json(found), lambda doc: F.struct(lost(doc).alias("lost"), *[read(doc, x) for x in ("first_error_step", "confidence", "rationale")]))
+
+    def verdict(v):
+        named = F.when(v["kind"] == "VOID", "'NoneType'").when(v["kind"].startswith("ARRAY"), "'list'").otherwise("'dict'")
+        no_float = F.when(v["kind"] == "STRING", F.concat(F.lit(NO_FLOAT + "'"), v["text"], F.lit("'"))).otherwise(F.concat(F.lit(NO_NUMBER), named))
+        return let(F.struct(v.alias("v"), F.coalesce(v["lost"], F.when(v["c"].isNull(), no_float)).alias("why")), outcome)
+
+    def outcome(z):
+        v, why, last = z["v"], z["why"], n - 1
+        index = clamp(F.coalesce(v["i"], last.cast("double")), F.lit(0.0), last.cast("double"))
+        return F.struct(
+            F.when(why.isNotNull(), last).otherwise(index).cast("int").alias("first_error"),
+            F.when(why.isNotNull(), 0.0).otherwise(clamp(v["c"], F.lit(0.0), F.lit(1.0))).alias("confidence"),
+            F.when(why.isNotNull(), F.concat(F.lit(FAILED), why)).otherwise(v["r"]).alias("rationale"),
+            why.isNotNull().alias("failed"),
+        )
 
-    said = F.when(kind("first_error_step") == "BOOLEAN", field("first_error_step", "boolean").cast("double"))
-    said = said.when(number("first_error_step"), F.floor(field("first_error_step", "double")).cast("double"))
-    spelt = strip(field("first_error_step", "string"))
-    said = said.when((kind("first_error_step") == "STRING") & spelt.rlike(_INTEGER), F.replace(spelt, F.lit("_"), F.lit("")).try_cast("double"))
-    index = clamp(F.coalesce(said, (n - 1).cast("double")), F.lit(0.0), (n - 1).cast("double"))
-
-    text = field("confidence", "string")
-    sure = F.when(kind("confidence") == "BOOLEAN", field("confidence", "boolean").cast("double")).when(number("confidence"), field("confidence", "double"))
-    sure = sure.when(kind("confidence") == "STRING", float_value(strip(text))).when(kind("confidence").isNull(), F.lit(0.0))
-    sure = F.when(F.isnan(sure), 0.0).otherwise(sure)
-    named = F.when(kind("confidence") == "VOID", "'NoneType'").when(kind("confidence").startswith("ARRAY"), "'list'").otherwise("'dict'")
-    why = F.when(found.isNull(), NO_OBJECT).when(doc.isNull(), NOT_JSON)
-    why = why.when(sure.isNull() & (kind("confidence") == "STRING"), F.concat(F.lit(NO_FLOAT + "'"), text, F.lit("'"))).when(sure.isNull(), F.concat(F.lit(NO_NUMBER), named))
-
-    rationale = F.when(kind("rationale") == "VOID", "None").when(kind("rationale") == "BOOLEAN", F.initcap(field("rationale", "string"))).otherwise(strip(F.coalesce(field("rationale", "string"), F.lit(""))))
-    parts = F.struct(index.alias("i"), sure.alias("c"), rationale.alias("r"), F.when(reply.isNull(), NO_OBJECT).otherwise(why).alias("why"))
-    return let(
-        parts,
-        lambda v: F.struct(
-            F.when(v["why"].isNotNull(), n - 1).otherwise(v["i"]).cast("int").alias("first_error"),
-            F.when(v["why"].isNotNull(), 0.0).otherwise(clamp(v["c"], F.lit(0.0), F.lit(1.0))).alias("confidence"),
-            F.when(v["why"].isNotNull(), F.concat(F.lit(FAILED), v["why"])).otherwise(v["r"]).alias("rationale"),
-            v["why"].isNotNull().alias("failed"),
-        ),
-    )
+    found = F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
+    return let(let(let(found, fields), parts), verdict)
 
 
 def grid(questions: DataFrame, models: list[str]) -> DataFrame:

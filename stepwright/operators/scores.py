@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,62 @@ def bigram_scores(tokens: DataFrame, counts: DataFrame, pairs: DataFrame, smooth
     return out.withColumn(name, F.log(p)).drop("_n", "_before", "_kinds")
 
 
+def log_softmax(logits: DataFrame, by: list[str], logit: str = "logit") -> DataFrame:
+    """``logits(by, token_id, logit)`` with ``logp``: each logit less the log of the summed exponentials of its ``by``.
+
+    The greatest logit is taken out of the sum first, so that nothing overflows.  Both sums are over windows of
+    one partitioning: logits move once, and a window has a vocabulary's rows at most.
+    """
+    w = Window.partitionBy(*by)
+    own = logits.withColumn("_top", F.max(logit).over(w))
+    return own.withColumn("logp", F.col(logit) - F.col("_top") - F.log(F.sum(F.exp(F.col(logit) - F.col("_top"))).over(w))).drop("_top")
+
+
+def gathered_logps(logits: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
+    """``by, pos, logp, mass`` of ``labels(by, pos, token_id)`` under ``logits(by, pos, token_id, logit)``.
+
+    Logits at a position speak of the token after it, so a label takes its score from the position before
+    and the first one has none.  Sums, score and ``mass`` (of all probabilities, 1 but for rounding) of a position come from one
+    grouping: labels ride along with the logits of their position and nothing is joined.
+    """
+    top = F.max("logit").over(Window.partitionBy(*by, "pos"))
+    label = labels.where("pos >= 1").select(*by, (F.col("pos") - 1).cast(logits.schema["pos"].dataType).alias("pos"), F.lit(None).cast("long").alias("token_id"), F.lit(None).cast("double").alias("logit"), F.col("token_id").cast("long").alias("label"))
+    rows = logits.select(*by, "pos", F.col("token_id").cast("long").alias("token_id"), F.col("logit").cast("double").alias("logit"), F.lit(None).cast("long").alias("label")).unionByName(label)
+    own = rows.withColumn("_top", top).withColumn("_label", F.max("label").over(Window.partitionBy(*by, "pos")))
+    part = F.sum(F.exp(F.col("logit") - F.col("_top")))
+    got = own.where("_label is not null").groupBy(*by, "pos").agg(F.max(F.when(F.col("token_id") == F.col("_label"), F.col("logit") - F.col("_top"))).alias("_x"), F.log(part).alias("_log"), F.sum(F.exp(F.col("logit") - F.col("_top"))).alias("_sum"))
+    return got.select(*by, (F.col("pos") + 1).alias("pos"), (F.col("_x") - F.col("_log")).alias("logp"), (F.col("_sum") / F.exp("_log")).alias("mass"))
+
+
+class BackOff:
+    """Interpolated back-off from pairs of tokens to tokens, by absolute discounts and continuation counts.
+
+    A token after a known one has its discounted share of the pairs with that one, and what the discounts free goes to
+    tokens by the number of different tokens that stand before them; there again the freed share is spread evenly over
+    all known tokens and one unknown.  So the probabilities after any token sum to 1.
+    """
+
+    def __init__(self, pairs: DataFrame, discount: float = 0.75):
+        """``pairs(prev, token)``: each neighbouring pair of the training text, repeats included."""
+        if not 0 < discount < 1:
+            raise ValueError("discount must be in (0, 1)")
+        self.discount = discount
+        self.pairs = pairs.groupBy("prev", "token").agg(F.count("*").alias("n"))
+        self.before = self.pairs.groupBy("prev").agg(F.sum("n").alias("n_prev"), F.count("*").alias("kinds"))
+        self.after = self.pairs.groupBy("token").agg(F.count("*").alias("n_before"))
+        self.total = self.pairs.agg(F.count("*").alias("n_pairs"), F.count_distinct("token").alias("n_tokens"))
+
+    def score(self, rows: DataFrame, name: str = "logp") -> DataFrame:
+        """``rows(prev, token)`` with the log-probability of ``token`` after ``prev``."""
+        d = F.lit(self.discount)
+        own = rows.join(self.pairs, ["prev", "token"], "left").join(self.before, "prev", "left").join(self.after, "token", "left").crossJoin(F.broadcast(self.total))  # one row
+        none = lambda c: F.coalesce(c, F.lit(0))
+        even = F.lit(1.0) / (F.col("n_tokens") + 1)
+        low = F.when(F.col("n_pairs") > 0, (F.greatest(none("n_before") - d, F.lit(0.0)) + d * F.col("n_tokens") * even) / F.col("n_pairs")).otherwise(even)
+        p = F.when(F.col("n_prev").isNull(), low).otherwise((F.greatest(none("n") - d, F.lit(0.0)) + d * F.col("kinds") * low) / F.col("n_prev"))
+        return own.withColumn(name, F.log(p)).drop("n", "n_prev", "kinds", "n_before", "n_pairs", "n_tokens")
+
+
 def uniform_score(vocabulary: int) -> Column:
     return F.lit(-1.0) * F.log(F.lit(float(vocabulary)))
 

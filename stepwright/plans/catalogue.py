@@ -12,6 +12,8 @@ from stepwright.functions import steps as S
 from stepwright.functions import tokens as K
 from stepwright.functions.segment import segment_steps, step_spans
 from stepwright.functions.text import WS, extract_answer, normalize_answer, verify_answer
+from stepwright.operators import intervals as I
+from stepwright.operators import order as O
 from stepwright.operators import pairs as P
 from stepwright.operators import quality as Q
 from stepwright.operators import reports as R
@@ -20,7 +22,8 @@ from stepwright.sources import generators as G
 from stepwright.sources import prompts as M
 from stepwright.sources import providers as V
 from stepwright.sources import jsonl as J
-from stepwright.sources.jsonl import as_pairs, merge_metadata
+from stepwright.sources.jsonl import as_metadata, as_pairs, merge_metadata, metadata_map
+from stepwright import streaming
 
 from . import localisation as Z
 
@@ -199,7 +202,7 @@ def head_questions(spark, sf):
 @query
 def pair_records(spark, sf):
     rows = G.placeholder_pairs(G.toy_questions(_few_seeds(spark, sf)))
-    return as_pairs(rows).select("prompt", "chosen", "rejected", "answer", F.size("metadata").alias("n_metadata"))
+    return as_pairs(rows).select("prompt", "chosen", "rejected", "answer", F.size(metadata_map(F.col("metadata"))).alias("n_metadata"))
 
 
 # Prompts
@@ -338,8 +341,9 @@ def positive_prefix(spark, sf):
 @query
 def metadata_merge(spark, sf):
     e = table(spark, sf, "events")
-    merged = merge_metadata(F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.lit("old")), F.create_map(F.lit("b"), F.col("user_id").cast("string"), F.lit("c"), F.lit("new")))
-    return e.select("event_id", merged["a"].alias("a"), merged["b"].alias("b"), merged["c"].alias("c"), F.size(merged).alias("n"))
+    merged = merge_metadata(as_metadata(a=F.col("event_type"), b=F.lit("old"), n=F.lit(1)), as_metadata(b=F.col("user_id"), c=F.lit(0.5), n=F.lit(None).cast("string")))
+    got = e.select("event_id", merged.alias("m"))
+    return got.select("event_id", F.try_variant_get("m", "$.a", "string").alias("a"), F.try_variant_get("m", "$.b", "bigint").alias("b"), F.to_json("m").alias("merged"), F.size(metadata_map(F.col("m"))).alias("n"))
 
 
 # Selection, filters, splits
@@ -666,10 +670,34 @@ def jsonl_round_trip(spark, sf):
     """Pair records written as JSON Lines and read again, nulls and other alphabets included."""
     q = G.placeholder_pairs(G.toy_questions(_few_seeds(spark, sf)))
     note = F.concat(F.lit('naïve ✓ "'), F.col("idx").cast("string"), F.lit('"'))
-    rows = q.withColumn("answer", F.when(F.col("idx") % 2 == 0, F.col("answer"))).withColumn("metadata", F.create_map(F.lit("note"), note))
+    rows = q.withColumn("answer", F.when(F.col("idx") % 2 == 0, F.col("answer"))).withColumn("metadata", as_metadata(note=note))
     path = J.shared_path(spark, "pairs")
     J.write_jsonl(as_pairs(rows), path)
-    return J.read_jsonl(spark, path, J.PAIR).select("prompt", "chosen", "rejected", "answer", F.col("metadata")["note"].alias("note"))
+    return J.read_jsonl(spark, path, J.PAIR).select("prompt", "chosen", "rejected", "answer", F.try_variant_get("metadata", "$.note", "string").alias("note"))
+
+
+@query
+def typed_metadata(spark, sf):
+    """Metadata of several types written as JSON Lines, read, merged with a job's own, written and read again."""
+    q = G.placeholder_pairs(G.toy_questions(_few_seeds(spark, sf)))
+    i = F.col("idx")
+    nested = F.struct(F.array(i, i + 1).alias("rows"), F.struct(F.lit("é").alias("name"), F.lit(None).cast("string").alias("note")).alias("by"))
+    meta = as_metadata(row_id=i, ok=i % 2 == 0, x=(i + 0.5).cast("decimal(20,1)"), none=F.lit(None).cast("string"), text=i.cast("string"), nested=nested)
+    once, twice = J.shared_path(spark, "typed"), J.shared_path(spark, "typed")
+    J.write_jsonl(as_pairs(q.withColumn("metadata", meta)), once)
+    read = J.read_jsonl(spark, once, J.PAIR)
+    J.write_jsonl(read.withColumn("metadata", merge_metadata(F.col("metadata"), as_metadata(text=F.lit(7), gamma=F.lit(0.25)))), twice)
+    m = lambda name, kind: F.try_variant_get("metadata", f"$.{name}", kind)
+    back = J.read_jsonl(spark, twice, J.PAIR)
+    return back.select(m("row_id", "bigint").alias("row_id"), F.to_json("metadata").alias("metadata"), F.schema_of_variant(m("x", "variant")).startswith("DECIMAL").alias("x_is_decimal"), F.schema_of_variant(m("none", "variant")).alias("none_is"))
+
+
+@query
+def record_positions(spark, sf):
+    """Consecutive positions of JSON Lines records over several files."""
+    rows, path = _seeds(spark, sf).select("idx"), J.shared_path(spark, "numbered-pairs")
+    J.write_jsonl(rows.repartitionByRange(5, "idx").sortWithinPartitions("idx"), path)
+    return J.read_jsonl(spark, path, rows.schema, ordinal="row_id")
 
 
 @query
@@ -703,9 +731,93 @@ def csv_report(spark, sf):
     return spark.read.option("header", True).csv(path).select("template", "accuracy", "total")
 
 
+@query
+def committed_increments(spark, sf):
+    """Two increments with repeated keys, the first of them run twice: each key once, by the first that brings it."""
+    rows = _few_seeds(spark, sf).select("idx")
+    table = J.Increments(spark, J.shared_path(spark, "increments"), T.StructType([rows.schema["idx"], T.StructField("run", T.StringType())]), "idx")
+    third = rows.where(F.col("idx") % 3 == 0)
+    table.append("first", third.unionByName(third).withColumn("run", F.lit("first")))
+    table.append("first", rows.withColumn("run", F.lit("again")))
+    table.append("second", rows.unionByName(rows).withColumn("run", F.lit("second")))
+    return table.rows()
+
+
 @query
 def seeded_draws(spark, sf):
-    return G.seeds_by_random(spark, 8)
+    """A seed for each customer, by hash of the key."""
+    return G.drawn_seeds(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", "seed")
+
+
+@query
+def cached_completions(spark, sf):
+    """Two samples of each toy question from a cache that a first run over a third of them began."""
+    q = V.ask(G.toy_questions(_few_seeds(spark, sf)).select("idx", F.col("question").alias("prompt")), 2)
+    path, provider = J.shared_path(spark, "completions"), lambda prompts: [(f"{len(p)} characters", None) for p in prompts]
+    V.cached(q.where(F.col("idx") % 3 == 0), lambda prompts: [("kept", None)] * len(prompts), path)
+    return V.cached(q, provider, path).select("idx", "sample_no", "completion")
+
+
+# Order, ranges, logits, streams
+
+
+@query
+def length_batches(spark, sf):
+    """Toy questions in batches of 16 like lengths, each padded to its own longest."""
+    q = G.toy_questions(_few_seeds(spark, sf)).select("idx", F.transform(K.scan(F.col("question")), lambda t: t["end"] - t["start"]).alias("ids"))
+    q = q.withColumn("ids", F.slice("ids", F.lit(1), (F.col("idx") % 9 + 12).cast("int")))
+    b = O.padded_batches(q, "ids", "idx", 16)
+    return b.select("idx", "batch", "place", "width", F.array_join("ids", ",").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
+
+
+@query
+def cyclic_batches(spark, sf):
+    """Steps 10 to 509 of batches of 7 customers, in the order of their keys, round and round."""
+    return O.cyclic_batches(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 500, 7, start=10).select("step", "place", "c_custkey")
+
+
+@query
+def token_weights_joined(spark, sf):
+    """Weights of rejected tokens by a range join of tokens and step spans."""
+    rows = _localised(spark, sf)
+    toks = rows.select("idx", F.posexplode(K.scan(F.col("rejected"))).alias("pos", "t")).select("idx", "pos", "t.token", "t.start", "t.end")
+    spans = rows.select("idx", "step_weights", F.posexplode(step_spans(F.col("rejected"), F.col("rejected_steps"))).alias("k", "s"))
+    spans = spans.select("idx", "k", "s.start", "s.end", F.try_element_at("step_weights", F.col("k") + 1).alias("w"))
+    return I.weights_by_span(toks, spans, ["idx"], 32).select("idx", "pos", "token", F.round("w", 6).alias("w"))
+
+
+@query
+def softmax_logp(spark, sf):
+    """Label scores from logits of eleven tokens at six places of each customer, some of them very large."""
+    c = _few_seeds(spark, sf).select("idx", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"))
+    labels = c.select("idx", "pos", ((F.col("idx") * 7 + F.col("pos") * 3) % 11).alias("token_id"))
+    each = c.withColumn("token_id", F.explode(F.expr("sequence(0L, 10L)")))
+    logit = (F.col("idx") * 31 + F.col("pos") * 17 + F.col("token_id") * 13) % 97 / 8 + F.when(F.col("idx") % 3 == 0, 800.0).otherwise(0.0)
+    got = L.gathered_logps(each.withColumn("logit", logit), labels, ["idx"])
+    return got.select("idx", "pos", F.round("logp", 6).alias("logp"), F.round("mass", 6).alias("mass"))
+
+
+@query
+def backoff_logp(spark, sf):
+    """Mean log-probability by side under interpolated back-off from pairs of chosen traces."""
+    t = _tokens(spark, sf)
+    seq = t.groupBy("idx", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("s"))  # one trace
+    pair = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("prev"), F.slice("s", F.lit(2), F.size("s")).alias("token"))
+    both = seq.select("side", F.inline(pair).alias("prev", "token"))
+    return L.BackOff(both.where("side = 'chosen'").select("prev", "token")).score(both).groupBy("side").agg(F.round(F.avg("logp"), 6).alias("mean_logp"), F.count("*").alias("n"))
+
+
+@query
+def arriving_rates(spark, sf):
+    """Rates of order lines that arrive in disorder over four batches, localised by a stream with keyed state."""
+    r = _rates(spark, sf)
+    e = r.select("l_orderkey", F.size("rates").alias("n"), F.posexplode("rates").alias("k", "rate"))
+    path = J.shared_path(spark, "arriving")
+    e.repartition(4, F.md5(F.concat_ws(":", "l_orderkey", "k"))).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    z = streaming.localise_arriving(stream, "l_orderkey").drop("n")
+    z.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out", "parquet").awaitTermination()
+    return spark.read.schema(z.schema).parquet(f"{path}/out").select("l_orderkey", "first_error", F.round("confidence", 6).alias("confidence"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 ORACLES: dict[str, str] = {}
 
 _CLEAN = r"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
@@ -139,15 +141,16 @@ _TAIL = "chr(10) || 'Answer step by step and end with ''#### <answer>''.'"
 def _trace(i: int, name: str) -> str:
     m, numbers, *texts = _TRACES[name]
     question, *steps = [f"format('{text}', {args})" for text, args in (*texts, ("#### {}", "z"))]
-    own = f"(SELECT idx, w, {numbers} FROM seeds, (VALUES (0), (1)) v(w) WHERE seed % 6 = {i})"
-    return f"SELECT idx, w, '{name}' AS template, {m} AS m, {question} AS question, [{', '.join(steps)}] AS steps FROM {own}"
+    side = lambda w: re.sub(r"\bw\b", str(w), numbers)
+    right = f"(SELECT idx, seed, {side(0)} FROM seeds WHERE seed % 6 = {i})"
+    asked = f"(SELECT idx, seed, {question} AS question, [{', '.join(steps)}] AS chosen_steps FROM {right})"
+    return f"SELECT idx, 'Question: ' || question || {_TAIL} AS prompt, chosen_steps, [{', '.join(steps)}] AS rejected_steps, {m} AS m, '{name}' AS template FROM (SELECT idx, question, chosen_steps, {side(1)} FROM {asked})"
 
 
 def pairs(source: str = "orders", key: str = "o_orderkey") -> str:
+    """Both traces of a seed from one row, without a join."""
     traces = " UNION ALL ".join(_trace(i, name) for i, name in enumerate(_TRACES))
-    return f"""seeds AS (SELECT {key} AS idx, {key} AS seed FROM {source}), traces AS ({traces}),
-pairs AS (SELECT c.idx, 'Question: ' || c.question || {_TAIL} AS prompt, c.steps AS chosen_steps, r.steps AS rejected_steps, c.m, c.template
-  FROM traces c JOIN traces r ON c.idx = r.idx AND c.w = 0 AND r.w = 1)"""
+    return f"seeds AS (SELECT {key} AS idx, {key} AS seed FROM {source}), pairs AS ({traces})"
 
 
 _PAIRS, _FEW_PAIRS = pairs(), pairs("customer", "c_custkey")
@@ -236,7 +239,7 @@ ORACLES["noise_error"] = f"""WITH {_PAIRS}, x AS (SELECT idx, m, len(rejected_st
 SELECT idx, CAST(CASE WHEN coin AND n > 1 THEN p + (p >= m)::INT ELSE m END AS INT) AS first_error_step, coin AS localization_noisy FROM x"""
 ORACLES["truncate_rejected"] = f"WITH {_PAIRS} SELECT idx, array_to_string(rejected_steps[1:m + 1], chr(10)) AS rejected, m AS first_error_step, m + 1 AS n FROM pairs"
 ORACLES["positive_prefix"] = f"WITH {_PAIRS} SELECT idx, array_to_string(rejected_steps[1:m], chr(10)) AS positive_prefix FROM pairs WHERE m >= 1"
-ORACLES["metadata_merge"] = "SELECT event_id, event_type AS a, CAST(user_id AS VARCHAR) AS b, 'new' AS c, 3 AS n FROM events"
+ORACLES["metadata_merge"] = """SELECT event_id, event_type AS a, user_id AS b, '{"a":"' || event_type || '","b":' || user_id || ',"c":0.5,"n":null}' AS merged, 4 AS n FROM events"""
 
 # Selection, filters, splits
 
@@ -347,7 +350,29 @@ ORACLES["jsonl_round_trip"] = f"""WITH {_FEW} SELECT 'Question: ' || question ||
 ORACLES["variant_files"] = ORACLES["weight_variants"]
 ORACLES["resumed_rows"] = "SELECT c_custkey AS idx, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE 'second' END AS run FROM customer"
 ORACLES["csv_report"] = f"WITH {_PAIRS} SELECT template, printf('%.4f', avg((idx % 4 = 0)::INT)) AS accuracy, CAST(count(*) AS VARCHAR) AS total FROM pairs GROUP BY template"
-# The first draws of a Mersenne Twister seeded with 456, from 0 to 1,000,000.
-ORACLES["seeded_draws"] = "SELECT CAST(idx AS BIGINT) AS idx, CAST(seed AS BIGINT) AS seed FROM (VALUES (0, 784547), (1, 471246), (2, 488847), (3, 456350), (4, 409583), (5, 832883), (6, 932715), (7, 679634)) v(idx, seed)"
+ORACLES["seeded_draws"] = "SELECT c_custkey, CAST('0x' || substr(md5('456:' || c_custkey), 1, 15) AS BIGINT) % 1000001 AS seed FROM customer"
+ORACLES["committed_increments"] = ORACLES["resumed_rows"]
+ORACLES["typed_metadata"] = """SELECT c_custkey AS row_id, '{"gamma":0.25,"nested":{"by":{"name":"é","note":null},"rows":[' || c_custkey || ',' || (c_custkey + 1) || ']},"none":null,"ok":' || (c_custkey % 2 = 0) || ',"row_id":' || c_custkey || ',"text":7,"x":' || c_custkey || '.5}' AS metadata,
+  true AS x_is_decimal, 'VOID' AS none_is FROM customer"""
+ORACLES["record_positions"] = "SELECT o_orderkey AS idx, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders"
+ORACLES["cached_completions"] = f"WITH {_FEW}, s AS (SELECT unnest([1, 2]) AS sample_no) SELECT idx, sample_no, CASE WHEN idx % 3 = 0 THEN 'kept' ELSE length(question) || ' characters' END AS completion FROM q, s"
+
+# Order, ranges, logits, streams
+
+ORACLES["length_batches"] = f"""WITH {_FEW}, t AS (SELECT idx, list_transform(string_split(question, ' '), lambda x: length(x))[1:idx % 9 + 12] AS l FROM q),
+o AS (SELECT idx, l, row_number() OVER (ORDER BY len(l), idx) - 1 AS n FROM t), b AS (SELECT *, n // 16 AS batch, max(len(l)) OVER (PARTITION BY n // 16) AS width FROM o)
+SELECT idx, batch, CAST(n % 16 AS INT) AS place, CAST(width AS INT) AS width, array_to_string(list_concat(l, list_transform(range(width - len(l)), lambda x: 0)), ',') AS ids, CAST(len(l) AS INT) AS n_real FROM b"""
+ORACLES["cyclic_batches"] = """WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n, count(*) OVER () AS total FROM customer), s AS (SELECT unnest(range(70, 3570)) AS i)
+SELECT i // 7 AS step, CAST(i % 7 AS INT) AS place, c_custkey FROM s JOIN o ON o.n = s.i % o.total"""
+ORACLES["token_weights_joined"] = f"WITH {_TOKENS} SELECT idx, CAST(row_number() OVER (PARTITION BY idx ORDER BY k, j) - 1 AS INT) AS pos, token, round(w, 6) AS w FROM words WHERE side = 'rejected' AND k >= 0"
+ORACLES["softmax_logp"] = """WITH c AS (SELECT c_custkey AS idx, unnest(range(6)) AS pos FROM customer), v AS (SELECT idx, pos, unnest(range(11)) AS t FROM c),
+x AS (SELECT idx, pos, t, (idx * 31 + pos * 17 + t * 13) % 97 / 8 AS x FROM v), z AS (SELECT idx, pos, ln(sum(exp(x))) AS z FROM x GROUP BY idx, pos)
+SELECT x.idx, CAST(x.pos + 1 AS INT) AS pos, round(x - z, 6) AS logp, 1.0::DOUBLE AS mass FROM x JOIN z USING (idx, pos) WHERE x.pos < 5 AND t = (idx * 7 + (x.pos + 1) * 3) % 11"""
+ORACLES["backoff_logp"] = f"""WITH {_TOKENS}, b AS (SELECT side, lag(token) OVER (PARTITION BY idx, side ORDER BY pos) AS prev, token FROM toks), r AS (SELECT * FROM b WHERE prev IS NOT NULL),
+n AS (SELECT prev, token, count(*) AS n FROM r WHERE side = 'chosen' GROUP BY prev, token), u AS (SELECT prev, sum(n) AS total, count(*) AS kinds FROM n GROUP BY prev),
+a AS (SELECT token, count(*) AS n FROM n GROUP BY token), z AS (SELECT (SELECT count(*) FROM n) AS pairs, (SELECT count(*) FROM a) AS tokens),
+p AS (SELECT r.side, n.n, u.total, u.kinds, (greatest(coalesce(a.n, 0) - 0.75, 0) + 0.75 * tokens / (tokens + 1.0)) / pairs AS low FROM r LEFT JOIN n ON n.prev = r.prev AND n.token = r.token LEFT JOIN u ON u.prev = r.prev LEFT JOIN a ON a.token = r.token, z)
+SELECT side, round(avg(ln(CASE WHEN total IS NULL THEN low ELSE (greatest(coalesce(n, 0) - 0.75, 0) + 0.75 * kinds * low) / total END)), 6) AS mean_logp, count(*) AS n FROM p GROUP BY side"""
+ORACLES["arriving_rates"] = f"SELECT l_orderkey, first_error, confidence FROM ({ORACLES['localize_rates']})"
 ORACLES["step_spans_not_found"] = """WITH c AS (SELECT c_custkey AS idx, CAST(length(CAST(c_custkey AS VARCHAR)) AS INT) AS n FROM customer)
 SELECT idx, 0 AS k, 0 AS start, 12 + n AS end_ FROM c UNION ALL SELECT idx, 1, 14 + n, 27 + n FROM c UNION ALL SELECT idx, 2, 27 + n, 31 + n FROM c"""

@@ -131,6 +131,12 @@ def seeds_by_hash(spark: SparkSession, n: int, seed: int = 456, most: int = 1_00
     return spark.range(n).select(F.col("id").alias("idx"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(most + 1)).alias("seed"))
 
 
+def drawn_seeds(rows: DataFrame, key: str, seed: int = 456, most: int = 1_000_000) -> DataFrame:
+    """``rows`` with a ``seed`` from 0 to ``most`` by hash of the key: the same in every run and for any partitioning."""
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    return rows.withColumn("seed", drawn % (most + 1))
+
+
 def template_eval(seeds: DataFrame) -> DataFrame:
     """``prompt, answer, template`` and ``idx`` of evaluation questions; template by ``idx`` round robin."""
     q = _by_template(lambda t: F.expr(text_sql(t["question"], number_sql(t))), "string")

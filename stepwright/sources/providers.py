@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .jsonl import Increments
+
+CACHE = T.StructType([T.StructField("id", T.StringType()), T.StructField("prompt", T.StringType()), T.StructField("sample_no", T.IntegerType()), T.StructField("completion", T.StringType())])
+
 
 def ask(rows: DataFrame, n: int, prompt: str = "prompt") -> DataFrame:
     """Each row ``n`` times with ``sample_no`` from 1."""
@@ -36,6 +40,29 @@ def generate(rows: DataFrame, provider: Callable[[list[str]], list[tuple[str | N
     return rows.mapInPandas(run, schema)
 
 
+def cached(rows: DataFrame, provider: Callable, path: str, prompt: str = "prompt", retries: int = 1) -> DataFrame:
+    """``rows(prompt, sample_no)`` with ``completion`` and ``error``, from the cache at ``path`` before ``provider``.
+
+    The cache is a table of committed increments by hash of prompt and sample number.  Only what it lacks is asked, each prompt and
+    number once however many rows have it, and written before it is read; what failed is asked again up to ``retries`` times
+    and never written, so that a later run asks for it once more.  A run that was killed leaves whole increments or
+    nothing.
+    """
+    spark = rows.sparkSession
+    cache = Increments(spark, path, CACHE, "id")
+    id_ = F.sha2(F.concat(F.col("sample_no").cast("string"), F.lit(":"), F.col(prompt)), 256)
+    own = rows.withColumn("_id", id_)
+    for _ in range(retries + 1):
+        known = cache.rows().select("id")
+        open_ = own.join(known, F.col("_id") == F.col("id"), "left_anti").select(F.col("_id").alias("id"), F.col(prompt).alias("prompt"), F.col("sample_no").cast("int").alias("sample_no")).dropDuplicates(["id"])
+        if open_.isEmpty():
+            break
+        cache.append(f"increment-{len(cache.committed()):06d}", generate(open_, provider).where("error is null").drop("error"))
+    said = cache.rows().select(F.col("id").alias("_cid"), "completion", F.lit(True).alias("_said"))
+    out = own.join(said, F.col("_id") == F.col("_cid"), "left")
+    return out.withColumn("error", F.when(F.col("_said").isNull(), "no completion")).drop("_id", "_cid", "_said")
+
+
 def until_first_error(rows: DataFrame, order: str = "idx") -> DataFrame:
     """Rows before the first, by ``order``, whose provider call failed."""
     first = rows.where(F.col("error").isNotNull()).agg(F.min(order).alias("_first"))

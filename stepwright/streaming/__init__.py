@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepwright.functions import steps as S
 from stepwright.functions.segment import segment_steps
 from stepwright.operators.quality import reject_reason
 from stepwright.sources.jsonl import LOCALISED
@@ -36,3 +39,54 @@ def windowed_rates(events: DataFrame, time: str, by: str, ok: str, width: str =
     w = F.window(time, width)
     events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.avg(F.col(ok).cast("double")).alias("rate"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "rate", "n")
+
+
+#: State of a key: rates by step as far as they have come, and whether its row is out.
+_STATE = "steps array<int>, rates array<double>, done boolean"
+
+
+def arriving_rates(events: DataFrame, key: str, tau: float = 0.3) -> DataFrame:
+    """``key, rates`` once for each key of ``events(key, k, n, rate)``, as soon as its first error is known.
+
+    Rates of a key's ``n`` steps may come in any order and over any number of batches.  A row is
+    out when all rates before a drop by more than ``tau`` and the two at it are there, or all ``n``; its ``rates`` are
+    those up to there, of which ``functions.steps.localize`` makes what it makes of the whole.  A step that
+    comes twice counts first; whatever comes after the row is out is dropped.  State is a key's rates until its
+    row is out, then a mark.
+    """
+    import pandas as pd
+
+    kind = events.schema[key].dataType
+    out = T.StructType([T.StructField(key, kind), T.StructField("rates", T.ArrayType(T.DoubleType()))])
+
+    def settled(rates: dict[int, float], n: int) -> list[float] | None:
+        had: list[float] = []
+        for k in range(n):
+            if k not in rates:
+                return None
+            had.append(rates[k])
+            if k and min(1.0, max(0.0, had[-2])) - min(1.0, max(0.0, had[-1])) > tau:
+                return had
+        return had
+
+    def run(group, batches: Iterator, state) -> Iterator:
+        steps, rates, done = state.get if state.exists else ([], [], False)
+        held = dict(zip(steps, rates))
+        for pdf in batches:
+            if done:
+                continue
+            for k, rate in zip(pdf["k"].tolist(), pdf["rate"].tolist()):
+                held.setdefault(k, rate)
+            got = settled(held, int(pdf["n"].iloc[0]))
+            if got is not None:
+                done = True
+                yield pd.DataFrame({key: [group[0]], "rates": [got]})
+        state.update(([], [], True) if done else (list(held), list(held.values()), False))
+
+    return events.select(key, F.col("k").cast("int").alias("k"), F.col("n").cast("int").alias("n"), F.col("rate").cast("double").alias("rate")).groupBy(key).applyInPandasWithState(run, out, _STATE, "append", "NoTimeout")
+
+
+def localise_arriving(events: DataFrame, key: str, tau: float = 0.3) -> DataFrame:
+    """``key, n, first_error, confidence`` of each key of ``arriving_rates``, once; ``n`` steps were needed for it."""
+    z = arriving_rates(events, key, tau).withColumn("z", S.localize(F.col("rates"), tau))
+    return z.select(key, F.size("rates").alias("n"), F.col("z.first_error").alias("first_error"), F.col("z.confidence").alias("confidence"))

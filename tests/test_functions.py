@@ -118,24 +118,29 @@ def test_answer_values_and_verdicts(spark):
     assert run(spark, rows, "p string, g string, w boolean", verify_answer(F.col("p"), F.col("g")), "w") == [(w, w) for *_, w in rows]
 
 
-def python_locate(q, tau=0.3, high=0.8, low=0.2):
-    if not q:
-        return 0, 0.0
-    q = [min(1.0, max(0.0, x)) for x in q]
-    for k in range(1, len(q)):
-        if q[k - 1] - q[k] > tau:
-            return k, min(1.0, q[k - 1] - q[k])
-    if max(q) <= low:
-        return 0, 1 - max(q)
-    if min(q) >= high:
-        return len(q) - 1, 0.0
-    return q.index(min(q)), max(0.0, 1 - min(q))
+def test_localisation_from_rates(spark):
+    cases = [
+        ([], 0, 0.0),
+        ([0.75, 0.75, 0.0, 0.0], 2, 0.75),
+        ([1.0, 0.6, 0.1], 1, 0.4),  # the first of two drops, not the larger
+        ([0.9, 0.65, 0.4], 2, 0.6),  # no drop is large enough: the smallest rate
+        ([0.5, 0.25, 0.25, 0.5], 1, 0.75),  # the first of two smallest
+        ([0.1, 0.2, 0.0], 0, 0.8),  # all low
+        ([0.8, 1.0, 0.9], 2, 0.0),  # all high
+        ([1.5, 0.5], 1, 0.5),  # rates are clamped before they are compared
+        ([-1.0, 0.5], 0, 1.0),
+        ([0.25], 0, 0.75),
+        ([0.2], 0, 0.8),
+        ([0.8], 0, 0.0),
+    ]
+    for (i, z), (_, at, sure) in zip(run(spark, [(c[0], k) for k, c in enumerate(cases)], "q array<double>, k int", "k", S.localize(F.col("q"))), cases):
+        assert (z.first_error, z.confidence) == (at, pytest.approx(sure)), cases[i]
 
 
-def test_localisation_from_rates(spark):
-    grid = [list(x) for n in range(4) for x in itertools.product([0.0, 0.1, 0.25, 0.5, 0.8, 1.0, 1.5, -1.0], repeat=n)][:400] + [[0.75, 0.75, 0.0, 0.0]]
-    for q, z in run(spark, [(g,) for g in grid], "q array<double>", "q", S.localize(F.col("q"))):
-        assert (z.first_error, pytest.approx(z.confidence)) == python_locate(q)
+def test_a_planted_drop_is_found(spark):
+    rows = [([0.9 - 0.05 * k for k in range(at)] + [0.3 - 0.05 * (at - 1)] + list(rest), at) for at in range(1, 6) for rest in itertools.product([0.0, 0.5, 1.0], repeat=2)]
+    for at, z in run(spark, rows, "q array<double>, k int", "k", S.localize(F.col("q"))):
+        assert z.first_error == at and z.confidence == pytest.approx(0.6)
 
 
 def test_weights(spark):

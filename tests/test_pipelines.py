@@ -20,11 +20,13 @@ from stepwright.sources.prompts import judge_prompt, rollout_prompt
 
 def test_jsonl_round_trip(spark, tmp_path):
     src = tmp_path / "in.jsonl"
-    src.write_text('{"prompt": "p。", "chosen": "c", "rejected": "r"}\n\n  \n{"prompt": "q", "chosen": "c", "rejected": "r", "answer": null, "metadata": {"a": "1"}}\n', encoding="utf-8")
+    src.write_text('{"prompt": "p。", "chosen": "c", "rejected": "r"}\n\n  \n{"prompt": "q", "chosen": "c", "rejected": "r", "answer": null, "metadata": {"a": 1, "b": [true, 0.5, null]}}\n', encoding="utf-8")
     df = jsonl.read_jsonl(spark, str(src), jsonl.PAIR, ordinal="ord")
     assert [r.prompt for r in df.orderBy("ord").collect()] == ["p。", "q"]
     pairs = jsonl.as_pairs(df)
-    assert [r.metadata for r in pairs.orderBy("prompt").collect()] == [{}, {"a": "1"}]
+    assert [r.ord for r in df.orderBy("ord").collect()] == [0, 1]
+    meta = [r.metadata.toPython() for r in pairs.orderBy("prompt").collect()]
+    assert meta == [{}, {"a": 1, "b": [True, 0.5, None]}] and type(meta[1]["a"]) is int
     jsonl.write_jsonl(pairs.withColumn("v", F.lit("x")).coalesce(1), str(tmp_path / "out"), by="v")
     lines = [json.loads(x) for f in (tmp_path / "out").glob("v=x/*.json") for x in f.read_text(encoding="utf-8").splitlines()]
     assert {x["prompt"] for x in lines} == {"p。", "q"} and all("answer" in x for x in lines)
@@ -60,15 +62,18 @@ def test_pair_selection_and_repair(spark):
 
 
 def test_variants_carry_metadata(spark):
-    rows = spark.createDataFrame([(1, ["a", "b", "c"], 1, {"gamma": "0.5", "k": "v"})], "idx int, rejected_steps array<string>, first_error_step int, metadata map<string,string>")
-    v = {r.weight_variant: r for r in P.weight_variants(rows).collect()}
-    assert set(v) == set(S.VARIANTS) and v["uniform_downweight"].metadata["uniform_weight"] == "0.25" and v["vanilla"].metadata["k"] == "v"
+    rows = spark.createDataFrame([(1, ["a", "b", "c"], 1, '{"gamma": 0.5, "k": "v", "n": 3, "deep": {"x": [1]}}')], "idx int, rejected_steps array<string>, first_error_step int, m string")
+    rows = rows.withColumn("metadata", F.parse_json("m")).drop("m")
+    of = lambda r: r.metadata.toPython()
+    v = {r.weight_variant: of(r) for r in P.weight_variants(rows).collect()}
+    assert set(v) == set(S.VARIANTS) and v["uniform_downweight"]["uniform_weight"] == 0.25 and v["vanilla"]["k"] == "v" and v["vanilla"]["deep"] == {"x": [1]}
     s = P.shift_error(rows, 1).first()
-    assert s.step_weights == [0, 0, 1] and s.metadata["reviewer_variant"] == "shift_error_+1" and s.metadata["original_first_error_step"] == "1"
+    assert s.step_weights == [0, 0, 1] and of(s)["reviewer_variant"] == "shift_error_+1" and of(s)["original_first_error_step"] == 1
     t = P.truncate_rejected(rows).first()
-    assert (t.rejected_steps, t.rejected, t.first_error_step, t.step_weights, t.metadata["original_num_rejected_steps"]) == (["a", "b"], "a\nb", 1, [1.0, 1.0], "3")
+    assert (t.rejected_steps, t.rejected, t.first_error_step, t.step_weights, of(t)["original_num_rejected_steps"]) == (["a", "b"], "a\nb", 1, [1.0, 1.0], 3)
     assert P.positive_prefix(rows).first().positive_prefix == "a" and P.positive_prefix(rows, 2).count() == 0
-    assert P.noise_error(rows, "idx", 1.0).first().first_error_step in (0, 2)
+    noisy = P.noise_error(rows, "idx", 1.0).first()
+    assert noisy.first_error_step in (0, 2) and of(noisy)["localization_noisy"] is True
 
 
 def test_split_is_exact_and_partition_invariant(spark):

@@ -7,7 +7,7 @@ import pytest
 from stepwright.plans import catalogue
 
 #: Queries that put one row beside every row: totals of a vocabulary, the first failed call, a widest length.
-ONE_ROW = {"masked_logp", "masked_logp_normalised", "preference_loss", "loss_metrics", "probe_deltas", "rejected_logp_annotation", "bigram_logp", "process_positive_metrics", "stop_at_provider_error", "padded_batch"}
+ONE_ROW = {"masked_logp", "masked_logp_normalised", "preference_loss", "loss_metrics", "probe_deltas", "rejected_logp_annotation", "bigram_logp", "process_positive_metrics", "stop_at_provider_error", "padded_batch", "backoff_logp"}
 
 
 def plan(df):
@@ -39,3 +39,17 @@ def test_row_wise_operators_do_not_shuffle(spark, sf):
     rows = G.template_pairs(spark.range(100).select(F.col("id").alias("idx"), F.col("id").alias("seed")))
     for df in (Z.localise(rows), P.weight_variants(rows), P.noise_error(rows, "idx", 0.5), P.truncate_rejected(rows), Z.token_table(Z.localise(rows), "idx")):
         assert "Exchange" not in plan(df)
+
+
+def test_numbers_need_no_single_task(spark, sf):
+    for name in ("vocabulary_ids", "length_batches", "cyclic_batches"):
+        assert "SinglePartition" not in plan(catalogue.QUERIES[name](spark, sf)) and "Window" not in plan(catalogue.QUERIES[name](spark, sf))
+
+
+def test_a_verdict_reads_its_reply_once(spark):
+    from pyspark.sql import functions as F
+
+    from stepwright.operators.reports import parse_verdict
+
+    p = spark.range(1).select(F.col("id").cast("string").alias("reply")).select(parse_verdict(F.col("reply"), F.lit(5)))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("regexp_extract", p)) == 1 and len(re.findall("parse_json", p, re.I)) <= 1 and len(re.findall("variant_get|variantget", p, re.I)) <= 9
