@@ -307,8 +307,8 @@ WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_al
 s AS MATERIALIZED (SELECT r, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
   ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS own FROM w),
 t AS MATERIALIZED (SELECT r, len(own) AS n, unnest(own) AS x FROM s),
-p AS (SELECT a.r AS x, b.r AS y, any_value(a.n) + any_value(b.n) AS n, count(*) AS both FROM t a JOIN t b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
-e AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * both >= 85 * (n - both)),
+p AS (SELECT a.r AS x, b.r AS y, any_value(a.n) + any_value(b.n) AS n, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+e AS MATERIALIZED (SELECT x, y FROM p WHERE 100 * shared >= 85 * (n - shared)),
 reach(x, y) AS (SELECT r, r FROM s UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y)
 SELECT any_value(a.doc_id) AS doc_id, any_value(len(a.own))::BIGINT AS n_shingles, min(b.doc_id) AS component_id
 FROM reach JOIN s a ON a.r = reach.x JOIN s b ON b.r = reach.y GROUP BY reach.x
