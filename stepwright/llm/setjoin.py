@@ -20,6 +20,9 @@ SAMPLE, COMMON = 64, 1 << 17
 BLOCK_SETS, BLOCK_SHINGLES = 384, 1 << 19
 #: So few sets are compared pair by pair.
 FEW = 4
+#: Sets of so few are paired where they share a shingle; pairs must share one more of their first shingles for each
+#: ``PER`` shingles of the smaller set, for which so many more stand in the index.
+LIGHT, PER = 32, 32
 
 
 def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -47,6 +50,11 @@ def prefix(n, alike: int = ALIKE):
     return n - -(-alike * n // OF) + 1
 
 
+def indexed(n, alike: int = ALIKE):
+    """How many stand in the index, so that linked sets share ``1 + least(n, m) // PER`` of them."""
+    return np.minimum(n, prefix(n, alike) + n // PER)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -113,7 +121,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, alike: int, order: O
                 at.append(k)
                 n.append(len(found))
                 ids.append(h)
-                own.append(_signed(order(found)[: None if whole else prefix(len(found), alike)]) if fresh else None)
+                own.append(_signed(order(found)[: None if whole else int(indexed(len(found), alike))]) if fresh else None)
             take = pa.array(at, pa.int64())
             half = np.frombuffer(b"".join(ids), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
             cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(n, pa.int64()), pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array(own, arrow.field("s").type)]
@@ -217,15 +225,37 @@ def linked(sets: list[np.ndarray], alike: int = ALIKE, side: np.ndarray | None =
     return out
 
 
-def _meetings(first: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
-    """``lead, i, j, side, sid``: which sets meet, by ``first(sid, n, s)``, sets with their first shingles.
+def _tallied(light: DataFrame, alike: int) -> DataFrame:
+    """``a, b``: sets of ``light(s, part, c, sid, n)`` that share enough first shingles for sets that link.
+
+    In a list that was split by size a pair counts in the part of its larger class only.
+    """
+    one, two = (light.select("s", "part", F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
+    alive = (F.col("a") < F.col("b")) & (alike * F.greatest("na", "nb") <= OF * F.least("na", "nb")) & ((F.col("part") < 0) | (F.col("part") == F.greatest("ca", "cb")))
+    met = one.join(two, ["s", "part"]).where(alive).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("na", "nb")).alias("n"))
+    return met.where(F.col("shared") > F.floor(F.col("n") / PER)).select("a", "b")
+
+
+def _meetings(first: DataFrame, sizes: DataFrame, alike: int, light: int, block_sets: int, block_shingles: int) -> DataFrame:
+    """``lead, i, j, side, sid``: which sets meet, by ``first(sid, n, s)``, sets with their first shingles, and ``sizes(sid, n)``.
 
-    Sets with a common first shingle meet under the smallest of them; lists with one smallest set are one.
-    What is too much for a task meets in blocks, two at a time.
+    The sets of a short list are paired, and pairs that share too few first shingles go; what hangs together by
+    the others meets.  A longer list is split by size into overlapping parts first, as sets of far sizes
+    never link.  Parts that are still long meet whole, under their smallest set, and parts with one smallest
+    set are one.  What is too much for a task meets in blocks, two at a time.
     """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(OF / (alike - 1)))).cast("int")  # linked sets are a class apart at most
     post = first.select("sid", "n", F.explode("s").alias("s"))
-    lists = post.groupBy("s").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead <> last").select("s", "lead")
-    met = C.checkpointed(post.join(lists, "s").groupBy("lead", "sid").agg(F.first("n").alias("n")))
+    lists = post.groupBy("s").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("sets")).where("low <> high").select("s", "sets")
+    met = C.checkpointed(post.join(lists, "s").withColumn("c", size_class))
+    short = met.where(F.col("sets") <= light).select("s", F.lit(-1).alias("part"), "c", "sid", "n")
+    long = met.where(F.col("sets") > light).select("s", F.explode(F.array("c", F.col("c") + 1)).alias("part"), "c", "sid", "n")
+    parts = C.checkpointed(long.groupBy("s", "part").agg(F.min("sid").alias("lead"), F.count("*").alias("sets")))
+    long = C.hot_join(long, parts, ("s", "part"), "sets", ("sid",))
+    edges = C.checkpointed(_tallied(short.unionByName(long.where(F.col("sets") <= light).select(*short.columns)), alike))
+    near = C.components(edges).select(F.col("root").alias("lead"), F.col("node").alias("sid"))
+    met = near.unionByName(long.where(F.col("sets") > light).select("lead", "sid")).distinct().join(sizes, "sid")
+    met = C.checkpointed(met)
     need = F.greatest(F.lit(1), F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int")
     size = C.checkpointed(met.groupBy("lead").agg(F.count("*").alias("sets"), need.alias("blocks")).where("blocks > 1"))
     if size.isEmpty():
@@ -270,21 +300,16 @@ def _links(met: DataFrame, alike: int) -> DataFrame:
     return met.repartition(tasks, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "sid").mapInArrow(run, schema)
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, alike: int = ALIKE, sample: int = SAMPLE, common: int = COMMON, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """``key, n_shingles, component_id``: the smallest key reachable over links, the row's own included.
-
-    One row for each input row.  Equal sets are one before anything meets.  Texts without words and null
-    texts have no shingles and link with nothing.  Rows with a null key take part; a component of null
-    keys only has a null id.  An empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, key: str, text: str, width: int, alike: int, sample: int, common: int, light: int, block_sets: int, block_shingles: int) -> DataFrame:
+    """``id, raw, n, component_id`` of every row; ``raw`` is a hash of its text."""
     order = Order(common_shingles(docs, text, width, sample, common))
     own = C.checkpointed(_sets(docs, key, text, width, alike, order, False))
-    node = C.checkpointed(own.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
+    node = C.checkpointed(own.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.count("*").alias("copies")))
     for seed in range(42, 99):  # numbered anew if two sets ever share a number
         number = F.xxhash64(F.lit(seed), "a", "b")
         if node.groupBy(number.alias("sid")).agg(F.count("*").alias("c")).where("c > 1").isEmpty():
             break
-    met = C.checkpointed(_meetings(own.where("s is not null").select(number.alias("sid"), "n", "s"), block_sets, block_shingles))
+    met = C.checkpointed(_meetings(own.where("s is not null").select(number.alias("sid"), "n", "s"), node.select(number.alias("sid"), "n"), alike, light, block_sets, block_shingles))
     wanted = C.checkpointed(met.select("sid").distinct())
     whole = C.likely_members(_sets(docs, key, text, width, alike, order, True).select(number.alias("sid"), "s"), wanted, "sid")
     edges = C.checkpointed(_links(met.join(whole, "sid").select("lead", "i", "j", "side", "sid", "s"), alike))
@@ -293,11 +318,30 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     best = named.groupBy("root").agg(F.min("low").alias("component_id"))
     found = C.checkpointed(named.join(best, "root").select("a", "b", "component_id", "copies"))
     rows = own.select("id", "raw", "n", "a", "b")
-    out = C.hot_join(rows.where("n > 0"), found, ("a", "b"), "copies", ("id", "raw")).select("id", "n", "component_id")
-    out = out.unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    out = C.hot_join(rows.where("n > 0"), found, ("a", "b"), "copies", ("id", "raw")).select("id", "raw", "n", "component_id")
+    return out.unionByName(rows.where("n = 0").select("id", "raw", "n", F.col("id").alias("component_id")))
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, alike: int = ALIKE, sample: int = SAMPLE, common: int = COMMON, light: int = LIGHT, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``key, n_shingles, component_id``: the smallest key reachable over links, the row's own included.
+
+    One row for each input row.  Equal sets are one before anything meets.  Texts without words and null
+    texts have no shingles and link with nothing.  Rows with a null key take part; a component of null
+    keys only has a null id.  An empty table gives an empty result.
+    """
+    out = _grouped(docs, key, text, width, alike, sample, common, light, block_sets, block_shingles)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, alike: int = ALIKE) -> DataFrame:
+    """The documents, all columns, that have the smallest key of their group, one row for a row repeated.
+
+    Texts without words stay, as do the different texts of a group of null keys only.
+    """
+    found = _grouped(docs, key, text, width, alike, SAMPLE, COMMON, LIGHT, BLOCK_SETS, BLOCK_SHINGLES)
+    return C.without(docs, found.select(F.col("id").alias(key), "raw", F.col("id").eqNullSafe(F.col("component_id")).alias("stays")), key, text)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(C.table(spark, sf_dir, "documents"))
 

@@ -392,6 +392,22 @@ def test_oracles(spark, sf):
         assert got == want, name
 
 
+def brute_jaccard(texts, width=5, alike=80):
+    """The smallest id reachable over pairs of so alike shingle sets."""
+    words = {i: re.sub("[A-Z]", lambda m: m[0].lower(), t).split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for i, w in words.items()}
+    label, where = {i: i for i in texts}, {}
+    for i in sorted(sets):
+        met = Counter(j for s in sets[i] for j in where.get(s, ()))
+        for j, both in met.items():
+            if 100 * both >= alike * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if v == b else v for k, v in label.items()}
+        for s in sets[i]:
+            where.setdefault(s, []).append(i)
+    return label
+
+
 def test_pipeline_matches_brute_force(spark, sf):
     import corpus_pipeline as P
 
@@ -400,7 +416,8 @@ def test_pipeline_matches_brute_force(spark, sf):
     kept = {i: t for i, t in rows.items() if not quality.rejects(t.encode())}
     kept = {k[0]: kept[k[0]] for k in brute_exact(list(kept.items())) if k[3]}
     comps = brute_components([(i, simhash.fingerprint(t.encode())) for i, t in kept.items()])
-    kept = {i for i, _, c in comps if i == c}
+    kept = {i: kept[i] for i, _, c in comps if i == c}
+    kept = {i for i, c in brute_jaccard(kept).items() if i == c}
     left = df.where(df.doc_id.isin(sorted(kept)))
     want = Counter({r.doc_id: r.taken // r.size for r in mixing.allocation(left).collect() if r.taken})
     out = P.run(spark, sf)
