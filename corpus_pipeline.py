@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwright.llm import bpe, common, exact, mixing, quality, simhash
+from stepwright.llm import bpe, common, exact, mixing, quality, setjoin, simhash
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,8 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    """SimHash groups, then what two bits miss: groups of five-word shingle sets of a similarity of 0.8."""
+    return setjoin.keep_first(simhash.keep_first(docs), width=5, alike=80)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
