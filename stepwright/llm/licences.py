@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +23,20 @@ TEMPLATES = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC"),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0"),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary", "SPDX-License-Identifier: Unlicense"),
     "reserved": ("All rights reserved.", "Copyright (c) 2020 Example Company. All rights reserved."),
 }
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 #: Documents whose paragraphs teach the unknown class at most; families are learnt from templates.
 MAX_TRAIN = 600
-#: Paragraphs of theirs at most, by hash; texts above so many bytes are not learnt from.
-PARAGRAPHS, MAX_TEXT = 6_000, 1 << 18
+#: Paragraphs of theirs at most and words of those that stand around notices in training, both by hash of their text; texts
+#: above so many bytes are not learnt from.
+PARAGRAPHS, FILLER, MAX_TEXT = 6_000, 2_000, 1 << 18
 GRAMS = 3
+#: Windows whose judgement a task keeps.
+JUDGED = 1 << 14
 #: A prediction counts from this calibrated probability, if this share of some template's or of the
 #: paragraph's own n-grams is shared; the latter for paragraphs of so many words, as shorter ones
 #: ("Version 2.0", "the following conditions") are in templates by chance.
@@ -60,18 +67,30 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, frozenset]]):
         self.templates = templates
+        self.sizes = [len(t) for _, t in templates]
+        self.of: dict[str, list[int]] = {}  # the templates that hold an n-gram
+        for k, (_, t) in enumerate(templates):
+            for g in t:
+                self.of.setdefault(g, []).append(k)
         self.longest = max(sum(" " not in g for g in t) + 8 for _, t in templates)  # words may repeat
         # what a line must hold of a template to share LEAST_MATCH: one of its pairs, unless single words suffice
         self.pairs = frozenset(tuple(g.split(" ")) for _, t in templates for g in t if g.count(" ") == 1)
         words = [frozenset(g for g in t if " " not in g) for _, t in templates]
         self.rare = frozenset().union(*(w for w, (_, t) in zip(words, templates) if len(w) >= LEAST_MATCH * len(t)))
 
+    def _shared(self, own) -> list[int]:
+        n = [0] * len(self.sizes)
+        for g in own:
+            for k in self.of.get(g, ()):
+                n[k] += 1
+        return n
+
     def share(self, own, family: str | None = None) -> float:
         """The largest share of a template's n-grams that are among ``own``."""
-        return max((len(own & t) / len(t) for f, t in self.templates if family in (None, f)), default=0.0)
+        return max((n / size for n, size, (f, _) in zip(self._shared(own), self.sizes, self.templates) if family in (None, f)), default=0.0)
 
     def own_share(self, own, family: str) -> float:
-        return max((len(own & t) / max(len(own), 1) for f, t in self.templates if f == family), default=0.0)
+        return max((n / max(len(own), 1) for n, (f, _) in zip(self._shared(own), self.templates) if f == family), default=0.0)
 
     def warm(self, lines: list[list[str]]) -> list[bool]:
         """Whether a template's pair ends in the line."""
@@ -81,18 +100,45 @@ class Templates:
             last = ws[-1] if ws else None
         return out
 
-    def windows(self, lines: list[list[str]], warm: list[bool]):
-        """``(i, j, n-grams)`` of neighbouring lines ``i..j`` that may hold a template together; a line without words parts them."""
+    def ends(self, lines: list[list[str]]) -> list[list[tuple[int, str]]]:
+        """By line: the templates' n-grams that end in it, each with the line it begins in; none reaches over a line without words."""
+        out, back = [], []  # back: the last words with their lines
+        for k, ws in enumerate(lines):
+            found: list[tuple[int, str]] = []
+            if not ws:
+                back = []
+            for w in ws:
+                back = [*back[1 - GRAMS :], (k, w)]
+                g = ""
+                for line, x in reversed(back):
+                    g = f"{x} {g}" if g else x
+                    if g in self.of:
+                        found.append((line, g))
+            out.append(found)
+        return out
+
+    def windows(self, lines: list[list[str]], warm: list[bool], ends: list[list[tuple[int, str]]]):
+        """``(i, j, n-grams)`` of neighbouring lines ``i..j`` that may hold a template together; a line without words parts them.
+
+        A window's known n-grams and what each template has of them grow line by line.
+        """
         seen = [0]
         for w in warm:
             seen.append(seen[-1] + w)
         for i in range(len(lines)):
-            inner, j = 0, i + 1
+            inner, j, own, n, best = 0, i + 1, set(), [0] * len(self.sizes), 0.0
+            grown = i
             while lines[i] and j < len(lines) and lines[j] and inner < self.longest:
-                if seen[j + 1] > seen[i]:
-                    own = set(grams([w for ws in lines[i : j + 1] for w in ws]))
-                    if self.share(own) >= LEAST_MATCH:
-                        yield i, j, own
+                while grown <= j:
+                    for line, g in ends[grown]:
+                        if line >= i and g not in own:
+                            own.add(g)
+                            for k in self.of[g]:
+                                n[k] += 1
+                                best = max(best, n[k] / self.sizes[k])
+                    grown += 1
+                if seen[j + 1] > seen[i] and best >= LEAST_MATCH:
+                    yield i, j, frozenset(own)
                 inner += len(lines[j])
                 j += 1
 
@@ -116,13 +162,14 @@ class Model:
     def __init__(self, weights: dict[str, tuple], bias: tuple, heat: float, templates: list[tuple[str, frozenset]]):
         self.weights, self.bias, self.heat, self.templates = weights, bias, heat, templates
         self.known = Templates(templates)
+        self.place, self.rows = {g: i for i, g in enumerate(weights)}, np.array(list(weights.values())).reshape(len(weights), -1)
+        self.judged: dict[frozenset, tuple] = {}  # by a window's n-grams: bundles repeat their notices
         self.unknown = self.probabilities([])  # of a paragraph without any known n-gram
 
     def probabilities(self, found: list[str]) -> list[float]:
         z = np.array(self.bias, float)
-        size = math.sqrt(max(len(found), 1))
-        for g in found:
-            z += np.array(self.weights[g]) / size
+        if found:
+            z = z + self.rows[[self.place[g] for g in found]].sum(axis=0) / math.sqrt(len(found))
         z = z / self.heat
         p = np.exp(z - z.max())
         return (p / p.sum()).tolist()
@@ -164,18 +211,31 @@ class Model:
             return []
         own = {k: set(grams(lines[k])) for k, w in enumerate(warm) if w}
         taken = {(k, k): m for k, o in own.items() if (m := self.judge(o))[0] != "unknown"}
+        covered = {f: bytearray(len(lines)) for f in (*FAMILIES, None)}  # None: by any family
+
+        def cover(i, j, family):
+            for f in (family, None):
+                covered[f][i : j + 1] = b"\1" * (j + 1 - i)
+
+        for (k, _), m in taken.items():
+            cover(k, k, m[0])
         several, whole = [], set(taken)
-        for i, j, o in self.known.windows(lines, warm):
-            m = self.judge(o)
-            if m[0] != "unknown":
-                less = (set(grams([w for ws in lines[a:b] for w in ws])) for a, b in ((i, j), (i + 1, j + 1)))
-                if all(self.known.share(x, m[0]) < m[2] for x in less):
-                    several.append((-m[2], j - i, i, j, m))
+        ends = self.known.ends(lines)
+        within = lambda a, b: {g for line in range(a, b + 1) for first, g in ends[line] if first >= a}
+        for i, j, o in self.known.windows(lines, warm, ends):
+            m = self.judged.get(o)
+            if m is None:
+                if len(self.judged) >= JUDGED:
+                    self.judged.clear()
+                m = self.judged[o] = self.judge(o)
+            if m[0] != "unknown" and all(self.known.share(within(a, b), m[0]) < m[2] for a, b in ((i, j - 1), (i + 1, j))):
+                several.append((-m[2], j - i, i, j, m))
         for _, _, i, j, m in sorted(several):
-            if not any(a <= j and i <= b and o[0] == m[0] for (a, b), o in taken.items()):
+            if not any(covered[m[0]][i : j + 1]):
                 taken[i, j] = m
+                cover(i, j, m[0])
         for k, o in own.items():
-            if len(lines[k]) >= LEAST_OWN and not any(a <= k <= b for a, b in taken):
+            if len(lines[k]) >= LEAST_OWN and not covered[None][k]:
                 m = self.judge(o, self.known.own_share)
                 if m[0] != "unknown":
                     taken[k, k] = m
@@ -191,6 +251,10 @@ class Model:
         return out
 
 
+def _by_hash(text: str) -> tuple[int, str]:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")), text
+
+
 def _variants(text: str, rng: np.random.Generator, filler: list[str]) -> list[str]:
     """A notice as it turns up: whole, with a year or a name, words lost, text around it."""
     words = text.split()
@@ -209,7 +273,7 @@ def _templates() -> list[tuple[str, frozenset]]:
 def _clean(text: str, known: Templates) -> list[str]:
     """The lines that do not hold a template together with their neighbours."""
     at, lines = _lines(text)
-    bad = {k for i, j, _ in known.windows(lines, known.warm(lines)) for k in range(i, j + 1)}
+    bad = {k for i, j, _ in known.windows(lines, known.warm(lines), known.ends(lines)) for k in range(i, j + 1)}
     return [text[a:b] for k, (a, b) in enumerate(at) if a < b and (k not in bad or not known.warm([lines[k]])[0])]
 
 
@@ -224,7 +288,7 @@ def fit(background: list[str], seed: int = 0, epochs: int = 300, rate: float = 0
     rng = np.random.default_rng(seed)
     templates = _templates()
     vocab = {g: i for i, g in enumerate(sorted(set().union(*(t for _, t in templates))))}
-    filler = sorted({w for p in background[:500] for w in p.split()[:20]})
+    filler = sorted({w for p in background for w in p.split()}, key=_by_hash)[:FILLER]
     made = [(v, FAMILIES.index(f), k) for f, ts in sorted(TEMPLATES.items()) for k, t in enumerate(ts) for v in _variants(t, rng, filler)]
     rows, nth = [r[:2] for r in made], [r[2] for r in made]
     names = [t for f, t in templates]
@@ -273,7 +337,8 @@ def fit(background: list[str], seed: int = 0, epochs: int = 300, rate: float = 0
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = MAX_TRAIN, max_paragraphs: int = PARAGRAPHS) -> Model:
     """Fit with the paragraphs of at most about ``max_docs`` different documents, chosen by hash of key and text.
 
-    Copies of a row count once, whatever their number; texts above ``MAX_TEXT`` bytes are left out.
+    Of their different paragraphs ``max_paragraphs`` stay, by hash of the paragraph.  Copies of a row count once, whatever their
+    number; texts above ``MAX_TEXT`` bytes are left out.
     """
     own = C.pick(docs, key, text).where(F.octet_length(text) <= MAX_TEXT).withColumn("h", F.xxhash64(key, text))
     n = own.select("h").distinct().count()
@@ -281,7 +346,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
         own = own.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(max_docs / n * (1 << 20)) + 1)
     texts = sorted(own.groupBy("h").agg(F.min(text).alias("t")).select("t").toArrow()["t"].to_pylist())
     known = Templates(_templates())
-    parts = sorted({p for t in texts for p in _clean(t, known)}, key=lambda p: (len(p) * 2654435761 % 65521, p))
+    parts = sorted({p for t in texts for p in _clean(t, known)}, key=_by_hash)
     return fit(parts[:max_paragraphs])
 
 

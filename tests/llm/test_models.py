@@ -507,6 +507,9 @@ def test_licences_are_found_and_clean_text_is_not(spark, sf):
         (4, None, ""),
         (5, "", ""),
         (None, LONG, ""),
+        (7, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above notice appears", "isc"),
+        (8, "This is free and unencumbered software released into the public domain.\nand so on", "unlicense"),
+        (9, "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0\nwhich is available", "epl"),
         (6, "Licensed under the GNU Lesser General Public License, version 2.1.\nAll rights reserved.", "lgpl,reserved"),
     ]
     own = spark.createDataFrame([e[:2] for e in extra], "doc_id long, text string").selectExpr("*", "1 as matches")
@@ -515,6 +518,33 @@ def test_licences_are_found_and_clean_text_is_not(spark, sf):
     assert licences.scan(own.limit(0), licences.train(own.limit(0))).count() == 0
 
 
+def test_bundles_of_notices_take_linear_time_and_match_window_by_window(spark, sf):
+    import time
+
+    model = licences.train(docs(spark, sf))
+    notices = [t for v in licences.TEMPLATES.values() for t in v]
+    lines = [x for i in range(6000) for x in (notices[i % len(notices)], f"the license under the terms of some public version 2.0 {i}", "")]
+    start = time.process_time()
+    found = model.find("\n".join(lines))
+    assert time.process_time() - start < 20 and len(found) >= 6000  # a megabyte
+    known, words = model.known, [licences.tokens(x) for x in lines[:90]] + [licences.tokens(w) for w in notices[1].split()]
+    warm = known.warm(words)
+    got = {(i, j): o for i, j, o in known.windows(words, warm, known.ends(words))}
+    for i in range(len(words)):
+        for j in range(i + 1, min(i + 5, len(words))):
+            if all(words[i : j + 1]):
+                own = {g for g in licences.grams([w for ws in words[i : j + 1] for w in ws]) if g in known.of}
+                if (i, j) in got:
+                    assert got[i, j] == own
+                elif any(warm[i : j + 1]) and sum(map(len, words[i + 1 : j])) < known.longest:
+                    assert known.share(own) < licences.LEAST_MATCH
+
+
+def test_background_is_chosen_by_hash_of_the_text():
+    seen = sorted(["short", "long " * 50, "middle one", "another line"], key=licences._by_hash)
+    assert seen == sorted(reversed(seen), key=licences._by_hash) and [len(x) for x in seen] != sorted(map(len, seen))
+
+
 def test_licence_model_is_bounded_whatever_the_keys(spark):
     rows = [(None, "some plain words of one and the same text")] * 500 + [(6, f"plain text number {i} of many") for i in range(400)] + [(7, "x " * (1 << 18))]
     df = frame(spark, [(i, t, "en", "a", 1) for i, t in rows])
