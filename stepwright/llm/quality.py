@@ -48,22 +48,31 @@ def measure(data: bytes) -> tuple[int, ...]:
     return n, points - space, symbols, dup, rep, len(lines), upper, shout
 
 
-#: Rules in bit order: name and failure test on the measurements, columns or plain numbers.  Bits are never renumbered.
+#: Where rules draw the line; a policy may draw some of them elsewhere.
+LIMITS = {"words": 50, "repeated": 50, "symbols": 10, "lines": 4, "duplicates": 5, "shouts": 3, "uppers": 5, "shortest": 2, "longest": 14}
+#: Rules in bit order: name and failure test on the measurements, columns or plain numbers, and limits.  Bits are never renumbered.
 RULES = (
-    ("few_words", lambda m: m["n_words"] < 50),
-    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
-    ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
-    ("duplicate_lines", lambda m: (m["n_lines"] >= 4) & (10 * m["n_dup_lines"] > 5 * m["n_lines"])),
-    ("shouting", lambda m: (10 * m["n_shout_words"] > 3 * m["n_words"]) | (10 * m["n_upper_words"] > 5 * m["n_words"])),
-    ("short_mean_word", lambda m: m["word_chars"] < 2 * m["n_words"]),
-    ("long_mean_word", lambda m: m["word_chars"] > 14 * m["n_words"]),
+    ("few_words", lambda m, x: m["n_words"] < x["words"]),
+    ("repeated_windows", lambda m, x: 100 * m["n_repeat_words"] > x["repeated"] * m["n_words"]),
+    ("symbols", lambda m, x: x["symbols"] * m["n_symbols"] > m["n_words"]),
+    ("duplicate_lines", lambda m, x: (m["n_lines"] >= x["lines"]) & (10 * m["n_dup_lines"] > x["duplicates"] * m["n_lines"])),
+    ("shouting", lambda m, x: (10 * m["n_shout_words"] > x["shouts"] * m["n_words"]) | (10 * m["n_upper_words"] > x["uppers"] * m["n_words"])),
+    ("short_mean_word", lambda m, x: m["word_chars"] < x["shortest"] * m["n_words"]),
+    ("long_mean_word", lambda m, x: m["word_chars"] > x["longest"] * m["n_words"]),
 )
 RULE_NAMES = tuple(name for name, _ in RULES)
 
 
-def rules() -> list[tuple[str, Column]]:
+def rules(limits: dict = LIMITS) -> list[tuple[str, Column]]:
     m = {x: F.col(x) for x in (*BASE, *MORE)}
-    return [(name, fails(m)) for name, fails in RULES]
+    return [(name, fails(m, limits)) for name, fails in RULES]
+
+
+def _bits(limits: dict) -> Column:
+    bits = F.lit(0).cast("bigint")
+    for i, (_, fails) in enumerate(rules(limits)):
+        bits = bits.bitwiseOR(F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+    return bits
 
 
 BASE_MASK = 0b11
@@ -80,10 +89,14 @@ def ledger(docs: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
     """
     fields = [(x, "bigint") for x in (*BASE, *MORE)]
     m = C.map_texts(docs, keep, fields, lambda texts: [list(x) for x in zip(*map(measure, texts))] or [[] for _ in fields], text)
-    bits = F.lit(0).cast("bigint")
-    for i, (_, fails) in enumerate(rules()):
-        bits = bits.bitwiseOR(F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    return m.withColumn("fail_bits", bits)
+    return m.withColumn("fail_bits", _bits(LIMITS))
+
+
+def redrawn(led: DataFrame, **limits: int) -> DataFrame:
+    """A stored ledger with ``fail_bits`` for other limits, from its measurements; no text is read again."""
+    if unknown := set(limits) - set(LIMITS):
+        raise ValueError(f"no such limits: {sorted(unknown)}")
+    return led.withColumn("fail_bits", _bits(LIMITS | limits))
 
 
 def apply_policy(led: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -114,7 +127,7 @@ def ablations(led: DataFrame, version: str = CURRENT) -> DataFrame:
 def fail_bits(data: bytes) -> int:
     """The ledger's ``fail_bits`` of one text."""
     m = dict(zip((*BASE, *MORE), measure(data)))
-    return sum(1 << i for i, (_, fails) in enumerate(RULES) if fails(m))
+    return sum(1 << i for i, (_, fails) in enumerate(RULES) if fails(m, LIMITS))
 
 
 def rejects(data: bytes, version: str = CURRENT) -> bool:
@@ -127,15 +140,25 @@ def keep_documents(docs: DataFrame, version: str = CURRENT, text: str = "text")
     return C.filter_texts(docs, lambda t: not rejects(t, version), text)
 
 
+def stored(docs: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:
+    """The ledger, measurements and bits, as a table in the shared folder (it stays there), read back."""
+    return C.written(ledger(docs, keep, text), "ledger")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = apply_policy(ledger(C.table(spark, sf_dir, "documents")))
+    led = apply_policy(stored(C.table(spark, sf_dir, "documents")))
     return led.select("doc_id", *BASE, "base_failed", "kept", "fail_bits", *MORE)
 
 
+#: Limits that the ablations also look at, by a name of their own.
+REDRAWN = {"strict": {"words": 80, "duplicates": 3, "longest": 10}}
+
+
 def query_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every policy's ablations from one stored ledger; texts are read once."""
-    led = C.written(ledger(C.table(spark, sf_dir, "documents")).select("doc_id", "fail_bits"), "ledger")
-    each = [ablations(led, v).select(F.lit(v).alias("version"), "rule", "failed", "failed_alone", "kept_without") for v in POLICIES]
+    """Every policy's ablations, and those of the current one with other limits, from one stored ledger; texts are read once."""
+    led = stored(C.table(spark, sf_dir, "documents"))
+    own = [(v, led, v) for v in POLICIES] + [(name, redrawn(led, **x), CURRENT) for name, x in REDRAWN.items()]
+    each = [ablations(x, v).select(F.lit(name).alias("version"), "rule", "failed", "failed_alone", "kept_without") for name, x, v in own]
     return reduce(DataFrame.unionByName, each)
 
 
@@ -157,7 +180,8 @@ b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
 
-_ABLATED = ", ".join(f"('{v}', {mask | BASE_MASK}, '{name}', {1 << i})" for v, mask in POLICIES.items() for i, name in enumerate(RULE_NAMES) if (mask | BASE_MASK) >> i & 1)
-ORACLE_ABLATIONS = f"""WITH led AS ({ORACLE}), p(version, mask, rule, own) AS (VALUES {_ABLATED})
+_ABLATED = ", ".join(f"('{v}', {mask | BASE_MASK}, '{name}', {1 << i})" for v, mask in [*POLICIES.items(), *((x, POLICIES[CURRENT]) for x in REDRAWN)] for i, name in enumerate(RULE_NAMES) if (mask | BASE_MASK) >> i & 1)
+_STRICT = "(fail_bits & ~73) + (n_words < 80)::INT + 8 * (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)::INT + 64 * (word_chars > 10 * n_words)::INT"
+ORACLE_ABLATIONS = f"""WITH one AS ({ORACLE}), led AS (SELECT fail_bits, false AS strict FROM one UNION ALL SELECT {_STRICT}, true FROM one), p(version, mask, rule, own) AS (VALUES {_ABLATED})
 SELECT version, rule, count(*) FILTER (WHERE fail_bits & own <> 0) AS failed, count(*) FILTER (WHERE fail_bits & mask = own) AS failed_alone,
-  count(*) FILTER (WHERE fail_bits & mask & ~own = 0) AS kept_without FROM p CROSS JOIN led GROUP BY version, rule"""
+  count(*) FILTER (WHERE fail_bits & mask & ~own = 0) AS kept_without FROM p JOIN led ON led.strict = (p.version = 'strict') GROUP BY version, rule"""
