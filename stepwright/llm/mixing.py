@@ -168,7 +168,7 @@ def mix(docs: DataFrame, key="doc_id", text="text", source="source", **how) -> D
     own = plain.withColumn(key, F.col(f"_c{at[0]}")).withColumn("source", F.col(f"_c{at[1]}"))
     rows = plan.draws(own).withColumn("draw", F.explode("draws"))
     order = F.xxhash64(F.lit(plan.seed + 2), F.col(key), F.col("draw.shard"), F.col("draw.epoch"))
-    dealt = rows.repartition(plan.shards, "draw.shard").sortWithinPartitions("draw.shard", order)
+    dealt = rows.withColumn("_shard", F.col("draw.shard")).repartitionById(plan.shards, "_shard").sortWithinPartitions(order)  # a task a shard
     return dealt.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
 
 

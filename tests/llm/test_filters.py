@@ -334,6 +334,30 @@ def test_targets_reshare_above_the_cap():
     assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
 
 
+def brute_targets(sizes):
+    """The common level at which the weights, each cut at three times the size, use up all words."""
+    from fractions import Fraction as Q
+
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    w = {s: Q((5, 2, 1)[i % 3]) for i, s in enumerate(order)}
+    level = lambda x: sum(min(3 * Q(sizes[s]), x * w[s]) for s in order)
+    total, marks = sum(map(Q, sizes.values())), sorted({Q(0), *(3 * Q(sizes[s]) / w[s] for s in order)})
+    for a, b in zip(marks, marks[1:]):
+        if level(a) <= total <= level(b):
+            x = a + (total - level(a)) * (b - a) / (level(b) - level(a)) if level(b) > level(a) else a
+            return {s: float(min(3 * Q(sizes[s]), x * w[s])) for s in order}
+    return {s: 0.0 for s in order}
+
+
+def test_targets_match_brute_force():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(200):
+        sizes = {s: rng.choice([0, 1, 7, 100, 5000]) for s in rng.sample(["a", "b", "B", "é", "zz", "10", "9", None], rng.randint(1, 8))}
+        assert mixing.targets(sizes) == {s: pytest.approx(t) for s, t in brute_targets(sizes).items()}, sizes
+
+
 def test_split_quotas_are_exact_and_rerun():
     import numpy as np
 
@@ -355,7 +379,7 @@ def test_mixing_nears_targets_and_reruns_agree(spark, sf):
             target[s] = r.target
             biggest[s] = max(biggest[s], r.size)
             assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
-        assert {s: pytest.approx(t) for s, t in mixing.targets({s: size[s] for s in target}).items()} == target
+        assert {s: pytest.approx(t) for s, t in brute_targets({s: size[s] for s in target}).items()} == target
         for s in target:
             assert abs(taken[s] - target[s]) <= 2 * biggest[s]
         assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.allocation(df.repartition(3)).collect()))
@@ -372,12 +396,29 @@ def test_mix_rows_are_the_allocation(spark, sf):
     drawn = plan.draws(plan.stats).selectExpr("doc_id", "explode(draws.shard) as shard").collect()
     assert where == Counter(map(tuple, drawn))
     out = mixing.mix(df, shard_words=5000)
+    from pyspark.sql import functions as F
+
+    at = Counter((r.doc_id, r.p) for r in out.select("doc_id", F.spark_partition_id().alias("p")).collect())
+    assert at == where and out.rdd.getNumPartitions() == plan.shards  # a task a shard
     assert out.columns == df.columns and Counter(r.doc_id for r in out.collect()) == want
 
 
 # --- oracles and pipeline
 
 
+def test_a_stored_ledger_serves_other_limits(spark, sf):
+    df = docs(spark, sf)
+    led = quality.stored(df)
+    strict = {"words": 80, "symbols": 20, "shortest": 3}
+    got = {r.doc_id: r.fail_bits for r in quality.redrawn(led, **strict).collect()}
+    for r in df.collect():
+        m = dict(zip((*quality.BASE, *quality.MORE), quality.measure(r.text.encode())))
+        assert got[r.doc_id] == sum(1 << i for i, (_, fails) in enumerate(quality.RULES) if fails(m, quality.LIMITS | strict))
+    assert "text" not in led.columns and quality.redrawn(led).exceptAll(led).count() == 0
+    with pytest.raises(ValueError):
+        quality.redrawn(led, nothing=1)
+
+
 def test_oracles(spark, sf):
     import duckdb
 
