@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import groupby, permutations
 
 import pytest
+import xxhash
 
 pytest.importorskip("stepwright.llm")
 from helpers import LONG, ROWS, docs, frame  # noqa: E402
@@ -251,22 +252,36 @@ def test_long_lines_take_linear_time():
     assert [e - s for s, e in linejoin.chunks(["a" * 6000] * 400 + ["b" * (1 << 21)] + ["c"])] == [174, 174, 52, 1, 1]
 
 
+def line_name(t):
+    return int.from_bytes(xxhash.xxh3_128_digest(t.encode())[:8], "big", signed=True)
+
+
 def test_many_lines_that_share_a_segment(spark):
     tail = " and the very same words at the end of the line here"
     rows = [(i, f"{(i * 2654435761) % (1 << 32):08x} {(i * 40503) % 99991:05d}{i:06d}" + tail) for i in range(50_000)] + [(60_000, "deadbeef 99999 999999" + tail), (60_001, "deadbeef 99999 999998" + tail)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert not linejoin.heavy_keys(df, "text", 2, 4, 64, linejoin.HEAVY).isEmpty()
     found = {tuple(sorted(x)) for x in linejoin.links(df).selectExpr("x.a", "y.a").collect()}
-    import xxhash
+    assert tuple(sorted((line_name(rows[-1][1]), line_name(rows[-2][1])))) in found
+
+
+def test_very_many_lines_that_are_all_alike(spark):
+    import time
 
-    name = lambda t: int.from_bytes(xxhash.xxh3_128_digest(t.encode())[:8], "big", signed=True)
-    assert tuple(sorted((name(rows[-1][1]), name(rows[-2][1])))) in found
+    base = "the same long line of a form that is filled in by very many with a place, a name and a date of its own"
+    lines = sorted({base[:i] + chr(0x4E00 + k) + base[i + 1 :] for i in range(len(base)) for k in range(100)})  # any two are within two edits
+    far = "no such " + base[8:40] + " but quite another end than all of the others have got here"
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lines, far])], "doc_id long, text string")
+    start = time.time()
+    got = linejoin.dedup(df).collect()
+    took = time.time() - start
+    assert sum(r.n_removed for r in got) == len(lines) - 1 and {r.n_links for r in got} == {0, len(lines) - 1}
+    assert took < 150, took
 
 
 def brute_lines(rows, edits=2):
     occ = [(i, t, p, x) for i, t in rows for p, x in enumerate([y for y in (t or "").split("\n") if y.strip(" \t\r\x0b\x0c")])]
     lines = sorted({x for *_, x in occ})
-    root, links = {x: x for x in lines}, Counter()
+    root = {x: x for x in lines}
 
     def find(x):
         while root[x] != x:
@@ -281,21 +296,19 @@ def brute_lines(rows, edits=2):
             for y in by[n]:
                 if x < y if n == len(x) else True:
                     if x != y and plain_within(x, y, min(edits, max(len(x), len(y)) // 5)):
-                        links[x] += 1
-                        links[y] += 1
                         root[find(x)] = find(y)
-    first = {}
+    first, size = {}, Counter(map(find, lines))
     for i, t, p, x in sorted(occ, key=lambda o: (o[0] is None, o[0] or 0, o[2])):
         first.setdefault(find(x), (i, p))
     out = []
     for i, t in rows:
         own = [y for y in (t or "").split("\n") if y.strip(" \t\r\x0b\x0c")]
         at = [first[find(x)] for x in own]
-        out.append((i, len(own), sum(f != (i, p) for p, f in enumerate(at)), sum(links[x] for x in own), tuple(f[0] for f in at)))
+        out.append((i, len(own), sum(f != (i, p) for p, f in enumerate(at)), sum(size[find(x)] - 1 for x in own), tuple(f[0] for f in at)))
     return Counter(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"sample": 1, "heavy": 2}])
+@pytest.mark.parametrize("how", [{}, {"crowd": 1}, {"crowd": 4}])
 def test_line_join_matches_brute_force(spark, how):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(3, 60))) + "." for _ in range(16)]
@@ -313,8 +326,10 @@ def test_line_join_on_a_very_common_segment(spark):
     tail = "x" * 60
     rows = [(i, "".join(rng.choice("abcdef") for _ in range(30)) + tail) for i in range(80)] + [(500, "a" * 30 + tail), (501, "a" * 29 + "b" + tail)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert linejoin.candidates(df).count() < 210  # of 3,321 pairs
-    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.n_links, tuple(r.first_ids)) for r in linejoin.dedup(df).collect()) == brute_lines(rows)
+    idx, prb = (linejoin._key_rows(df, "text", 2, 4, probe) for probe in (False, True))
+    assert linejoin.met_pairs(idx, prb, 2).count() < 210  # of 3,321 pairs
+    for crowd in (128, 8):
+        assert Counter((r.doc_id, r.n_lines, r.n_removed, r.n_links, tuple(r.first_ids)) for r in linejoin.dedup(df, crowd=crowd).collect()) == brute_lines(rows)
 
 
 def test_line_texts_keep_the_rest(spark):
