@@ -495,12 +495,13 @@ def _localised(spark, sf) -> DataFrame:
 
 
 def _tokens(spark, sf) -> DataFrame:
-    return Z.token_table(_localised(spark, sf), "idx")
+    """Token rows as a table: what counts them and what scores them both read it."""
+    return J.stored(Z.token_table(_localised(spark, sf), "idx"), "tokens")
 
 
 @query
 def token_weights(spark, sf):
-    return _tokens(spark, sf).select("idx", "side", "pos", "token", F.round("w", 6).alias("w"))
+    return Z.token_table(_localised(spark, sf), "idx").select("idx", "side", "pos", "token", F.round("w", 6).alias("w"))
 
 
 @query
@@ -562,8 +563,7 @@ def probe_deltas(spark, sf):
     rows = _localised(spark, sf).withColumn("probe", F.explode(F.array(*map(F.lit, S.PROBES))))
     rows = rows.withColumn("step_weights", S.probe_weights(F.size("rejected_steps"), F.col("first_error_step"), F.col("probe"), 0.5)).withColumn("key", F.struct("idx", "probe"))
     t = Z.token_table(rows, "key").where("side = 'rejected'")
-    base = _tokens(spark, sf).where("side = 'chosen'")
-    counts = L.unigram_counts(base)
+    counts = L.unigram_counts(Z.token_table(_localised(spark, sf), "idx").where("side = 'chosen'"))
     s = L.unigram_scores(t, counts, {"before": 1.0, "after": 10.0})
     sums = L.masked_sums(s, ["key"], ["before", "after"])
     means = sums.groupBy(F.col("key.probe").alias("probe")).agg(F.avg("before").alias("before"), F.avg("after").alias("after")).withColumn("variant", F.lit("smoothed"))
@@ -581,11 +581,11 @@ def rejected_logp_annotation(spark, sf):
 @query
 def bigram_logp(spark, sf):
     """Mean log-probability by side under counts of neighbouring tokens of chosen traces."""
-    t = _tokens(spark, sf)
+    t = Z.token_table(_localised(spark, sf), "idx")
     word = F.col("t.token")
     seq = t.groupBy("idx", "side").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("s"))  # one trace
     pair = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.struct(F.element_at("s", i)["token"].alias("prev"), F.element_at("s", i + 1)["token"].alias("token")))
-    both = seq.select("side", F.explode(pair).alias("t")).select("side", F.col("t.prev").alias("prev"), word.alias("token"))
+    both = J.stored(seq.select("side", F.explode(pair).alias("t")).select("side", F.col("t.prev").alias("prev"), word.alias("token")), "pairs")
     base = both.where("side = 'chosen'")
     counts, pairs = base.groupBy(F.col("prev").alias("token")).agg(F.count("*").alias("n")), base.groupBy("prev", "token").agg(F.count("*").alias("n"))
     return L.bigram_scores(both, counts, pairs, 1.0).groupBy("side").agg(F.round(F.avg("logp"), 6).alias("mean_logp"), F.count("*").alias("n"))
@@ -596,7 +596,7 @@ def process_positive_metrics(spark, sf):
     """Loss with the process-positive term: prefixes before the error, absent ones counted as 0."""
     rows = _localised(spark, sf)
     prefix = F.when(F.col("first_error_step") >= 1, F.array_join(F.slice("rejected_steps", F.lit(1), F.col("first_error_step")), "\n"))
-    t = Z.token_table(rows.withColumn("positive_prefix", prefix), "idx")
+    t = J.stored(Z.token_table(rows.withColumn("positive_prefix", prefix), "idx"), "tokens")
     counts = L.unigram_counts(t.where("side = 'chosen'"))
     s = L.unigram_scores(t, counts, {"policy": 1.0, "ref": 10.0})
     m = L.loss_metrics(L.preference_rows(L.masked_sums(s, ["idx", "side"], ["policy", "ref"]), ["idx"]), 0.2)
@@ -800,10 +800,10 @@ def softmax_logp(spark, sf):
 @query
 def backoff_logp(spark, sf):
     """Mean log-probability by side under interpolated back-off from pairs of chosen traces."""
-    t = _tokens(spark, sf)
+    t = Z.token_table(_localised(spark, sf), "idx")
     seq = t.groupBy("idx", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("s"))  # one trace
     pair = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("prev"), F.slice("s", F.lit(2), F.size("s")).alias("token"))
-    both = seq.select("side", F.inline(pair).alias("prev", "token"))
+    both = J.stored(seq.select("side", F.inline(pair).alias("prev", "token")), "pairs")
     return L.BackOff(both.where("side = 'chosen'").select("prev", "token")).score(both).groupBy("side").agg(F.round(F.avg("logp"), 6).alias("mean_logp"), F.count("*").alias("n"))
 
 

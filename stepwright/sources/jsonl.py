@@ -139,6 +139,13 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows written once to a table in the shared folder (it stays until that is cleared) and read back, for those who read them more than once."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A CSV report with a header, numbers with four decimals."""
     cols = [F.format_string("%.4f", F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
