@@ -30,7 +30,7 @@ def numbered(rows: DataFrame, by: list, name: str = "ordinal", start: int = 0) -
     return written.join(F.broadcast(shift), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")  # a row a range
 
 
-def length_batches(rows: DataFrame, length: Column, key: str, size: int) -> DataFrame:
+def length_batches(rows: DataFrame, length: Column, key: str | list[str], size: int) -> DataFrame:
     """Adds ``batch, place, width``: batches of ``size`` rows of like lengths, the longest row's length as width.
 
     Rows are numbered by length and key, so a batch is padded to its own longest row and not to the longest of
@@ -38,17 +38,21 @@ def length_batches(rows: DataFrame, length: Column, key: str, size: int) -> Data
     """
     if size < 1:
         raise ValueError("size must be 1 at least")
-    own = numbered(rows.withColumn("_length", length), ["_length", key], "_n")
+    own = numbered(rows.withColumn("_length", length), ["_length", *([key] if isinstance(key, str) else key)], "_n")
     own = own.withColumn("batch", F.floor(F.col("_n") / size)).withColumn("place", (F.col("_n") % size).cast("int"))
     widths = own.groupBy(F.col("batch").alias("_b")).agg(F.max("_length").cast("int").alias("width"))
     return own.join(widths, F.col("batch") == F.col("_b")).drop("_length", "_n", "_b")
 
 
-def padded_batches(rows: DataFrame, ids: str, key: str, size: int, fill=0) -> DataFrame:
-    """``length_batches`` with ``ids`` right-padded to the batch's width and an ``attention_mask``."""
+def padded_batches(rows: DataFrame, ids: str, key: str | list[str], size: int, fill=0, also: dict | None = None) -> DataFrame:
+    """``length_batches`` with ``ids`` right-padded to the batch's width and an ``attention_mask``.
+
+    ``also`` names more columns of the same lengths and what each is padded with.
+    """
     out = length_batches(rows, F.size(ids), key, size)
     mask = padded(F.transform(ids, lambda x: F.lit(1)), F.col("width"), 0)
-    return out.withColumn("attention_mask", mask).withColumn(ids, padded(F.col(ids), F.col("width"), fill))
+    more = {c: padded(F.col(c), F.col("width"), x) for c, x in (also or {}).items()}
+    return out.withColumns({"attention_mask": mask, ids: padded(F.col(ids), F.col("width"), fill), **more})
 
 
 def cyclic_batches(rows: DataFrame, by: list, steps: int, size: int, start: int = 0) -> DataFrame:

@@ -770,6 +770,17 @@ def length_batches(spark, sf):
     return b.select("idx", "batch", "place", "width", F.array_join("ids", ",").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
 
 
+@query
+def training_batches(spark, sf):
+    """Encoded sides of localised pairs in batches of 8 like lengths, masks padded with them."""
+    rows = _localised(spark, sf)
+    toks = Z.token_table(rows, "idx")
+    v = P.vocabulary_ids(toks.groupBy("token").agg(F.min(F.struct("idx", "side", "pos")).alias("a")).select("token", F.col("a.idx").alias("first_row"), F.struct("a.side", "a.pos").alias("first_pos")))
+    b = O.padded_batches(Z.training_rows(rows, "idx", v, most=70).drop("attention_mask"), "input_ids", ["idx", "side"], 8, also={"response_mask": 0.0})
+    total = lambda c, zero: F.aggregate(c, F.lit(zero), lambda a, x: a + x)
+    return b.select("idx", "side", "batch", "place", "width", F.size("input_ids").alias("n_ids"), F.size("response_mask").alias("n_mask"), total("attention_mask", 0).alias("n_real"), F.round(total("response_mask", 0.0), 6).alias("mass"))
+
+
 @query
 def cyclic_batches(spark, sf):
     """Steps 10 to 509 of batches of 7 customers, in the order of their keys, round and round."""
