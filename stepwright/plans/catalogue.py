@@ -516,10 +516,9 @@ def vocabulary_ids(spark, sf):
 
 @query
 def encoded_pairs(spark, sf):
-    rows = _localised(spark, sf)
-    toks = Z.token_table(rows, "idx")
+    rows, toks = _localised(spark, sf), _tokens(spark, sf)
     v = P.vocabulary_ids(toks.groupBy("token").agg(F.min(F.struct("idx", "side", "pos")).alias("a")).select("token", F.col("a.idx").alias("first_row"), F.struct("a.side", "a.pos").alias("first_pos")))
-    return Z.training_rows(rows, "idx", v, most=70).select("idx", "side", F.size("input_ids").alias("n"), F.round(F.aggregate("response_mask", F.lit(0.0), lambda a, x: a + x), 6).alias("mass"))
+    return Z.training_rows(rows, "idx", v, most=70, toks=toks).select("idx", "side", F.size("input_ids").alias("n"), F.round(F.aggregate("response_mask", F.lit(0.0), lambda a, x: a + x), 6).alias("mass"))
 
 
 def _scored(spark, sf) -> DataFrame:
@@ -773,10 +772,9 @@ def length_batches(spark, sf):
 @query
 def training_batches(spark, sf):
     """Encoded sides of localised pairs in batches of 8 like lengths, masks padded with them."""
-    rows = _localised(spark, sf)
-    toks = Z.token_table(rows, "idx")
+    rows, toks = _localised(spark, sf), _tokens(spark, sf)
     v = P.vocabulary_ids(toks.groupBy("token").agg(F.min(F.struct("idx", "side", "pos")).alias("a")).select("token", F.col("a.idx").alias("first_row"), F.struct("a.side", "a.pos").alias("first_pos")))
-    b = O.padded_batches(Z.training_rows(rows, "idx", v, most=70).drop("attention_mask"), "input_ids", ["idx", "side"], 8, also={"response_mask": 0.0})
+    b = O.padded_batches(Z.training_rows(rows, "idx", v, most=70, toks=toks).drop("attention_mask"), "input_ids", ["idx", "side"], 8, also={"response_mask": 0.0})
     total = lambda c, zero: F.aggregate(c, F.lit(zero), lambda a, x: a + x)
     return b.select("idx", "side", "batch", "place", "width", F.size("input_ids").alias("n_ids"), F.size("response_mask").alias("n_mask"), total("attention_mask", 0).alias("n_real"), F.round(total("response_mask", 0.0), 6).alias("mass"))
 
