@@ -454,7 +454,7 @@ def accuracy_over_seeds(spark, sf):
 
 @query
 def judge_verdicts(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events").select("event_id"))
     m, c = (F.col("event_id") % 9 - 2).cast("string"), F.format_string("%.1f", (F.col("event_id") % 14) / 10)
     kind = F.col("event_id") % 10
     fixed = {
