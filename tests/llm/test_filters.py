@@ -362,9 +362,42 @@ def test_split_quotas_are_exact_and_rerun():
     import numpy as np
 
     q = np.array([100, 3, 0, 57])
-    a = mixing.split_quotas(q, 7, 1)
-    assert (a.sum(axis=0) == q).all() and (a == mixing.split_quotas(q, 7, 1)).all() and (a >= 0).all()
+    a, again = (np.array([b for _, b in mixing.split_quotas(q, 7, 1)]) for _ in range(2))
+    assert (a.sum(axis=0) == q).all() and (a == again).all() and (a >= 0).all()
     assert a.sum(axis=1).max() - a.sum(axis=1).min() <= 3
+    groups = [np.array([100, 3]), np.array([0, 57]), np.array([0])]
+    totals, shards = np.array([g.sum() for g in groups]), Counter()
+    for g, own in enumerate(groups):
+        got = list(mixing.split_quotas(own, 7, 1, totals, g))
+        assert [s for s, _ in got] == sorted({s for s, _ in got}) and (sum(b for _, b in got) == own).all()
+        shards.update({s: int(b.sum()) for s, b in got})
+    assert set(shards) == set(range(7)) and max(shards.values()) - min(shards.values()) <= 3
+
+
+def test_source_targets_are_the_targets(spark):
+    for sizes in ({"a": 10, "b": 100, "c": 1000, None: 50}, {"é": 0, "z": 0}, {"a": 1, "B": 5000, "b": 7, "c": 7, "zz": 100, "é": 1}):
+        order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+        df = spark.createDataFrame([(s, sizes[s], i) for i, s in enumerate(order)], "source string, source_size long, rank long")
+        got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+        assert got == {s: pytest.approx(t) for s, t in brute_targets(sizes).items()}
+
+
+def test_mixing_of_many_sources_in_few_groups(spark, monkeypatch):
+    """Groups share sources, no table is broadcast, sources and blocks are hot: what is taken stays the same."""
+    from stepwright.llm import common
+
+    hot = common.hot_join
+    rows = [(i, " ".join(["w"] * (i % 23)), "en", None if i % 5 == 0 else "hot" if i % 2 else f"s{i % 41}", 0) for i in range(3000)]
+    df = frame(spark, rows)
+    want = mixing.allocation(df, block_words=100, shard_words=900)
+    monkeypatch.setattr(common, "hot_join", lambda *a, **k: hot(*a, **k, hot_rows=20))
+    few = mixing.allocation(df, block_words=100, shard_words=900, groups=3, broadcast_rows=0)
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    assert Counter(map(tuple, want.select(cols).collect())) == Counter(map(tuple, few.select(cols).collect()))
+    shard = Counter()
+    for r in few.collect():
+        shard.update({int(x): r.size for x in r.shards.split(",") if x})
+    assert len(shard) == mixing.math.ceil(sum(len(r[1].split()) for r in rows) / 900)
 
 
 def test_mixing_nears_targets_and_reruns_agree(spark, sf):
