@@ -25,6 +25,7 @@ def weights_by_span(tokens: DataFrame, spans: DataFrame, by: list[str], width: i
     own = tokens.select(*by, "pos", F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_bucket", F.explode(_buckets(F.col("_s"), F.col("_e"), width)))
     known = spans.where("start is not null and end is not null and w is not null").select(*by, "k", F.col("start").alias("_a"), F.col("end").alias("_z"), "w")
     known = known.withColumn("_bucket", F.explode(_buckets(F.col("_a"), F.col("_z"), width)))
-    hit = own.join(known, [*by, "_bucket"]).where((F.col("_e") > F.col("_a")) & (F.col("_s") < F.col("_z")))
+    # both joins by merge: a planner that takes rows before an explode for their size would bring the spans, or all weights, to the driver
+    hit = own.join(known.hint("merge"), [*by, "_bucket"]).where((F.col("_e") > F.col("_a")) & (F.col("_s") < F.col("_z")))
     best = hit.groupBy(*by, "pos").agg(F.max_by("w", "k").alias("w"))
-    return tokens.join(best, [*by, "pos"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    return tokens.join(best.hint("merge"), [*by, "pos"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
