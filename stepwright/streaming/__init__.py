@@ -41,18 +41,19 @@ def windowed_rates(events: DataFrame, time: str, by: str, ok: str, width: str =
     return events.withWatermark(time, late).groupBy(w.alias("w"), by).agg(F.avg(F.col(ok).cast("double")).alias("rate"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "rate", "n")
 
 
-#: State of a key: rates by step as far as they have come, and whether its row is out.
-_STATE = "steps array<int>, rates array<double>, done boolean"
+#: Keys share so many states: a call of Python for each key costs a thousand times what its rows do.
+BUCKETS = 1 << 12
 
 
-def arriving_rates(events: DataFrame, key: str, tau: float = 0.3) -> DataFrame:
+def arriving_rates(events: DataFrame, key: str, tau: float = 0.3, buckets: int = BUCKETS) -> DataFrame:
     """``key, rates`` once for each key of ``events(key, k, n, rate)``, as soon as its first error is known.
 
     Rates of a key's ``n`` steps may come in any order and over any number of batches.  A row is
     out when all rates before a drop by more than ``tau`` and the two at it are there, or all ``n``; its ``rates`` are
     those up to there, of which ``functions.steps.localize`` makes what it makes of the whole.  A step that
     comes twice counts first; whatever comes after the row is out is dropped.  State is a key's rates until its
-    row is out, then a mark.
+    row is out, then a mark.  It is held by bucket of a hash of the keys, and one call takes all the bucket's rows of a batch;
+    a task holds one bucket at a time.
     """
     import pandas as pd
 
@@ -70,20 +71,31 @@ def arriving_rates(events: DataFrame, key: str, tau: float = 0.3) -> DataFrame:
         return had
 
     def run(group, batches: Iterator, state) -> Iterator:
-        steps, rates, done = state.get if state.exists else ([], [], False)
-        held = dict(zip(steps, rates))
+        done, keys, steps, rates = state.get if state.exists else ([], [], [], [])
+        done, held = set(done), {}
+        for one, k, rate in zip(keys, steps, rates):
+            held.setdefault(one, {})[k] = rate
         for pdf in batches:
-            if done:
-                continue
-            for k, rate in zip(pdf["k"].tolist(), pdf["rate"].tolist()):
-                held.setdefault(k, rate)
-            got = settled(held, int(pdf["n"].iloc[0]))
-            if got is not None:
-                done = True
-                yield pd.DataFrame({key: [group[0]], "rates": [got]})
-        state.update(([], [], True) if done else (list(held), list(held.values()), False))
-
-    return events.select(key, F.col("k").cast("int").alias("k"), F.col("n").cast("int").alias("n"), F.col("rate").cast("double").alias("rate")).groupBy(key).applyInPandasWithState(run, out, _STATE, "append", "NoTimeout")
+            need, found = {}, {}
+            for one, k, n, rate in zip(*(pdf[c].tolist() for c in ("key", "k", "n", "rate"))):
+                one = None if one is None or one != one else one
+                if one not in done:
+                    held.setdefault(one, {}).setdefault(k, rate)
+                    need.setdefault(one, n)
+            for one, n in need.items():
+                got = settled(held[one], n)
+                if got is not None:
+                    done.add(one)
+                    del held[one]
+                    found[one] = got
+            if found:
+                yield pd.DataFrame({key: pd.Series(list(found), dtype=object), "rates": list(found.values())})
+        flat = [(one, k, rate) for one, own in held.items() for k, rate in own.items()]
+        state.update((list(done), [x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat]))
+
+    kept = T.StructType([T.StructField("done", T.ArrayType(kind)), T.StructField("keys", T.ArrayType(kind)), *T._parse_datatype_string("steps array<int>, rates array<double>").fields])
+    own = events.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).alias("key"), F.col("k").cast("int").alias("k"), F.col("n").cast("int").alias("n"), F.col("rate").cast("double").alias("rate"))
+    return own.groupBy("bucket").applyInPandasWithState(run, out, kept, "append", "NoTimeout")
 
 
 def localise_arriving(events: DataFrame, key: str, tau: float = 0.3) -> DataFrame:

@@ -199,3 +199,52 @@ def test_rates_may_arrive_in_any_order(spark, tmp_path, seed):
         first.setdefault(e[:2], e[3])
     batch = spark.createDataFrame([(k, [first[k, i] for i in range(len(q))]) for k, q in rates.items()], "key int, q array<double>").select("key", S.localize(F.col("q")).alias("z"))
     assert spark.table(f"arrived{seed}").count() == 40 and got == {r.key: (r.z.first_error, round(r.z.confidence, 9)) for r in batch.collect()}
+
+
+def test_arriving_rates_share_states(spark, tmp_path):
+    """Keys of one state keep their own rates, marks and rows; a call of Python serves many keys."""
+    rows = [(key, k, 3, [0.9, 0.8, 0.1][k] if key % 2 else 0.9) for k in (2, 0, 1) for key in range(300)]
+    for i in range(3):
+        spark.createDataFrame(rows[300 * i : 300 * i + 300], "key long, k int, n int, rate double").coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+    schema = spark.read.parquet(f"{tmp_path}/in0").schema
+    z = streaming.arriving_rates(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*"), "key", buckets=5)
+    q = z.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out", "parquet")
+    q.awaitTermination()
+    got = {r["key"]: r["rates"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {key: [0.9, 0.8, 0.1] if key % 2 else [0.9] * 3 for key in range(300)}
+    assert sum(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress[-1:] if p["stateOperators"]) <= 5
+
+
+def test_joins_by_span_bring_nothing_to_the_driver(spark):
+    """Spans that an explode multiplied are not taken for small and broadcast."""
+    from stepwright.operators import intervals
+
+    toks = spark.range(3).select(F.col("id").alias("idx"), F.lit(0).alias("pos"), F.lit(0).alias("start"), F.lit(4).alias("end"))
+    spans = spark.range(3).select(F.col("id").alias("idx"), F.lit(0).alias("k"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.lit(0.5).alias("w"))
+    got = intervals.weights_by_span(toks, spans, ["idx"], 4)
+    assert [r.w for r in got.collect()] == [0.5] * 3
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_running_sums_and_trims(spark):
+    from stepwright.functions import text as X
+    from stepwright.functions import tokens as K
+
+    for n in (0, 1, 31, 32, 33, 64, 65, 500):
+        q = [i % 7 for i in range(n)]
+        got = spark.createDataFrame([(q,)], "q array<int>").select(K.running_sums(F.col("q")).alias("s")).first().s
+        assert got == [sum(q[: i + 1]) for i in range(n)]
+    odd = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    row = spark.createDataFrame([(f"{odd}a{odd}b{odd}",)], "t string").select(X.strip(F.col("t")).alias("s"), X.rstrip(F.col("t")).alias("r"), K.scan(F.col("t")).alias("k")).first()
+    assert row.s == f"a{odd}b" and row.r == f"{odd}a{odd}b"
+    assert [(t.token, t.start, t.end) for t in row.k] == [("a", len(odd), len(odd) + 1), ("b", 2 * len(odd) + 1, 2 * len(odd) + 2)]
+
+
+def test_small_counts_are_broadcast_and_large_ones_are_not(spark, monkeypatch):
+    from stepwright.operators import scores
+
+    toks = spark.createDataFrame([("a",), ("b",), ("a",)], "token string")
+    plan = lambda: scores.unigram_scores(toks, scores.unigram_counts(toks), {"p": 1.0})._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(scores, "LOOKUP_ROWS", 1)
+    assert "SortMergeJoin" in plan()
