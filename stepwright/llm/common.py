@@ -55,14 +55,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 @contextmanager
 def _tidy(spark: SparkSession):
-    """Within, finished executions delete their shuffle files at once, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    """Within, finished executions delete their shuffle files at once, not when the driver collects its garbage, and only measured sizes make a broadcast.
+
+    A planner takes rows before an explode for their size, so what it guesses to be small may fill the driver.
+    Joins become broadcasts at run time where a side turns out to be small, or where the code asks for it.
+    """
+    guess, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    most = spark.conf.get(measured, None) or spark.conf.get(guess)
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", guess: "-1", measured: most}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -499,3 +499,20 @@ def test_pipeline_matches_brute_force(spark, sf):
     cols = df.columns
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, df, sf).columns == cols
+
+
+def test_only_measured_sizes_are_broadcast(spark):
+    """Posting lists, 56 rows for each fingerprint, are not taken for small by the planner."""
+    from pyspark.sql import functions as F
+
+    from stepwright.llm import common as C
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    rows = spark.range(100)
+    many = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(56)))).groupBy("id", "k").agg(F.count("*").alias("n"))
+    plan = lambda: rows.join(many, "id")._jdf.queryExecution().sparkPlan().toString()
+    with C._tidy(spark):
+        assert "BroadcastHashJoin" not in plan()
+    assert "BroadcastHashJoin" in plan() and [spark.conf.get(n, None) for n in names] == before
+    assert C.checkpointed(rows.join(many, "id")).count() == 5600
