@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,6 +24,10 @@ CHUNK_LINES, CHUNK_CHARS = 4096, 1 << 20
 CROWD, BROADCAST_KEYS = 128, 1 << 18
 #: Representatives of a crowded key, by as many hashes; each of its bands has one more.
 REPS = 4
+#: Index rows of a crowded key and band that a row meets in one task; more are met in several.
+BLOCK = 1024
+#: Texts of candidates go to all executors up to so many bytes; more are joined by shuffles.
+TEXT_BYTES = 16 << 20
 _ODD = 0x9E3779B97F4A7C15 | 1
 _SALT = 71
 
@@ -73,6 +79,21 @@ def within(a: str, b: str, k: int) -> bool:
     return dist <= k
 
 
+def _matched(one: list[str], two: list[str], edits: int) -> np.ndarray:
+    """Whether the lines of each pair are alike; lines of one length are first compared side by side."""
+    n = np.array([[len(p), len(q)] for p, q in zip(one, two)], np.int64).reshape(-1, 2)
+    ok = np.zeros(len(n), bool)
+    same = np.flatnonzero((n[:, 0] == n[:, 1]) & (n[:, 0] > 0))
+    if len(same):
+        chars = lambda t: np.frombuffer("".join([t[i] for i in same]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = n[same, 0]
+        differ = np.add.reduceat(chars(one) != chars(two), np.cumsum(size) - size, dtype=np.int64)
+        ok[same] = differ <= np.minimum(edits, size // ALIKE)
+    for i in np.flatnonzero(~ok):
+        ok[i] = within(one[i], two[i], _alike(int(n[i].max()), edits))
+    return ok
+
+
 def _lines(body: bytes) -> list[bytes]:
     return [x for x in body.split(b"\n") if x and not x.isspace()]
 
@@ -308,12 +329,34 @@ def _other_pairs(crowd: DataFrame, classes: DataFrame, edits: int) -> DataFrame:
     return got.select(*_sorted_pair("a1", "a2")).distinct()
 
 
+def _all_pairs(crowd: DataFrame, edits: int) -> DataFrame:
+    """``a1, a2``: lines of ``crowd(k, a, s, probe)`` of one key, one indexed and one probed, whose sketches allow ``edits`` edits.
+
+    They meet by bands of their sketches and count in the first band in which they agree.  The index rows of a key and band are
+    dealt to blocks of ``BLOCK`` rows or so, which probes meet one by one, so no task meets a whole key.
+    """
+    rows = C.checkpointed(_banded(crowd, edits))
+    large = C.checkpointed(rows.where("not probe").groupBy("k", "band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("k", "band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = rows.join(large, ["k", "band"], "left")
+    own = own.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("a"), blocks).cast("int")))))
+    side = lambda i, cond: own.where(cond).select("k", "band", "block", F.col("a").alias(f"a{i}"), F.col("s").alias(f"s{i}"))
+    count = 4 * edits + 1
+    width, x = 64 // count, F.col("s1").bitwiseXOR(F.col("s2"))
+    first = [(F.shiftright("band", 56) <= j) | (x.bitwiseAND(F.lit((1 << width) - 1 << width * j)) != 0) for j in range(count - 1)]
+    met = side(1, "probe").join(side(2, "not probe"), ["k", "band", "block"]).where((F.col("a1") != F.col("a2")) & _near("s1", "s2", edits))
+    return met.where(reduce(lambda p, q: p & q, first, F.lit(True))).select(*_sorted_pair("a1", "a2"))
+
+
 def _verified(docs: DataFrame, cand: DataFrame, text: str, edits: int, least: int) -> DataFrame:
     """``x, y``: struct ids (a, b) of the lines of ``cand(a1, a2)`` that are so alike, by their texts."""
     cand = C.checkpointed(cand)
     wanted = C.checkpointed(cand.select(F.explode(F.array("a1", "a2")).alias("a")).distinct())
     lines = C.likely_members(_line_texts(docs, text, least), wanted, "a").join(wanted, "a")
     texts = C.checkpointed(lines.groupBy("a", "b").agg(F.first("line").alias("line")))
+    if (texts.agg(F.sum(F.octet_length("line") + 64)).first()[0] or 0) <= TEXT_BYTES:
+        texts = F.broadcast(texts)
     one, two = (texts.select(F.col("a").alias(f"a{i}"), F.struct("a", "b").alias(f"n{i}"), F.col("line").alias(f"l{i}")) for i in (1, 2))
     pairs = cand.join(one, "a1").join(two, "a2").select(F.col("n1").alias("x"), F.col("n2").alias("y"), "l1", "l2")
     schema = T.StructType(pairs.schema.fields[:2])
@@ -321,29 +364,46 @@ def _verified(docs: DataFrame, cand: DataFrame, text: str, edits: int, least: in
 
     def verify(batches):
         for batch in batches:
-            ok = [within(p, q, _alike(max(len(p), len(q)), edits)) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=arrow).filter(pa.array(ok, pa.bool_()))
+            ok = _matched(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=arrow).filter(pa.array(ok))
 
     return C.checkpointed(pairs.mapInArrow(verify, schema))
 
 
-def links(docs: DataFrame, text: str = "text", edits: int = EDITS, least: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
-    """``x, y``: struct ids (a, b) of different lines that count as one; enough of such pairs to join all lines that they join.
-
-    Lines of keys with at most ``crowd`` index rows are compared pair by pair.  Those of a crowded key are first
-    linked to some representatives of the key and of each band of their sketch; what is in one class by then is not
-    compared again, so very many lines that are all alike cost a few comparisons each.
-    """
+def _met(docs: DataFrame, text: str, edits: int, least: int, crowd: int) -> tuple[DataFrame, DataFrame | None]:
+    """``a1, a2`` of lines that meet by a key with at most ``crowd`` index rows, and ``k, a, s, probe`` of all other keys, none if there are none."""
     idx = C.checkpointed(_key_rows(docs, text, edits, least, False))
     prb = _key_rows(docs, text, edits, least, True)
     known = C.checkpointed(idx.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("k"))
     n = known.count()
     if not n:
-        return _verified(docs, met_pairs(idx, prb, edits), text, edits, least)
+        return met_pairs(idx, prb, edits), None
     known = F.broadcast(known) if n <= BROADCAST_KEYS else known
-    pairs = met_pairs(idx.join(known, "k", "left_anti"), prb, edits)
     both = idx.withColumn("probe", F.lit(False)).unionByName(prb.withColumn("probe", F.lit(True)))
-    whole = C.checkpointed(both.join(known, "k", "left_semi").distinct())
+    return met_pairs(idx.join(known, "k", "left_anti"), prb, edits), C.checkpointed(both.join(known, "k", "left_semi").distinct())
+
+
+def links(docs: DataFrame, text: str = "text", edits: int = EDITS, least: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+    """``x, y``: struct ids (a, b) of all different lines that count as one, each pair once.
+
+    Very many lines that are all alike have as many links as pairs; ``joining`` has enough of them for their classes.
+    """
+    pairs, whole = _met(docs, text, edits, least, crowd)
+    if whole is not None:
+        pairs = pairs.unionByName(_all_pairs(whole, edits)).distinct()
+    return _verified(docs, pairs, text, edits, least)
+
+
+def joining(docs: DataFrame, text: str = "text", edits: int = EDITS, least: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+    """Some of ``links``: enough to join all lines that they join.
+
+    Lines of keys with at most ``crowd`` index rows are compared pair by pair.  Those of a crowded key are first
+    linked to some representatives of the key and of each band of their sketch; what is in one class by then is not
+    compared again, so very many lines that are all alike cost a few comparisons each.
+    """
+    pairs, whole = _met(docs, text, edits, least, crowd)
+    if whole is None:
+        return _verified(docs, pairs, text, edits, least)
     crowded = C.checkpointed(_banded(whole, edits))
     star = _to_representatives(whole, ["k"], REPS, edits).unionByName(_to_representatives(crowded, ["k", "band"], 1, edits)).distinct()
     stars = _verified(docs, star, text, edits, least)
@@ -364,53 +424,58 @@ def _numbered(edge: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edge.select(number("x").alias("x"), number("y").alias("y")), named
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, **how) -> DataFrame:
-    """``id, row, pos, a, b, ra, rb, again, first_id, n_links`` of lines whose class has several lines.
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, every: bool = False, **how) -> DataFrame:
+    """``id, row, pos, a, b, ra, rb, again, first_id, n_links, n_near`` of lines whose class has several lines.
 
     A class is a component of links; equal lines are one node, ``(ra, rb)`` names the class and ``n_links`` counts
-    its other different lines.  Its first line is the one in the row with the smallest key (null keys last), rows that share
+    its other different lines.  ``n_near`` counts the different lines that a line is itself linked to, if ``every`` link is to be found; else it is null.
+    A class's first line is the one in the row with the smallest key (null keys last), rows that share
     a key in the order of a hash of their text, at the smallest place; all others stand ``again``.  Lines that
     stand alone are not listed.
     """
     occ = C.checkpointed(occurrences(docs, key, text))
-    edge, named = _numbered(C.checkpointed(links(docs, text, edits, **how)))
+    edge, named = _numbered(C.checkpointed((links if every else joining)(docs, text, edits, **how)))
     comp = C.components(edge, "x", "y")
     size = comp.groupBy("root").agg(F.count("*").alias("lines"))
     names = C.checkpointed(named.select(F.col("node").alias("root"), F.col("na").alias("ra"), F.col("nb").alias("rb")).join(size, "root"))
     root = C.hot_join(comp, names, ("root",), "lines", ("node",)).select("node", "ra", "rb", (F.col("lines") - 1).alias("n_links"))
-    to = C.checkpointed(named.join(root, "node").select("na", "nb", "ra", "rb", "n_links"))
+    near = edge.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg((F.count("*") if every else F.lit(None).cast("long")).alias("n_near"))
+    to = C.checkpointed(named.join(root, "node").join(near, "node").select("na", "nb", "ra", "rb", "n_links", "n_near"))
     own = occ.join(to, (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")), "left").drop("na", "nb")
     own = own.withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    own = own.withColumn("n_near", F.coalesce("n_near", F.lit(0 if every else None).cast("long")))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "row", "pos")
     first = C.checkpointed(own.groupBy("ra", "rb").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
     out = C.hot_join(own, first, ("ra", "rb"), "n", ("id", "row", "pos"))
-    return out.select("id", "row", "pos", "a", "b", "ra", "rb", (~place.eqNullSafe(F.col("first"))).alias("again"), F.col("first.id").alias("first_id"), "n_links")
+    return out.select("id", "row", "pos", "a", "b", "ra", "rb", (~place.eqNullSafe(F.col("first"))).alias("again"), F.col("first.id").alias("first_id"), "n_links", "n_near")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, **how) -> DataFrame:
-    """``key, n_lines, n_removed, n_links, first_ids, text``: texts without lines that stand earlier,
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, every: bool = False, **how) -> DataFrame:
+    """``key, n_lines, n_removed, n_links, n_near, first_ids, text``: texts without lines that stand earlier,
     exactly or nearly; for each line the key where its class first stands.  ``n_links`` sums up, for each line, the other
-    different lines of its class: those it is one with, directly or through others.
+    different lines of its class: those it is one with, directly or through others.  ``n_near`` sums up those it is one with directly, if
+    ``every`` link is to be found; else it is null.
 
     Two lines count as one within ``edits`` edits, if no more than one in ``ALIKE`` code points of the
     longer changes: a line under five code points has equal ones only, one under ten those one edit
     apart.  Blank lines stay.  Null texts stay null.  Rows equal in key and text are cut alike.
     """
-    mark = F.struct("pos", "again", "first_id", F.col("n_links").alias("links"))  # as many as a text has lines
-    drop = classes(docs, key, text, edits, **how).groupBy("id", "row").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
+    mark = F.struct("pos", "again", "first_id", F.col("n_links").alias("links"), F.col("n_near").alias("near"))  # as many as a text has lines
+    drop = classes(docs, key, text, edits, every, **how).groupBy("id", "row").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
     own = C.pick(docs, key, text).select(F.col(key).alias("id"), C.raw_hash(text).alias("row"), F.col(text).cast("binary").alias("body"))
     got = own.join(drop.withColumnsRenamed({"id": "di", "row": "dr"}), F.col("id").eqNullSafe(F.col("di")) & (F.col("row") == F.col("dr")), "left").select("id", "body", "marks")
     kind = own.schema["id"].dataType
-    schema = T.StructType([T.StructField(key, kind)] + T._parse_datatype_string("n_lines bigint, n_removed bigint, n_links bigint").fields + [T.StructField("first_ids", T.ArrayType(kind)), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField(key, kind)] + T._parse_datatype_string("n_lines bigint, n_removed bigint, n_links bigint, n_near bigint").fields + [T.StructField("first_ids", T.ArrayType(kind)), T.StructField("text", T.StringType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for b in batches:
-            n, gone, deg, first, rest = [], [], [], [], []
+            n, gone, deg, near, first, rest = [], [], [], [], [], []
             for key_, body, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 drop, at, keep = {m["pos"] for m in marks or () if m["again"]}, 0, []
                 known = {m["pos"]: m["first_id"] for m in marks or ()}
                 deg.append(sum(m["links"] for m in marks or ()))
+                near.append(sum(m["near"] for m in marks or ()) if every else None)
                 for line in (body or b"").split(b"\n"):
                     if line and not line.isspace():
                         at += 1
@@ -421,11 +486,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int =
                 first.append([known.get(i, key_) for i in range(at)])
                 gone.append(len(drop))
                 rest.append(None if body is None else b"\n".join(keep).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip((n, gone, deg, first, rest), list(arrow)[1:]))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip((n, gone, deg, near, first, rest), list(arrow)[1:]))], schema=arrow)
 
     return got.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup(C.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", "n_links", "first_ids", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    found = dedup(C.table(spark, sf_dir, "documents"), every=True)
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", "n_near", "first_ids", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

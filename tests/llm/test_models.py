@@ -332,6 +332,22 @@ def test_line_join_on_a_very_common_segment(spark):
         assert Counter((r.doc_id, r.n_lines, r.n_removed, r.n_links, tuple(r.first_ids)) for r in linejoin.dedup(df, crowd=crowd).collect()) == brute_lines(rows)
 
 
+def test_links_of_a_crowded_key_are_all_found(spark, monkeypatch):
+    """Lines within two edits of each other, many to a key: every pair is a link, and a line's number of links is its own."""
+    monkeypatch.setattr(linejoin, "BLOCK", 7)
+    base = "the same long line of a form that is filled in by many"
+    lines = sorted({base[:i] + chr(0x61 + k) + base[i + 1 :] for i in range(0, 54, 6) for k in range(6)} | {base[:5] + base[9:30] + x + base[30:] for x in ("", "q", "qr", "qrs", "qrst")})
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    near = {(p, q) for p in lines for q in lines if p < q and edit_distance(p, q) <= 2}
+    for crowd in (4, 128):
+        got = [tuple(sorted(x)) for x in linejoin.links(df, crowd=crowd).selectExpr("x.a", "y.a").collect()]
+        assert len(got) == len(near) and set(got) == {tuple(sorted((line_name(p), line_name(q)))) for p, q in near}
+        some = linejoin.joining(df, crowd=crowd).count()
+        assert some < len(near) if crowd == 4 else some == len(near)
+        count = {r.doc_id: r.n_near for r in linejoin.dedup(df, every=True, crowd=crowd).collect()}
+        assert count == {i: sum(x in pair for pair in near) for i, x in enumerate(lines)}
+
+
 def test_line_texts_keep_the_rest(spark):
     rows = [(1, "the very same long line of text\n\nother words that stand only here ok"), (2, "intro\nthe very same long line of texts\n\nend")]
     got = {r.doc_id: r.text for r in linejoin.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
