@@ -248,3 +248,21 @@ def test_small_counts_are_broadcast_and_large_ones_are_not(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan()
     monkeypatch.setattr(scores, "LOOKUP_ROWS", 1)
     assert "SortMergeJoin" in plan()
+
+
+def test_tokens_without_places_and_ids_by_first_place(spark):
+    """Offsets are neither stored nor, but for weights, computed; ids take no sort of all tokens and go to tokens without a shuffle."""
+    from stepwright.plans import catalogue, localisation as Z
+
+    text = "  one  two\x1cthree "
+    row = [(1, text, "a b", "b c", ["b", "c"], [0.5, 1.0], "b"), (2, "", "é a", "", [""], [1.0], None)]
+    df = spark.createDataFrame(row, "idx long, prompt string, chosen string, rejected string, rejected_steps array<string>, step_weights array<double>, positive_prefix string")
+    full, bare = Z.token_table(df, "idx"), Z.token_table(df, "idx", places=False)
+    assert bare.columns == ["idx", "side", "pos", "token", "w"]
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, full.drop("start", "end").collect()))
+    alone = sorted((r.side, tuple(r.s)) for r in Z.token_words(df).collect())
+    assert alone == sorted((r.side, tuple(t["token"] for t in r.toks)) for r in Z.token_lists(df, "idx").collect() if r.side != "positive")
+    ids = catalogue._token_ids(bare)
+    order = sorted((min((r.idx, r.side, r.pos) for r in bare.collect() if r.token == t), t) for t in {r.token for r in bare.collect()})
+    assert {r.token: r.token_id for r in ids.collect()} == {t: i + 3 for i, (_, t) in enumerate(order)}
+    assert "SortMergeJoin" not in Z.training_rows(df, "idx", ids, toks=bare)._jdf.queryExecution().optimizedPlan().toString() and "strategy=broadcast" in Z.training_rows(df, "idx", ids, toks=bare)._jdf.queryExecution().optimizedPlan().toString()
