@@ -118,6 +118,14 @@ def test_answer_values_and_verdicts(spark):
     assert run(spark, rows, "p string, g string, w boolean", verify_answer(F.col("p"), F.col("g")), "w") == [(w, w) for *_, w in rows]
 
 
+def test_quicker_paths_find_the_same_answers(spark):
+    """Texts without the word ``answer`` and plain numbers take shorter ways."""
+    said = {"#### 5\n#### \t\n": "5", "####\n\u2003 7 or 8": "8", "####x #### y": "x #### y", "an\u017fwer: 3 of 4": "4", "ANSWER=#### b": "#### b", "therefore 9": "9"}
+    assert dict(run(spark, [(t,) for t in said], "t string", "t", extract_answer(F.col("t")))) == said
+    rows = [("#### 5. .", "5", True), ("-5", "-5.0", True), ("+5", "5", True), ("5", "5.0002", False), (" 5\n", "#### 5", True), ("9" * 400, "9" * 400, True), ("1", None, False), (None, None, False)]
+    assert run(spark, rows, "p string, g string, w boolean", verify_answer(F.col("p"), F.col("g")), "w") == [(w, w) for *_, w in rows]
+
+
 def test_localisation_from_rates(spark):
     cases = [
         ([], 0, 0.0),

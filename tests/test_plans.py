@@ -53,3 +53,16 @@ def test_a_verdict_reads_its_reply_once(spark):
 
     p = spark.range(1).select(F.col("id").cast("string").alias("reply")).select(parse_verdict(F.col("reply"), F.lit(5)))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("regexp_extract", p)) <= 2 and len(re.findall("parse_json", p, re.I)) <= 1 and len(re.findall("variant_get|variantget", p, re.I)) <= 18
+
+
+def test_distributions_read_a_gold_answer_once(spark):
+    from pyspark.sql import functions as F
+
+    from stepwright.operators import quality as Q
+    from stepwright.sources import generators as G
+
+    rows = G.template_pairs(spark.range(12).select(F.col("id").alias("idx"), F.col("id").alias("seed")))
+    p = Q.distributions(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract_all\(.*?boxed", p)) == 3  # chosen, rejected, gold
+    made = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(rows._jdf.queryExecution().executedPlan())
+    assert all(made.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(made.size()))  # the JVM compiles no longer method
