@@ -153,6 +153,24 @@ def test_training_rows_with_positive_prefix(spark):
     assert {r.side for r in rows} == {"chosen", "rejected", "positive"} and all(len(r.input_ids) == len(r.response_mask) == len(r.attention_mask) <= 30 for r in rows)
 
 
+def test_training_rows_are_whole_without_a_limit(spark):
+    df = spark.createDataFrame([(1, "p " * 3, "c " * 1500, "a b\nc", ["a b", "c"], [0.5, 1.0])], "idx long, prompt string, chosen string, rejected string, rejected_steps array<string>, step_weights array<double>")
+    ids = spark.createDataFrame([("p", 3), ("c", 4), ("a", 5)], "token string, token_id int")
+    rows = {r.side: r for r in Z.training_rows(df, "idx", ids, most=None).collect()}
+    assert rows["chosen"].input_ids == [3] * 3 + [4] * 1500 and rows["chosen"].response_mask == [0.0] * 3 + [1.0] * 1500
+    assert rows["rejected"].input_ids == [3, 3, 3, 5, 2, 4] and rows["rejected"].response_mask == [0.0, 0.0, 0.0, 0.5, 0.5, 1.0]
+    assert rows["chosen"].attention_mask == [1] * 1503
+
+
+def test_training_batches_hold_every_token(spark, sf):
+    from stepwright.plans import catalogue
+
+    whole = {(r.idx, r.side): (r.n, r.mass) for r in catalogue._tokens(spark, sf).groupBy("idx", "side").agg(F.count("*").alias("n"), F.sum("w").alias("mass")).collect()}
+    rows = catalogue.QUERIES["training_batches"](spark, sf).collect()
+    assert len(rows) == len(whole) and max(n for n, _ in whole.values()) > 70
+    assert {(r.idx, r.side): (r.n_real, pytest.approx(r.mass, abs=1e-6)) for r in rows} == whole
+
+
 def test_streams_give_the_batch_results(spark, tmp_path):
     rows = G.template_pairs(G.seeds_by_hash(spark, 60)).withColumn("localization_confidence", (F.col("idx") % 10) / 10).select("prompt", "chosen", "rejected", "answer", "rejected_steps", "first_error_step", "localization_confidence")
     jsonl.write_jsonl(rows.repartition(3), str(tmp_path / "in"))
